@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, lines, packing, secrets, toxicity
+from lodestone.llm import bpe, lines, minhash, packing, secrets, substrings, toxicity
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -16,12 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs, shingle_words=4)
+    doc, component = minhash.restored("__did"), minhash.restored("component")
+    return found.select(doc.alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("__did").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = lines.drop_lines(docs, lines.keep_bitmaps(docs))
     return done.select("doc_id", F.col("__lines.n_lines").alias("n_lines"), F.col("__lines.n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, digests=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +58,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_VOCAB, bpe.build_lexicon(docs, BYTE_VOCAB))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op6_substring_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -113,3 +125,43 @@ GROUP BY d.doc_id
 
 
 ORACLE_SQL["op8_secret_scans"] = _secret_sql()
+
+ORACLE_SQL["op1_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
+         WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(p.n) AS nx, any_value(q.n) AS ny, count(*) AS k
+  FROM s a JOIN s b USING (g) JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(p.n) + any_value(q.n) - count(*))
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id, d.doc_id = min(r.y) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id
+GROUP BY d.doc_id
+"""
+
+ORACLE_SQL["op6_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35
+), seq AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM win),
+rep AS (SELECT g FROM seq GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM seq JOIN rep USING (g)),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE len(ws) > 0)
+SELECT d.doc_id, count(word.p) AS n_words, count(gone.p) AS n_removed,
+       sha256(coalesce(string_agg(x, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM documents d LEFT JOIN word USING (doc_id) LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p
+GROUP BY d.doc_id
+"""
