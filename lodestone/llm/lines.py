@@ -147,7 +147,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
     found = staged(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _FOUND_SQL), "line-runs")
     seen = found.where("kind = 'seen'").groupBy("h1", "h2").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("holders"))
     seen = seen.where(F.size("holders") >= min_docs).select("h1", "h2", F.array_max("holders").alias("owner"))
-    late = found.where("kind = 'open'").join(seen, ["h1", "h2"]).where("did <> owner")
+    # two rows per partition at most, whatever the data
+    late = found.where("kind = 'open'").join(F.broadcast(seen), ["h1", "h2"]).where("did <> owner")
     cols = ["did", "tkey", "pos"]
     drops = found.where("kind = 'drop'").select(*cols).unionByName(late.select(*cols)).distinct()
     whole = drops.groupBy("did", "tkey").agg(F.collect_list("pos").alias("pos"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, lines, minhash, packing, secrets, substrings, toxicity
+from lodestone.llm import ann, bpe, lines, maxscore, minhash, packing, secrets, substrings, toxicity, warc
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__lines.n_lines").alias("n_lines"), F.col("__lines.n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.read(warc.write(table(spark, sf_dir, "pages"))))
+
+
+def op4_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, digests=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -58,7 +71,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_VOCAB, bpe.build_lexicon(docs, BYTE_VOCAB))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op6_substring_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_warc, op4_hilbert_ann, op5_maxscore, op6_substring_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -165,3 +178,33 @@ SELECT d.doc_id, count(word.p) AS n_words, count(gone.p) AS n_removed,
 FROM documents d LEFT JOIN word USING (doc_id) LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p
 GROUP BY d.doc_id
 """
+
+#: DuckDB has no SHA-1 in binary form nor base32: the digest is rebuilt from the hex digits,
+#: five bits at a time.
+ORACLE_SQL["op3_warc"] = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (
+  SELECT h, string_agg(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1), '' ORDER BY i) AS d
+  FROM (SELECT DISTINCT h FROM p), range(32) AS t(i) GROUP BY h
+), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN b USING (h) JOIN f USING (h)
+"""
+
+ORACLE_SQL["op5_maxscore"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
