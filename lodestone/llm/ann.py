@@ -170,7 +170,7 @@ def exact_sample(rows: DataFrame, sample: list, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = 4, segments: int = 32, recall: float = 0.95, sample: int = 64, block: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = 4, segments: int = 32, recall: float = 0.97, sample: int = 64, block: int = 4096, seed: int = 7) -> DataFrame:
     """``query_id, rank, vec_id, score``; ``is_query`` is a condition on vec_id."""
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
