@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.assay import number
+from lodestone.functions.assay import NO_DATA_TEXT, number
 
 IDENTIFIER_WORDS = ("id", "hole", "sample", "code", "name", "number", "no")
 
@@ -28,7 +28,7 @@ def guess_numeric(raw: DataFrame, rows: int = 2000) -> list[str]:
     named = [c for c in raw.columns if not words[c] & set(IDENTIFIER_WORDS)]
     if not named:
         return []
-    checks = sample.agg(*(F.struct(F.count(F.when(F.col(c).isNotNull() & number(F.col(c)).isNull() & (F.trim(c) != ""), 1)).alias("bad"), F.count(F.when(F.col(c).rlike(r"^0\d+$"), 1)).alias("zero"), F.count(number(F.col(c))).alias("good")).alias(c) for c in named)).first()
+    checks = sample.agg(*(F.struct(F.count(F.when(F.col(c).isNotNull() & number(F.col(c)).isNull() & ~F.lower(F.trim(c)).isin(*NO_DATA_TEXT), 1)).alias("bad"), F.count(F.when(F.col(c).rlike(r"^0\d+$"), 1)).alias("zero"), F.count(number(F.col(c))).alias("good")).alias(c) for c in named)).first()
     return [c for c in named if checks[c].good and not checks[c].bad and not checks[c].zero]
 
 
@@ -54,7 +54,7 @@ def read_xyz_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     Lines of one file follow its byte order; a file is read as one piece (wholetext), so many
     files are spread over tasks.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.explode(F.transform(F.split("value", r"\r?\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))).alias("l")).select("file", "l.pos", "l.line")
     body = text.where(~F.trim("line").startswith("/") & (F.trim("line") != ""))
     from pyspark.sql import Window
 
