@@ -1,0 +1,46 @@
+"""The registered queries against their SQL, and the pipeline's rules, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from lodestone.llm.queries import ORACLE_SQL, QUERIES
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF), con.sql(ORACLE_SQL[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    a = sorted(([r[c] for c in cols] for r in got.collect()), key=repr)
+    b = sorted(([r[want.columns.index(c)] for c in cols] for r in want.fetchall()), key=repr)
+    assert a == b
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages_keep_the_documents_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "secret_scans", "packing"]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name == "packing":
+            break
+        assert docs.columns == columns
+        now = docs.count()
+        assert now == before if name in ("line_dedup", "secret_scans") else 0.5 * before < now < before
+        before = now
+    got = docs.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(got) == before and all(r["sum(length)"] == r["max(doc_tokens)"] for r in got)
