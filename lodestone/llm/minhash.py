@@ -8,11 +8,13 @@ probability of their similarity, and the number of agreements is concentrated ar
 
 Documents with equal sets are one class, found by a 128-bit fingerprint; only classes go on.
 Bands of the sketch give buckets. First each class is checked against the smallest class it
-shares a bucket with, and the links that hold give components. Then only pairs of one bucket
-that are still in different components are checked, so a group of copies, however large,
-costs one check per member. Every link is confirmed on the full shingle sets.
+shares a bucket with, and the links that hold give components. Then pairs of one bucket that
+are still in different components are compared by their whole sketches, block by block inside
+a task; only pairs whose sketches agree well enough become rows, once each. Every link is
+confirmed on the full shingle sets.
 
-A pair of similarity 0.8 shares no band with a probability of 5e-8 (32 bands of 4).
+A pair of similarity 0.8 shares no band with a probability of 5e-8 (32 bands of 4), and its
+sketches agree in fewer than ``AGREE`` of the ``T`` coordinates with one of about 4e-5.
 
 Defined cases: a text of fewer words than a shingle is one shingle; one without words (or
 null) has the empty set and is linked with nothing. Rows that share a doc_id but not the text are linked text by text. A null
@@ -24,19 +26,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from lodestone.llm.common import NULL_ID, binary_values, ident, staged
 from lodestone.llm.graph import components
 from lodestone.llm.words import WordHashes, mixed, rolling
 
-T, ROWS = 128, 4
+T, BANDS, ROWS, AGREE = 512, 32, 4, 374
+BLOCK = 1024
 _EMPTY = np.uint64(2**64 - 1)
-_SKETCH_SQL = "did long, tkey long, n long, f1 long, f2 long, bands array<long>"
-_SKETCH = pa.schema([("did", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCH_SQL = "did long, tkey long, n long, f1 long, f2 long, bands array<long>, coords binary"
+_SKETCH = pa.schema([("did", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary())])
 _HASHES = WordHashes()
 
 
@@ -68,7 +73,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
 
 def bands(coords: np.ndarray) -> np.ndarray:
     """One hash for each band of ``ROWS`` coordinates; bands differ in their seeds."""
-    rows = coords.reshape(-1, ROWS)
+    rows = coords[: BANDS * ROWS].reshape(BANDS, ROWS)
     out = np.arange(1, len(rows) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
     for j in range(ROWS):
         out = mixed(out + rows[:, j])
@@ -78,14 +83,62 @@ def bands(coords: np.ndarray) -> np.ndarray:
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, rows = [], [], []
+            n, prints, rows, low = [], [], [], []
             for text in binary_values(batch, "text"):
                 items = shingles(text, k)
                 n.append(len(items))
                 prints.append(xxhash.xxh3_128_digest(items.tobytes()))
-                rows.append(bands(sketch(items)) if len(items) else None)
+                coords = sketch(items) if len(items) else None
+                rows.append(None if coords is None else bands(coords))
+                low.append(None if coords is None else coords.astype(np.uint8).tobytes())
             f = np.frombuffer(b"".join(prints), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("__did"), batch.column("__tkey"), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(rows, pa.list_(pa.int64()))], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column("__did"), batch.column("__tkey"), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(rows, pa.list_(pa.int64())), pa.array(low, pa.binary())], schema=_SKETCH)
+
+    return run
+
+
+def _block_pairs(percent: int):
+    """Pairs of one (band, block, block) whose sketches agree; rows come sorted by these.
+
+    A pair is compared in the first band that it shares, and only if its two classes are of
+    different components and of sizes that allow the similarity.
+    """
+
+    def compare(i: int, j: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        held.sort(key=lambda r: (r[0], r[1]))
+        block, node, c, n = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2, 3))
+        if (c == c[0]).all():
+            return
+        at = held[0][6]
+        own = np.frombuffer(b"".join(r[4] for r in held), dtype=np.int32).reshape(len(held), BANDS)
+        coords = np.frombuffer(b"".join(r[5] for r in held), dtype=np.uint8).reshape(len(held), T)
+        a, b = [], []
+        for x in range(len(held) - 1):
+            if i != j and block[x] != i:
+                break
+            y = np.arange(x + 1, len(held)) if i == j else np.flatnonzero(block == j)
+            y = y[(c[y] != c[x]) & (100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
+            if at and len(y):
+                y = y[~(own[y, :at] == own[x, :at]).any(axis=1)]
+            if len(y):
+                y = y[(coords[y] == coords[x]).sum(axis=1) >= AGREE]
+                a.append(np.minimum(node[x], node[y]))
+                b.append(np.maximum(node[x], node[y]))
+        if a:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in ("band", "i", "j", "block", "node", "c", "n", "own", "coords", "at")]
+            for band, i, j, *rest in zip(*cols):
+                if key != (band, i, j):
+                    if len(held) > 1:
+                        yield from compare(key[1], key[2], held)
+                    key, held = (band, i, j), []
+                held.append(rest)
+        if len(held) > 1:
+            yield from compare(key[1], key[2], held)
 
     return run
 
@@ -98,6 +151,12 @@ def _sets(k: int):
     return run
 
 
+@F.pandas_udf(T_.BinaryType())
+def _short_bands(bands_: pd.Series) -> pd.Series:
+    """The low halves of the band hashes, packed."""
+    return bands_.map(lambda x: np.asarray(x, dtype=np.int64).astype(np.int32).tobytes())
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +188,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     classes = known.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("did", "tkey")).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     classes = staged(classes.select("f1", "f2", F.col("first.did").alias("node"), F.col("first.tkey").alias("tkey"), "n", "bands"), "classes")
 
-    banded = classes.select("node", "n", F.explode("bands").alias("band"))
+    banded = classes.select("node", "n", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("band", "hub")
     # members of buckets with two classes or more
-    members = staged(banded.join(shared, "band").select("band", "node", "n", "hub"), "buckets")
+    members = staged(banded.join(shared, "band").select("band", "at", "node", "n", "hub"), "buckets")
     first = members.groupBy("node").agg(F.min("hub").alias("hub"))
     sizes = classes.select("node", "n").groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     near = lambda a, b: (F.col(f"{a}.high") * 100 >= F.col(f"{b}.low") * percent) & (F.col(f"{b}.high") * 100 >= F.col(f"{a}.low") * percent)
@@ -145,14 +204,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     links = staged(_confirm(star, sets, percent), "links")
     linked = components(links)
-    member = members.join(linked, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("c"))
-    mixed_ = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    open_ = staged(member.join(mixed_, "band"), "open-buckets")
-    left, right = open_.alias("l"), open_.alias("r")
-    fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
-    pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c")) & fits)
-    pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("bands")).where("bands >= 2").select("a", "b")
-    late = staged(_confirm(pairs, sets, percent), "late-links")
+    member = members.join(linked, "node", "left").select("band", "at", "n", "node", F.coalesce("component", "node").alias("c"))
+    mixed_ = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("band", "blocks")
+    open_ = member.join(mixed_, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # each block meets each: a row goes to as many pairs of blocks as its bucket has blocks
+    pair_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
+    spread = open_.withColumn("__p", F.explode(pair_of)).select("band", "at", "n", "node", "c", "block", "__p.i", "__p.j")
+    short = known.where("n > 0").select(F.col("did").alias("node"), F.col("tkey"), _short_bands("bands").alias("own"), "coords").join(wanted, ["node", "tkey"]).drop("tkey").dropDuplicates(["node"])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.join(short, "node").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    pairs = dealt.select("band", "i", "j", "block", "node", "c", "n", "own", "coords", "at").mapInArrow(_block_pairs(percent), "a long, b long")
+    late = staged(_confirm(pairs.distinct(), sets, percent), "late-links")
 
     whole = components(links.unionByName(late))
     node_of = classes.join(whole, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
