@@ -192,8 +192,8 @@ def test_repeats(spark, docs, window):
 def test_anchors_brute_force():
     rng = np.random.default_rng(4)
     for n, span in ((5, 5), (40, 7), (200, 28), (3, 9)):
-        v = rng.integers(0, 12, n).astype(np.uint64)
-        want = [max(range(i, i + span), key=lambda p: (-int(v[p]), p)) for i in range(n - span + 1)]
+        v = rng.integers(0, 12, n).astype(np.uint64) << np.uint64(40)
+        want = [max(range(i, i + span), key=lambda p: (-int(v[p]), -p)) for i in range(n - span + 1)]
         assert substrings.anchors(v, span).tolist() == want
 
 
