@@ -32,31 +32,40 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import staged
 from lodestone.llm.words import WordHashes, rolling
 
-PHRASE = 8
+PHRASE, LETTERS = 8, 4
 _HASHES = WordHashes()
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def anchors(phrases: np.ndarray, span: int) -> np.ndarray:
-    """For each run of ``span`` phrases the position of its smallest, the last of equals."""
+    """For each run of ``span`` phrases the position of its smallest, the first of equals.
+
+    Phrases are ordered by their high 40 bits, then by place; positions never go back.
+    """
     n = len(phrases) - span + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
     # minima of blocks from the left and from the right meet in every window
-    size = -(-len(phrases) // span) * span
-    pos = np.arange(size, dtype=np.int64)
-    value = np.full(size, np.uint64(2**64 - 1))
-    value[: len(phrases)] = phrases
+    value = np.full(-(-len(phrases) // span) * span, np.uint64(2**64 - 1))
+    value[: len(phrases)] = (phrases & ~_PLACE) | (np.arange(len(phrases), dtype=np.uint64) & _PLACE)
     block = value.reshape(-1, span)
     left = np.minimum.accumulate(block, axis=1).ravel()
     right = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(right[:n], left[span - 1 : span - 1 + n])
-    # the last position at or before a window's end that holds its minimum
-    keys = np.unique(phrases)
-    ranks = np.searchsorted(keys, phrases).astype(np.int64)
-    combined = ranks * (size + 1) + pos[: len(phrases)]
-    sorted_combined = np.sort(combined)
-    want = np.searchsorted(keys, low).astype(np.int64) * (size + 1) + np.arange(n) + span - 1
-    return sorted_combined[np.searchsorted(sorted_combined, want, side="right") - 1] % (size + 1)
+    low = (np.minimum(right[:n], left[span - 1 : span - 1 + n]) & _PLACE).astype(np.int64)
+    start = np.arange(n)
+    return start + ((low - start) & int(_PLACE))
+
+
+def _distinct(at: np.ndarray) -> np.ndarray:
+    """Distinct values of positions that never go back."""
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``known`` (not empty), without sorting anything anew."""
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
 
 
 def _anchored(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +102,7 @@ def _anchor_rows(window: int):
                 if len(words) < window:
                     continue
                 _, phrases, at = _anchored(words, window)
-                at = np.unique(at)
+                at = _distinct(at)
                 hashes, weights = held.setdefault(part, ([], []))
                 hashes.append(phrases[at])
                 weights.append(np.full(len(at), copies))
@@ -106,11 +115,24 @@ def _anchor_rows(window: int):
     return run
 
 
-def _phrase_shard(phrases: dict[int, tuple]) -> ahocorasick.Automaton:
-    """An automaton over word ids whose values are the phrases' hashes."""
-    shard = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for value, key in phrases.items():
-        shard.add_word(key, value)
+def _letters(h: np.ndarray) -> str:
+    """A text of word ids: LETTERS letters a word, each from an alphabet of its own of 32.
+
+    So the automaton's states have few edges, and phrases are met at words' beginnings only.
+    Two words may share their letters; a phrase of eight that is met by such chance only adds
+    windows, which are compared by their full hashes.
+    """
+    out = np.empty((len(h), LETTERS), dtype=np.uint8)
+    for k in range(LETTERS):
+        out[:, k] = ((h >> np.uint64(5 * k)) & np.uint64(31)).astype(np.uint8) + 32 * k
+    return out.tobytes().decode("ascii")
+
+
+def _phrase_shard(phrases: set[str]) -> ahocorasick.Automaton:
+    """An automaton over word ids."""
+    shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for key in phrases:
+        shard.add_word(key)
     shard.make_automaton()
     return shard
 
@@ -123,24 +145,21 @@ def _window_rows(window: int):
         known = np.sort(recurring.column("h").to_numpy().view(np.uint64))
         hashes, weights = [], []
         if len(known):
-            parsed, phrases_of = [], {}
+            parsed, recur = [], set()
             for text, copies in zip(texts.column("text").cast(pa.binary()).to_pylist(), texts.column("copies").to_pylist()):
                 words = text.split()
                 if len(words) < window:
                     continue
                 h, phrases, at = _anchored(words, window)
-                own = np.unique(at)
-                own = own[np.isin(phrases[own], known)]
-                ids = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for p in own.tolist():
-                    value = int(phrases[p])
-                    if value not in phrases_of:
-                        phrases_of[value] = tuple(ids[p : p + PHRASE].tolist())
+                own = _distinct(at)
+                own = own[_among(phrases[own], known)]
+                ids = _letters(h)
+                recur.update(ids[LETTERS * p : LETTERS * (p + PHRASE)] for p in own.tolist())
                 parsed.append((h, phrases, at, ids, copies))
-            if phrases_of:
-                shard = _phrase_shard(phrases_of)
+            if recur:
+                shard = _phrase_shard(recur)
                 for h, phrases, at, ids, copies in parsed:
-                    places = np.array([end - PHRASE + 1 for end, _ in shard.iter(tuple(ids.tolist()))], dtype=np.int64)
+                    places = np.array([(end + 1) // LETTERS - PHRASE for end, _ in shard.iter(ids)], dtype=np.int64)
                     if not len(places):
                         continue
                     met = np.zeros(len(phrases), dtype=bool)
@@ -165,9 +184,7 @@ def _marked(window: int, digest: bool):
             gone = 0
             if len(words) >= window and len(known):
                 w = rolling(_HASHES.of(words), window)
-                at = np.searchsorted(known, w)
-                at[at == len(known)] = 0
-                starts = np.flatnonzero(known[at] == w)
+                starts = np.flatnonzero(_among(w, known))
                 if len(starts):
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
                     edge[starts] += 1
