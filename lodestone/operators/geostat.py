@@ -76,3 +76,93 @@ def swath(blocks: DataFrame, samples: DataFrame, axis: str, width: float, value:
     b = blocks.where(F.col(value).isNotNull()).groupBy(place).agg(F.count("*").alias("blocks"), F.avg(value).alias("block_mean"))
     s = samples.where(F.col(value).isNotNull()).groupBy(place).agg(F.count("*").alias("samples"), (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("sample_mean"))
     return b.join(s, "slice", "full")
+
+
+MODELS = ("spherical", "exponential", "gaussian")
+
+
+def model_gamma(h, kind: str, nugget: float, sill: float, reach: float):
+    """Variogram model with a practical range and the total sill, on numbers or arrays."""
+    import numpy as np
+
+    t = np.asarray(h, dtype=float) / reach
+    if kind == "spherical":
+        s = np.where(t < 1, 1.5 * t - 0.5 * t**3, 1.0)
+    elif kind == "exponential":
+        s = 1 - np.exp(-3 * t)
+    elif kind == "gaussian":
+        s = 1 - np.exp(-3 * t * t)
+    else:
+        raise ValueError(kind)
+    return np.where(t > 0, nugget + (sill - nugget) * s, 0.0)
+
+
+def fit_model(bins: list[tuple[float, float, int]], kind: str, steps: int = 200) -> dict:
+    """Nugget, sill and range by least squares weighted by pairs; ``bins`` are (h, gamma, pairs) of a few lags.
+
+    For each trial range the two coefficients are linear; the best range is then refined once.
+    """
+    import numpy as np
+
+    h, g, w = (np.array([b[i] for b in bins], dtype=float) for i in range(3))
+    best = (np.inf, 0.0, 0.0, 1.0)
+    lo, hi = h.max() / steps, 2 * h.max()
+    for _ in range(2):
+        for reach in np.linspace(lo, hi, steps):
+            s = model_gamma(h, kind, 0.0, 1.0, reach)
+            a = np.stack([1 - s, s], axis=1) * np.sqrt(w)[:, None]  # nugget, sill
+            c = np.linalg.lstsq(a, g * np.sqrt(w), rcond=None)[0]
+            if c[0] < 0:
+                c = np.array([0.0, max(0.0, float((w * s * g).sum() / max((w * s * s).sum(), 1e-300)))])
+            c[1] = max(c[1], c[0])
+            sse = float((w * (g - model_gamma(h, kind, c[0], c[1], reach)) ** 2).sum())
+            if sse < best[0] - 1e-12 * abs(best[0] if np.isfinite(best[0]) else 0):
+                best = (sse, float(c[0]), float(c[1]), float(reach))
+        width = (hi - lo) / steps
+        lo, hi = max(best[3] - 2 * width, 1e-9), best[3] + 2 * width
+    return {"kind": kind, "nugget": best[1], "sill": best[2], "range": best[3], "sse": best[0]}
+
+
+def krige(targets: DataFrame, points: DataFrame, target_key: str, point_key: str, value: str, radius: float, model: dict, most: int = 12, least: int = 2) -> DataFrame:
+    """Ordinary kriging in the plane: ``target_key, n, estimate, variance``.
+
+    Neighbours are found by grid joins and gathered as one bounded array per target; each
+    target's small system is solved in an Arrow batch. A singular system gives the
+    inverse-square estimate and no variance.
+    """
+    import numpy as np
+    import pandas as pd
+
+    pairs = within(targets, points.where(F.col(value).isNotNull()), radius)
+    order = Window.partitionBy("a").orderBy("d2", F.col(f"b.{point_key}"))
+    near = pairs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most)
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    packed = near.groupBy(F.col(f"a.{target_key}").alias(target_key)).agg(F.sort_array(F.collect_list(F.struct("__r", dx.alias("dx"), dy.alias("dy"), F.col(f"b.{value}").alias("v")))).alias("p"))
+    packed = packed.select(target_key, *(F.col(f"p.{k}").alias(k) for k in ("dx", "dy", "v"))).where(F.size("v") >= least)
+
+    def solve(batches):
+        for pdf in batches:
+            n, est, var = [], [], []
+            for x, y, v in zip(pdf["dx"], pdf["dy"], pdf["v"]):
+                x, y, v = (np.asarray(c, dtype=float) for c in (x, y, v))
+                m = len(v)
+                d0 = np.hypot(x, y)
+                n.append(m)
+                if d0.min() < 1e-3:
+                    est.append(float(v[d0.argmin()]))
+                    var.append(0.0)
+                    continue
+                a = np.ones((m + 1, m + 1))
+                a[:m, :m] = model["sill"] - model_gamma(np.hypot(x[:, None] - x, y[:, None] - y), model["kind"], model["nugget"], model["sill"], model["range"])
+                a[m, m] = 0
+                c = np.append(model["sill"] - model_gamma(d0, model["kind"], model["nugget"], model["sill"], model["range"]), 1.0)
+                try:
+                    w = np.linalg.solve(a, c)
+                    est.append(float(w[:m] @ v))
+                    var.append(max(0.0, float(model["sill"] - w @ c)))
+                except np.linalg.LinAlgError:
+                    est.append(float((v / d0**2).sum() / (1 / d0**2).sum()))
+                    var.append(None)
+            yield pd.DataFrame({target_key: pdf[target_key], "n": n, "estimate": est, "variance": var})
+
+    return packed.mapInPandas(solve, f"{target_key} long, n int, estimate double, variance double")

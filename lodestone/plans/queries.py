@@ -623,3 +623,75 @@ def stream_binned(spark, d):
     stream = logs.read_growing(spark, source, "ts timestamp, event_type string, value double")
     logs.run_to_end(logs.binned(stream, "ts", ["event_type"], "value"), out, mark)
     return spark.read.parquet(out).withColumn("total", rounded(F.col("total"), 2))
+
+
+# joins and directions
+
+from lodestone.operators import joins, orientation  # noqa: E402
+
+
+@query(with_("bl") + f" SELECT a.id, a.value, b.density, {r('a.value * b.density')} AS product FROM bl a JOIN bl b ON a.x = b.x AND a.y = b.y AND a.z = b.z WHERE b.id % 3 <> 0")
+def lattice_join(spark, d):
+    a = bind.blocks(spark, d)
+    moved = a.where("id % 3 <> 0").withColumns({c: F.col(c) + 1e-5 for c in "xyz"})
+    out = joins.lattice_join(a.select("id", "value", "x", "y", "z"), moved, ["density"])
+    return out.select("id", "value", "density", rounded(F.col("value") * F.col("density")).alias("product"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+SELECT c_custkey, c_nationkey, o_orderstatus, o_orderkey AS first_order FROM customer LEFT JOIN l ON o_custkey = c_custkey AND k = 1""")
+def join_by_sample_id(spark, d):
+    lab = bind.table(spark, d, "orders").select(F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".0 ")).alias("lab_id"), "o_orderstatus", F.col("o_orderkey").alias("first_order"), F.col("o_orderkey").alias("row"))
+    field = bind.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return joins.join_by_id(field, lab, "c_custkey", "lab_id", "row")
+
+
+@query(with_("rd") + f""", b AS (SELECT hole, depth AS t, max(value) AS v FROM rd WHERE hole < 3 GROUP BY hole, depth), m AS (SELECT hole, median(v) AS m FROM b GROUP BY hole),
+q AS (SELECT event_id, depth, value FROM rd WHERE hole >= 3), j AS (SELECT q.*, b0.hole, b0.t AS t0, b0.v AS v0, b1.t AS t1, b1.v AS v1 FROM (SELECT q.*, m.hole FROM q, m) q ASOF LEFT JOIN b b0 ON b0.hole = q.hole AND b0.t <= q.depth ASOF LEFT JOIN b b1 ON b1.hole = q.hole AND b1.t >= q.depth),
+k AS (SELECT event_id, depth, value, avg(CASE WHEN depth = t0 THEN v0 WHEN t1 - t0 <= 1440 THEN v0 + (v1 - v0) * (depth - t0) / (t1 - t0) END - m) AS drift FROM j JOIN m USING (hole) GROUP BY 1, 2, 3)
+SELECT event_id, depth, value, {r("drift")} AS drift, {r("value - drift")} AS corrected FROM k""")
+def diurnal_correction(spark, d):
+    rd = bind.readings(spark, d)
+    base = rd.where("hole < 3").groupBy("hole", "depth").agg(F.max("value").alias("value"))
+    out = joins.diurnal_correct(rd.where("hole >= 3").select("event_id", "depth", "value"), base, "depth", "value", "hole", 1440.0)
+    return out.select("event_id", "depth", "value", rounded(F.col("drift")).alias("drift"), rounded(F.col("corrected")).alias("corrected"))
+
+
+_NAMES = ["Economy ", "STANDART", "promo", "larg", "Smal-l"]
+
+
+@query("""WITH t AS (SELECT DISTINCT p_type FROM part), n AS (SELECT unnest(['Economy ', 'STANDART', 'promo', 'larg', 'Smal-l']) AS name),
+e AS (SELECT p_type, name, levenshtein(regexp_replace(lower(p_type), '[\\s_\\-]+', '', 'g'), regexp_replace(lower(name), '[\\s_\\-]+', '', 'g')) AS edits FROM t, n)
+SELECT p_type, CASE WHEN min(edits) <= 2 THEN arg_min(name, (edits, name)) END AS name, CAST(min(edits) AS INTEGER) AS edits FROM e GROUP BY p_type""")
+def harmonised_codes(spark, d):
+    return joins.harmonise(bind.table(spark, d, "part"), "p_type", _NAMES)
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (WHERE {a} > 0 AND {b} > 0) AS n, {r(f'corr(log10(CASE WHEN {a} > 0 AND {b} > 0 THEN {a} END), log10(CASE WHEN {a} > 0 AND {b} > 0 THEN {b} END))')} AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))))
+def correlation_matrix_log(spark, d):
+    return joins.pair_matrix(bind.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], log=True).withColumn("r", rounded(F.col("r")))
+
+
+@query(with_("st") + f""", v AS (SELECT hole % 20 AS g, -sin(radians(-dip)) * sin(radians(azimuth)) AS x, -sin(radians(-dip)) * cos(radians(azimuth)) AS y, -cos(radians(-dip)) AS z FROM st),
+s AS (SELECT g, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM v GROUP BY g), q AS (SELECT *, sqrt(x * x + y * y + z * z) AS l, degrees(atan2(x, y)) AS a FROM s)
+SELECT g, n, {r("l", 3)} AS resultant, {r("a - 360 * floor(a / 360)", 2)} AS azimuth, {r("degrees(asin(-z / l))", 3)} AS plunge, {r("(n - 1) / (n - l)")} AS kappa FROM q""")
+def fisher_statistics(spark, d):
+    x, y, z = orientation.pole(-F.col("dip"), F.col("azimuth"))
+    rows = bind.stations(spark, d).select((F.col("hole") % 20).alias("g"), x.alias("x"), y.alias("y"), z.alias("z"))
+    out = orientation.fisher(rows, ["g"], "x", "y", "z")
+    return out.select("g", "n", rounded(F.col("resultant"), 3).alias("resultant"), rounded(F.col("azimuth"), 2).alias("azimuth"), rounded(F.col("plunge"), 3).alias("plunge"), rounded(F.col("kappa")).alias("kappa"))
+
+
+@query(with_("st") + f" SELECT hole % 5 AS g, CAST(floor(azimuth / 30) * 30 AS INTEGER) AS bin, count(*) AS n, {r('count(*) / sum(count(*)) OVER (PARTITION BY hole % 5)', 6)} AS share FROM st GROUP BY 1, 2")
+def rose_bins(spark, d):
+    rows = bind.stations(spark, d).withColumn("g", F.col("hole") % 5)
+    return orientation.rose(rows, ["g"], "azimuth", 30).withColumn("share", rounded(F.col("share"), 6))
+
+
+@query()
+def kriged_blocks(spark, d):
+    pts = bind.points(spark, d)
+    bins = geostat.variogram(pts, "id", "value", 60.0, 6).orderBy("bin").collect()
+    model = geostat.fit_model([(b.h, b.gamma, b.pairs) for b in bins], "spherical")
+    targets = bind.blocks(spark, d).select("id", (F.col("x") * 5).alias("x"), (F.col("y") * 5).alias("y"))
+    return geostat.krige(targets, pts, "id", "id", "value", 250.0, model)
