@@ -695,3 +695,74 @@ def kriged_blocks(spark, d):
     model = geostat.fit_model([(b.h, b.gamma, b.pairs) for b in bins], "spherical")
     targets = bind.blocks(spark, d).select("id", (F.col("x") * 5).alias("x"), (F.col("y") * 5).alias("y"))
     return geostat.krige(targets, pts, "id", "id", "value", 250.0, model)
+
+
+# drilling
+
+from lodestone.operators import drilling  # noqa: E402
+
+
+@query(with_("st") + """, s AS (SELECT hole, lag(depth) OVER w AS from_, depth AS to_, depth - lag(depth) OVER w AS step FROM st WINDOW w AS (PARTITION BY hole ORDER BY depth)), u AS (SELECT hole, median(step) AS usual FROM s WHERE step > 0 GROUP BY hole)
+SELECT hole, from_, to_, step, usual FROM s JOIN u USING (hole) WHERE step > 1.6 * usual""")
+def survey_gaps(spark, d):
+    return drilling.survey_gaps(bind.stations(spark, d), 1.6)
+
+
+@query(with_("st") + f""", e AS (SELECT hole, min(depth) AS d0, max(depth) AS d1, arg_min(azimuth, depth) AS a0, arg_max(azimuth, depth) AS a1, arg_min(dip, depth) AS i0, arg_max(dip, depth) AS i1 FROM st GROUP BY hole), t AS (SELECT *, a1 - a0 + 180 AS v FROM e WHERE d1 > d0)
+SELECT hole, {r("(i1 - i0) * 100 / (d1 - d0)")} AS lift, {r("(v - 360 * floor(v / 360) - 180) * 100 / (d1 - d0)")} AS drift FROM t""")
+def survey_deviation(spark, d):
+    return drilling.deviation(bind.stations(spark, d)).select("hole", rounded(F.col("lift")).alias("lift"), rounded(F.col("drift")).alias("drift"))
+
+
+@query(with_("pt") + f""", n AS (SELECT a.id, sqrt(min({_D2})) AS d FROM pt a JOIN pt b ON a.id <> b.id GROUP BY a.id), k AS (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM n)
+SELECT any_value(n) AS n, {r("min(d)")} AS least, {r("min(d) FILTER (WHERE k > n // 2)")} AS median, {r("max(d)")} AS most FROM k""")
+def hole_spacing(spark, d):
+    out = drilling.spacing(bind.points(spark, d), "id", 50.0)
+    return out.withColumns({c: rounded(F.col(c)) for c in ("least", "median", "most")})
+
+
+@query(with_("pt") + f""", l AS (SELECT avg(x) AS cx, avg(y) AS cy, 90 - degrees(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y))) AS b FROM pt), m AS (SELECT *, radians(b - 180 * floor(b / 180)) AS t FROM l)
+SELECT id, {r("(x - cx) * sin(t) + (y - cy) * cos(t)", 3)} AS along, {r("(x - cx) * cos(t) - (y - cy) * sin(t)", 3)} AS offset_ FROM pt, m""")
+def fence_projection(spark, d):
+    pts = bind.points(spark, d).select("id", "x", "y")
+    out = drilling.to_line(pts, drilling.best_line(pts))
+    return out.select("id", rounded(F.col("along"), 3).alias("along"), rounded(F.col("offset"), 3).alias("offset_"))
+
+
+@query(with_("st") + f""", t AS (SELECT hole, depth, -depth * 0.5 + (hole % 40) AS z FROM st), l AS (SELECT hole, depth AS d1, z AS z1, lag(depth) OVER w AS d0, lag(z) OVER w AS z0 FROM t WINDOW w AS (PARTITION BY hole ORDER BY depth)),
+s AS (SELECT *, greatest(0, least((-30 - z0) / (z1 - z0), (-10 - z0) / (z1 - z0))) AS s0, least(1, greatest((-30 - z0) / (z1 - z0), (-10 - z0) / (z1 - z0))) AS s1 FROM l WHERE d1 > d0)
+SELECT hole, {r("d0 + s0 * (d1 - d0)")} AS from_, {r("d0 + s1 * (d1 - d0)")} AS to_ FROM s WHERE d0 + s1 * (d1 - d0) > d0 + s0 * (d1 - d0) + 1e-9""")
+def level_slab_runs(spark, d):
+    trace = bind.stations(spark, d).select("hole", "depth", (-F.col("depth") * 0.5 + F.col("hole") % 40).alias("z"))
+    return drilling.slab_runs(trace, -30.0, -10.0).select("hole", rounded(F.col("from_")).alias("from_"), rounded(F.col("to_")).alias("to_"))
+
+
+@query(with_("iv") + f""", p AS (SELECT hole, code, count(*) / sum(count(*)) OVER (PARTITION BY hole) AS p FROM iv GROUP BY hole, code) SELECT hole, {r("max(p)")} AS most, {r("-sum(p * log2(p))")} AS entropy FROM p GROUP BY hole""")
+def unit_uncertainty(spark, d):
+    p = drilling.unit_probability(bind.intervals(spark, d), "hole", "code")
+    return drilling.unit_entropy(p, "hole").select("hole", rounded(F.col("most")).alias("most"), rounded(F.col("entropy")).alias("entropy"))
+
+
+@query("""WITH s AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) WHEN p_partkey % 3 = 1 THEN p_type || 's' ELSE p_type END AS v FROM part), n AS (SELECT regexp_replace(regexp_replace(lower(v), '[\\s_\\-]+', '', 'g'), 's$', '') AS key, v AS spelling, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT key, spelling, n FROM n QUALIFY count(*) OVER (PARTITION BY key) > 1""")
+def twin_spellings(spark, d):
+    k = F.col("p_partkey") % 3
+    t = bind.table(spark, d, "part").select(F.when(k == 0, F.upper("p_type")).when(k == 1, F.concat("p_type", F.lit("s"))).otherwise(F.col("p_type")).alias("v"))
+    return drilling.twin_values(t, "v")
+
+
+@query(with_("iv") + f""", x AS (SELECT hole, value, to_ - from_ AS w, CASE WHEN code <> 'N' THEN 2 + value * 0.125 END AS d FROM iv), k AS (SELECT hole, sum(w * d) / sum(w) FILTER (WHERE d IS NOT NULL) AS m FROM x GROUP BY hole)
+SELECT hole, {r("sum(value * w * coalesce(d, m, 1)) / sum(w * coalesce(d, m, 1))")} AS grade, {r("sum(w * coalesce(d, m, 1))")} AS mass FROM x JOIN k USING (hole) GROUP BY hole""")
+def density_weighted_grade(spark, d):
+    iv = bind.intervals(spark, d).select("hole", "value", (F.col("to_") - F.col("from_")).alias("len"), F.when(F.col("code") != "N", 2 + F.col("value") * 0.125).alias("density"))
+    out = drilling.density_weighted(iv, ["hole"], "value", "len", "density")
+    return out.select("hole", rounded(F.col("grade")).alias("grade"), rounded(F.col("mass")).alias("mass"))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS hole, CAST((o_orderkey * 37) % 100 AS DOUBLE) AS x, CAST((o_orderkey * 91) % 100 AS DOUBLE) AS y, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 5 AS DOUBLE) END AS z, CAST(o_orderkey % 400 AS DOUBLE) AS az, floor(o_totalprice / 1000) - 5 AS len FROM orders),
+i AS (SELECT hole, len, unnest([CASE WHEN z IS NULL THEN 'error/no position' END, CASE WHEN az > 360 THEN 'warning/azimuth outside 0-360' END, CASE WHEN len <= 0 THEN 'warning/length not positive' END, CASE WHEN count(*) OVER (PARTITION BY x, y, z) > 1 THEN 'warning/shared position' END]) AS m FROM c)
+SELECT split_part(m, '/', 1) AS severity, 'Collars' AS category, split_part(m, '/', 2) AS rule, hole, 0.0::DOUBLE AS from_, len AS to_ FROM i WHERE m IS NOT NULL""")
+def collar_issues(spark, d):
+    k = F.col("o_orderkey")
+    c = bind.table(spark, d, "orders").select(k.alias("hole"), ((k * 37) % 100).cast("double").alias("x"), ((k * 91) % 100).cast("double").alias("y"), F.when(k % 11 != 0, (k % 5).cast("double")).alias("z"), (k % 400).cast("double").alias("azimuth"), F.lit(-60.0).alias("dip"), (F.floor(F.col("o_totalprice") / 1000) - 5).cast("double").alias("length"))
+    return quality.collar_issues(c)
