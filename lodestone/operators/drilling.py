@@ -30,7 +30,7 @@ def spacing(points: DataFrame, key: str, start: float) -> DataFrame:
     ranked = near.groupBy("d").agg(F.count("*").alias("k"))
     cum = F.sum("k").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
     total = near.agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
-    middle = ranked.withColumn("__c", cum).crossJoin(F.broadcast(total)).where(F.col("__c") > F.floor(F.col("n") / 2)).groupBy("n", "least", "most").agg(F.min("d").alias("median"))
+    middle = ranked.withColumns({"__c": cum, "__k": F.lit(1)}).join(F.broadcast(total.withColumn("__k", F.lit(1))), "__k").where(F.col("__c") > F.floor(F.col("n") / 2)).groupBy("n", "least", "most").agg(F.min("d").alias("median"))
     return middle.select("n", "least", "median", "most")
 
 
@@ -44,7 +44,7 @@ def to_line(points: DataFrame, line: DataFrame) -> DataFrame:
     """Points with distance along and to the right of a line (one row: cx, cy, bearing)."""
     b = F.radians("bearing")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    placed = points.crossJoin(F.broadcast(line.select("cx", "cy", "bearing").limit(1)))
+    placed = points.withColumn("__k", F.lit(1)).join(F.broadcast(line.select("cx", "cy", "bearing", F.lit(1).alias("__k")).limit(1)), "__k").drop("__k")
     return placed.withColumns({"along": dx * F.sin(b) + dy * F.cos(b), "offset": dx * F.cos(b) - dy * F.sin(b)}).drop("cx", "cy", "bearing")
 
 

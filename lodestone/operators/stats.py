@@ -48,7 +48,7 @@ def top_metal(rows: DataFrame, value: str, weight: str, tops: tuple[int, ...] =
     ranked = most.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), F.desc("metal"))))
     sums = ranked.agg(*(F.sum(F.when(F.col("rank") <= k, F.col("metal"))).alias(f"top{k}") for k in tops))
     stacked = sums.selectExpr(f"stack({len(tops)}, {', '.join(f'{k}L, top{k}' for k in tops)}) as (top, metal)")
-    return stacked.crossJoin(F.broadcast(total)).select("top", "metal", (F.col("metal") / F.col("all")).alias("share"))
+    return stacked.withColumn("__k", F.lit(1)).join(F.broadcast(total.withColumn("__k", F.lit(1))), "__k").select("top", "metal", (F.col("metal") / F.col("all")).alias("share"))
 
 
 def above_cutoffs(rows: DataFrame, value: str, weight: str, cutoffs: list[float]) -> DataFrame:
