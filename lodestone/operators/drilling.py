@@ -27,11 +27,8 @@ def deviation(stations: DataFrame) -> DataFrame:
 def spacing(points: DataFrame, key: str, start: float) -> DataFrame:
     """Distance of each point to its nearest other: n, least, upper median and most."""
     near = k_nearest(points, points, key, 1, start, other=key).select(F.sqrt("d2").alias("d"))
-    ranked = near.groupBy("d").agg(F.count("*").alias("k"))
-    cum = F.sum("k").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
-    total = near.agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
-    middle = ranked.withColumns({"__c": cum, "__k": F.lit(1)}).join(F.broadcast(total.withColumn("__k", F.lit(1))), "__k").where(F.col("__c") > F.floor(F.col("n") / 2)).groupBy("n", "least", "most").agg(F.min("d").alias("median"))
-    return middle.select("n", "least", "median", "most")
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)")
+    return near.agg(F.count("*").alias("n"), F.min("d").alias("least"), middle.alias("median"), F.max("d").alias("most"))
 
 
 def best_line(points: DataFrame) -> DataFrame:

@@ -6,20 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cumulative(rows: DataFrame, by: list[str], value: str, weight: Column | None = None, cuts: int = 128) -> DataFrame:
+    """Per distinct value: its weight ``w``, the weight ``cum`` up to it and the group's ``total``.
+
+    A group may be most of the table, so it isn't sorted by one task: values are cut into
+    buckets of about equal counts (an approximate aggregate), buckets are summed first, and
+    a window runs inside each bucket on top of the sum of those before. The cuts only decide
+    who does the work. Rows with a null value or group take no part.
+    """
+    held = rows.where(F.col(value).isNotNull())
+    for c in by:
+        held = held.where(F.col(c).isNotNull())
+    marks = held.agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0]
+    marks = sorted(set(marks or []))
+    one = held.groupBy(*by, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("w"))
+    kind = f"array<{dict(held.dtypes)[value]}>"
+    one = one.withColumn("__b", F.size(F.filter(F.lit(marks).cast(kind), lambda m: m <= F.col(value))) if marks else F.lit(0))
+    sums = one.groupBy(*by, "__b").agg(F.sum("w").alias("__s"))
+    group = Window.partitionBy(*by)
+    before = F.sum("__s").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*by, "__b", F.coalesce(before, F.lit(0)).alias("__o"), F.sum("__s").over(group).alias("total"))
+    run = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return one.withColumn("__c", F.sum("w").over(run)).join(sums, [*by, "__b"]).select(*by, value, "w", (F.col("__o") + F.col("__c")).alias("cum"), "total")
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
     """The value at rank round(p (n - 1)), halves up."""
-    order = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(order) - 1).alias("__i"), n.alias("__n"))
-    return ranked.where(F.col("__i") == F.floor((F.col("__n") - 1) * p + 0.5)).select(*by, F.col(value).alias("quantile"))
+    rank = F.floor((F.col("total") - 1) * p + 0.5)  # from 0
+    held = cumulative(rows, by, value).where((F.col("cum") > rank) & (F.col("cum") - F.col("w") <= rank))
+    return held.select(*by, F.col(value).alias("quantile"))
 
 
 def length_percentile(rows: DataFrame, by: list[str], value: str, weight: str, p: float) -> DataFrame:
     """The smallest value whose cumulative weight reaches the share ``p`` of the whole."""
-    order = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    held = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0))
-    cum = held.select(*by, value, F.sum(weight).over(order).alias("__c"), F.sum(weight).over(Window.partitionBy(*by)).alias("__t"))
-    return cum.where(F.col("__c") >= F.col("__t") * p).groupBy(*by).agg(F.min(value).alias("quantile"))
+    cum = cumulative(rows.where(F.col(weight) > 0), by, value, F.col(weight))
+    return cum.where(F.col("cum") >= F.col("total") * p).groupBy(*by).agg(F.min(value).alias("quantile"))
 
 
 def weighted_summary(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
@@ -100,9 +121,7 @@ def population_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def average_ranks(rows: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Ranks from 1 with the mean rank for ties, from one count per distinct value."""
     by = by or []
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__k"))
-    below = F.sum("__k").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(below, F.lit(0)) + (F.col("__k") + 1) / 2).drop("__k")
+    ranks = cumulative(rows, by, value).select(*by, value, (F.col("cum") - F.col("w") + (F.col("w") + 1) / 2).alias(out))
     return rows.join(ranks, [*by, value])
 
 
@@ -126,10 +145,8 @@ def line_fit(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
 
 def probability_points(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """Each distinct value's plotting position: (cumulated weight - half its own) / total."""
-    w = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    cum = F.sum("__w").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__w").over(Window.partitionBy(*by))
-    return w.select(*by, value, ((cum - F.col("__w") / 2) / total).alias("position"))
+    cum = cumulative(rows.where(F.col(weight) > 0), by, value, F.col(weight))
+    return cum.select(*by, value, ((F.col("cum") - F.col("w") / 2) / F.col("total")).alias("position"))
 
 
 def class_breaks(rows: DataFrame, value: str, classes: int, rule: str = "quantile") -> DataFrame:
