@@ -140,6 +140,23 @@ def test_chains_of_copies(spark):
     assert got == brute_components(rows, 4)
 
 
+@pytest.mark.parametrize("edits", [4, 14, 24])
+def test_group_of_near_copies_around_an_absent_text(spark, edits, monkeypatch):
+    """Copies of one text, each with its own edits: neighbours in a bucket, linked or not by chance."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)  # several blocks
+    rng = random.Random(edits)
+    base = [f"b{i}" for i in range(240)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for p in rng.sample(range(240), rng.randint(0, edits) if i % 4 else edits // 2):
+            words[p] = f"e{i}_{p}"
+        rows.append((rng.randrange(10**6), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["__did"], r.n_shingles, r.component) for r in minhash.near_duplicates(df, 4).collect())
+    assert got == brute_components(rows, 4)
+
+
 def test_sketch_fills_every_coordinate():
     for n in (1, 2, 5, 100, 5000):
         assert minhash.sketch(np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))).max() < 2**64 - 1
