@@ -8,10 +8,12 @@ probability of their similarity, and the number of agreements is concentrated ar
 
 Documents with equal sets are one class, found by a 128-bit fingerprint; only classes go on.
 Bands of the sketch give buckets. First each class is checked against the smallest class it
-shares a bucket with, and the links that hold give components. Then pairs of one bucket that
-are still in different components are compared by their whole sketches, block by block inside
-a task; only pairs whose sketches agree well enough become rows, once each. Every link is
-confirmed on the full shingle sets.
+shares a bucket with, and the links that hold give components. What is still open in a bucket
+is compared by whole sketches inside a task, which passes on no more than a forest over its
+members; the trees of all buckets give groups that hold every pair worth checking. A group's
+shingle sets meet once, block by block, and each pair of different components that agrees in
+the sketches is confirmed there on the full sets; again only a forest of links comes out. So
+rows follow the members of a group, never its pairs, and no link between components is lost.
 
 A pair of similarity 0.8 shares no band with a probability of 5e-8 (32 bands of 4), and its
 sketches agree in fewer than ``AGREE`` of the ``T`` coordinates with one of about 4e-5.
@@ -26,19 +28,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from lodestone.llm.common import NULL_ID, binary_values, ident, staged
 from lodestone.llm.graph import components
 from lodestone.llm.words import WordHashes, mixed, rolling
 
 T, BANDS, ROWS, AGREE = 512, 32, 4, 374
-BLOCK = 1024
+BLOCK = 512
 _EMPTY = np.uint64(2**64 - 1)
 _SKETCH_SQL = "did long, tkey long, n long, f1 long, f2 long, bands array<long>, coords binary"
 _SKETCH = pa.schema([("did", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary())])
@@ -97,45 +97,59 @@ def _sketches(k: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs of one (band, block, block) whose sketches agree; rows come sorted by these.
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
-    A pair is compared in the first band that it shares, and only if its two classes are of
-    different components and of sizes that allow the similarity.
+
+def _forest(percent: int, exact: bool):
+    """Links (a, b) between members of one (group, block, block); rows come sorted by these.
+
+    Members of different components are compared by size and sketch and, if ``exact``, by their
+    sets. A pair that holds joins two trees, so fewer links come out than there are members.
     """
 
     def compare(i: int, j: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda r: (r[0], r[1]))
-        block, node, c, n = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2, 3))
-        if (c == c[0]).all():
+        block, node, label, n = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2, 3))
+        if (label == label[0]).all():
             return
-        at = held[0][6]
-        own = np.frombuffer(b"".join(r[4] for r in held), dtype=np.int32).reshape(len(held), BANDS)
-        coords = np.frombuffer(b"".join(r[5] for r in held), dtype=np.uint8).reshape(len(held), T)
+        coords = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint8).reshape(len(held), T)
+        sets = [np.frombuffer(r[5], dtype=np.uint64) for r in held] if exact else None
+        # a link joins components; what is only worth checking joins members, since a pair of
+        # the same two components may hold where this one fails
+        tree = label.copy() if exact else np.arange(len(held))
+        right = np.flatnonzero(block == j)
         a, b = [], []
         for x in range(len(held) - 1):
-            if i != j and block[x] != i:
+            if block[x] != i:
                 break
-            y = np.arange(x + 1, len(held)) if i == j else np.flatnonzero(block == j)
-            y = y[(c[y] != c[x]) & (100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
-            if at and len(y):
-                y = y[~(own[y, :at] == own[x, :at]).any(axis=1)]
+            y = right[right > x] if i == j else right
+            y = y[(label[y] != label[x]) & (tree[y] != tree[x]) & (100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
             if len(y):
                 y = y[(coords[y] == coords[x]).sum(axis=1) >= AGREE]
-                a.append(np.minimum(node[x], node[y]))
-                b.append(np.maximum(node[x], node[y]))
+            for k in y.tolist():
+                if tree[k] != tree[x] and (sets is None or _similar(sets[x], sets[k], percent)):
+                    tree[tree == tree[k]] = tree[x]
+                    a.append(node[x])
+                    b.append(node[k])
         if a:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("band", "i", "j", "block", "node", "c", "n", "own", "coords", "at")]
-            for band, i, j, *rest in zip(*cols):
-                if key != (band, i, j):
+            cols = [batch.column(k).to_pylist() for k in ("grp", "i", "j", "block", "node", "c", "n", "coords", *(["items"] if exact else []))]
+            for grp, i, j, *rest in zip(*cols):
+                if key != (grp, i, j):
                     if len(held) > 1:
                         yield from compare(key[1], key[2], held)
-                    key, held = (band, i, j), []
+                    key, held = (grp, i, j), []
                 held.append(rest)
         if len(held) > 1:
             yield from compare(key[1], key[2], held)
@@ -143,6 +157,17 @@ def _block_pairs(percent: int):
     return run
 
 
+def _blocks_meet(members: DataFrame) -> DataFrame:
+    """``members`` (grp, node, c, ...) of groups with two components or more, dealt to pairs of blocks.
+
+    A row goes to as many pairs as its group has blocks.
+    """
+    open_ = members.groupBy("grp").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("__lo < __hi").select("grp", "blocks")
+    rows = members.join(open_, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
+    return rows.withColumn("__p", F.explode(pair_of)).select("*", "__p.i", "__p.j").drop("__p", "blocks")
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,24 +176,12 @@ def _sets(k: int):
     return run
 
 
-@F.pandas_udf(T_.BinaryType())
-def _short_bands(bands_: pd.Series) -> pd.Series:
-    """The low halves of the band hashes, packed."""
-    return bands_.map(lambda x: np.asarray(x, dtype=np.int64).astype(np.int32).tobytes())
-
-
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                keep.append(_similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -188,10 +201,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     classes = known.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("did", "tkey")).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     classes = staged(classes.select("f1", "f2", F.col("first.did").alias("node"), F.col("first.tkey").alias("tkey"), "n", "bands"), "classes")
 
-    banded = classes.select("node", "n", F.posexplode("bands").alias("at", "band"))
+    banded = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("band", "hub")
     # members of buckets with two classes or more
-    members = staged(banded.join(shared, "band").select("band", "at", "node", "n", "hub"), "buckets")
+    members = staged(banded.join(shared, "band").select("band", "node", "n", "hub"), "buckets")
     first = members.groupBy("node").agg(F.min("hub").alias("hub"))
     sizes = classes.select("node", "n").groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     near = lambda a, b: (F.col(f"{a}.high") * 100 >= F.col(f"{b}.low") * percent) & (F.col(f"{b}.high") * 100 >= F.col(f"{a}.low") * percent)
@@ -204,17 +217,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     links = staged(_confirm(star, sets, percent), "links")
     linked = components(links)
-    member = members.join(linked, "node", "left").select("band", "at", "n", "node", F.coalesce("component", "node").alias("c"))
-    mixed_ = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("band", "blocks")
-    open_ = member.join(mixed_, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # each block meets each: a row goes to as many pairs of blocks as its bucket has blocks
-    pair_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    spread = open_.withColumn("__p", F.explode(pair_of)).select("band", "at", "n", "node", "c", "block", "__p.i", "__p.j")
-    short = known.where("n > 0").select(F.col("did").alias("node"), F.col("tkey"), _short_bands("bands").alias("own"), "coords").join(wanted, ["node", "tkey"]).drop("tkey").dropDuplicates(["node"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.join(short, "node").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    pairs = dealt.select("band", "i", "j", "block", "node", "c", "n", "own", "coords", "at").mapInArrow(_block_pairs(percent), "a long, b long")
-    late = staged(_confirm(pairs.distinct(), sets, percent), "late-links")
+    order, shape = ["grp", "i", "j"], ["grp", "i", "j", "block", "node", "c", "n", "coords"]
+    labelled = members.join(linked, "node", "left").select(F.col("band").alias("grp"), "node", "n", F.coalesce("component", "node").alias("c"))
+    short = staged(known.where("n > 0").select(F.col("did").alias("node"), "tkey", "coords").join(wanted, ["node", "tkey"]).drop("tkey").dropDuplicates(["node"]), "coords")
+    dealt = _blocks_meet(labelled).join(short, "node").repartition(n, *order).sortWithinPartitions(*order)
+    worth = staged(dealt.select(*shape).mapInArrow(_forest(percent, False), "a long, b long"), "worth-checking")
+
+    groups = components(worth).select("node", F.col("component").alias("grp"))
+    inside = groups.join(classes.select("node", "n").dropDuplicates(["node"]), "node").join(linked, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("c"))
+    dealt = _blocks_meet(inside).join(short, "node").join(sets, "node").repartition(n, *order).sortWithinPartitions(*order)
+    late = staged(dealt.select(*shape, "items").mapInArrow(_forest(percent, True), "a long, b long"), "late-links")
 
     whole = components(links.unionByName(late))
     node_of = classes.join(whole, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
