@@ -40,6 +40,8 @@ from lodestone.llm.words import WordHashes, mixed, rolling
 T, BANDS, ROWS, AGREE = 512, 32, 4, 374
 BLOCK = 512
 _EMPTY = np.uint64(2**64 - 1)
+_LIKELY = 4 * T + T * T.bit_length()
+_SEEDS = np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 _SKETCH_SQL = "did long, tkey long, n long, f1 long, f2 long, bands array<long>, coords binary"
 _SKETCH = pa.schema([("did", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary())])
 _HASHES = WordHashes()
@@ -57,17 +59,24 @@ def shingles(text: bytes, k: int) -> np.ndarray:
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """The ``T`` coordinates of a non-empty set."""
+    """The ``T`` coordinates of a non-empty set.
+
+    As many rounds go together as are likely to fill all coordinates: values of a later round
+    are larger, so rounds past the last one needed change nothing.
+    """
     out = np.full(T, _EMPTY, dtype=np.uint64)
-    for i in range(2 * T):
-        h = mixed(items + np.uint64((i + 1) * 0xD1342543DE82EF95 % (1 << 64)))
-        value = np.uint64(i << 48) | (h >> np.uint64(16))
-        if i < T:
-            np.minimum.at(out, (h & np.uint64(T - 1)).astype(np.intp), value)
-        else:
-            out[i - T] = min(out[i - T], value.min())
+    i = 0
+    while i < T:
+        rounds = min(T - i, max(1, _LIKELY // len(items)))
+        h = mixed(items[None, :] + _SEEDS[i : i + rounds, None])
+        value = (np.arange(i, i + rounds, dtype=np.uint64)[:, None] << np.uint64(48)) | (h >> np.uint64(16))
+        np.minimum.at(out, (h & np.uint64(T - 1)).astype(np.intp).ravel(), value.ravel())
+        i += rounds
         if out.max() != _EMPTY:
-            break
+            return out
+    for i in range(T, 2 * T):
+        h = mixed(items + _SEEDS[i])
+        out[i - T] = min(out[i - T], (np.uint64(i << 48) | (h >> np.uint64(16))).min())
     return out
 
 
