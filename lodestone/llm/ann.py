@@ -5,7 +5,8 @@ Vectors are turned into points on which the largest inner product is the smalles
 rotations with random shifts and put in order along a Hilbert curve for each. Each curve is
 cut into segments of equal counts; the cuts come from a bounded sample, every row is indexed.
 A query looks at the segments around its own on every curve; what they hold is ranked by the
-exact inner product of the original vectors, and the curves' lists merge.
+inner product of the original vectors, summed in the order of the components so that a pair has
+one score wherever it is met, and the curves' lists merge by the pair of ids.
 
 How many segments a query must look at depends on the data: in high dimensions without
 structure neighbours are hardly closer than other rows on any curve. So the reach is measured:
@@ -13,8 +14,9 @@ a bounded sample of queries is answered by brute force and the smallest reach th
 ``recall`` of the true neighbours is taken, up to the whole curve.
 
 Defined cases: vectors that are null, zero, of another length than most or hold a null or
-non-finite component take no part. Rows with one vec_id are candidates each; a query leaves out
-all rows of its own id. With fewer candidates than k all of them return.
+non-finite component take no part. Rows with one vec_id are candidates each, but the id stands
+once in a query's list, with the best of their scores; a query leaves out all rows of its own id.
+With fewer candidates than k all of them return.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import staged
-from lodestone.llm.vectors import best, blocks_of, clean
+from lodestone.llm.vectors import blocks_of, clean
 
 PROJECTED, BITS = 6, 8
 
@@ -129,27 +131,66 @@ def _blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
     return dealt.select("curve", "seg", "vec_id", "x").mapInArrow(run, "curve int, seg int, ids binary, x binary")
 
 
+def top_pairs(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and scores: for each query the ``k`` best ids of one block.
+
+    An id counts once, with the best of its rows. The matrix product only chooses: its last bits
+    depend on the block's shape, so all that may reach the ``k``-th best within twice the bound of
+    the rounding error of either sum goes on, and its score is summed anew, component by component.
+    """
+    rough = q @ x.T
+    rough[own[:, None] == ids[None, :]] = -np.inf
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+    each = np.maximum.reduceat(rough[:, order], first, axis=1) if len(first) < len(ids) else rough
+    cut = np.partition(each, len(first) - k, axis=1)[:, len(first) - k] if k < len(first) else np.full(len(q), -np.inf)
+    error = (q.shape[1] + 1) * np.finfo(np.float64).eps * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
+    at, j = np.nonzero((rough >= (cut - 4 * error)[:, None]) & (rough > -np.inf))
+    scores = np.empty(len(at))
+    q_t, x_t = np.ascontiguousarray(q.T), np.ascontiguousarray(x.T)
+    for lo in range(0, len(at), 1 << 18):
+        r, c = at[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+        total = np.zeros(len(r))
+        for q_d, x_d in zip(q_t, x_t):
+            total += q_d[r] * x_d[c]
+        scores[lo : lo + len(r)] = total
+    found = ids[j]
+    if len(first) < len(ids):  # the best row of each id
+        by = np.lexsort((-scores, found, at))
+        at, found, scores = at[by], found[by], scores[by]
+        keep = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(found) != 0)])[: len(at)]
+        at, found, scores = at[keep], found[keep], scores[keep]
+    by = np.lexsort((found, -scores, at))
+    at, found, scores = at[by], found[by], scores[by]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], found[keep], scores[keep]
+
+
+def _pairs(queries: np.ndarray, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"query_id": pa.array(queries[at], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+
+_PAIRS_SQL = "query_id long, vec_id long, score double"
+
+
 def _ranked(k: int):
-    """The ``k`` best of one block for each query of a query block, as arrays."""
+    """The ``k`` best of one block for each query of a query block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q_ids, q_x, v_ids, v_x in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_x", "ids", "x"))):
                 own, ids = np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(v_ids, dtype=np.int64)
                 q, x = np.frombuffer(q_x).reshape(len(own), -1), np.frombuffer(v_x).reshape(len(ids), -1)
-                scores = q @ x.T
-                scores[own[:, None] == ids[None, :]] = -np.inf
-                top = best(scores, ids, k)
-                lists = []
-                for r, row in enumerate(top):
-                    row = row[(row >= 0) & (scores[r][row] > -np.inf)]
-                    lists.append([{"score": float(scores[r][j]), "vec_id": int(ids[j])} for j in row])
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(own), "found": pa.array(lists, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
+                yield _pairs(own, *top_pairs(q, own, x, ids, k))
 
     return run
 
 
-_FOUND_SQL = "query_id long, found array<struct<score:double,vec_id:long>>"
+def _best_pairs(found: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, vec_id, score``: a pair met several times counts once, then the ``k`` best."""
+    pairs = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def exact_sample(rows: DataFrame, sample: list, k: int) -> DataFrame:
@@ -159,15 +200,9 @@ def exact_sample(rows: DataFrame, sample: list, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in blocks_of(batches, 8192):
-            scores = q @ x.T
-            scores[q_ids[:, None] == ids[None, :]] = -np.inf
-            top = best(scores, ids, k)
-            at = [(r, j) for r, row in enumerate(top) for j in row if j >= 0 and scores[r][j] > -np.inf]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array([q_ids[r] for r, _ in at], pa.int64()), "vec_id": pa.array([ids[j] for _, j in at], pa.int64()), "score": pa.array([scores[r][j] for r, j in at], pa.float64())})
+            yield _pairs(q_ids, *top_pairs(q, q_ids, x, ids, k))
 
-    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id")
+    return _best_pairs(rows.mapInArrow(run, _PAIRS_SQL), k).select("query_id", "vec_id")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = 4, segments: int = 32, recall: float = 0.97, sample: int = 64, block: int = 4096, seed: int = 7) -> DataFrame:
@@ -206,7 +241,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = 4, segments
         keyed, probes = keyed.where("curve = 0"), probes.where("curve = 0")
     data = _blocks(keyed, block, n)
     asks = _blocks(probes, 512, n).withColumnRenamed("ids", "q_ids").withColumnRenamed("x", "q_x")
-    found = asks.join(data, ["curve", "seg"]).select("q_ids", "q_x", "ids", "x").mapInArrow(_ranked(k), _FOUND_SQL)
-    merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-    top = merged.select("query_id", F.slice(F.array_sort(F.array_distinct("found"), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0)), 1, k).alias("found"))
-    return top.select("query_id", F.posexplode("found").alias("pos", "f")).select("query_id", (F.col("pos") + 1).alias("rank"), "f.vec_id", "f.score")
+    found = asks.join(data, ["curve", "seg"]).select("q_ids", "q_x", "ids", "x").mapInArrow(_ranked(k), _PAIRS_SQL)
+    return _best_pairs(found, k)

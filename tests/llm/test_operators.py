@@ -284,6 +284,62 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_pairs_do_not_depend_on_the_block():
+    """Scores bit-equal whatever the block's shape, ties by id, an id with several rows once."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 64))
+    x[300:340] = x[7]
+    ids = rng.permutation(600).astype(np.int64)
+    ids[500:520] = ids[480:500]
+    q, own = np.concatenate([x[7:8], rng.normal(size=(36, 64))]), np.full(37, -1, dtype=np.int64)
+    best_of = {(r, i): max(sum_in_order(q[r], x[j]) for j in np.flatnonzero(ids == i)) for r in range(len(q)) for i in set(ids.tolist())}
+    for size, queries in ((600, 37), (97, 37), (13, 5), (1, 1)):
+        met = set()
+        for a in range(0, len(q), queries):
+            for b in range(0, len(x), size):
+                at, found, scores = ann.top_pairs(q[a : a + queries], own[a : a + queries], x[b : b + size], ids[b : b + size], 20)
+                assert len(set(zip(at.tolist(), found.tolist()))) == len(at)
+                met |= {(a + r, i, s) for r, i, s in zip(at.tolist(), found.tolist(), scores.tolist())}
+        for r in range(len(q)):
+            mine = {}
+            for _, i, s in (m for m in met if m[0] == r):
+                mine[i] = max(s, mine.get(i, s))
+            want = sorted(((-best_of[r, i], i) for i in set(ids.tolist())))[:20]
+            assert sorted((-s, i) for i, s in mine.items())[:20] == want
+
+
+def sum_in_order(a, b):
+    total = 0.0
+    for x, y in zip(a.tolist(), b.tolist()):
+        total += x * y
+    return total
+
+
+def test_nearest_lists_an_id_once_when_curves_overlap(spark, monkeypatch):
+    """Clustered rows need a short reach, so all curves are used and a pair is met on several."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 64)) * 3
+    x = np.concatenate([c + rng.normal(size=(60, 64)) * 0.1 for c in centres])
+    copies = [(5000 + i, x[i * 7].tolist()) for i in range(200)]
+    again = [(i, (x[i] * 0.999).tolist()) for i in range(0, 400, 9)]  # a second row of the same id
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + copies + again
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    used = []
+    ranked = ann._blocks
+    monkeypatch.setattr(ann, "_blocks", lambda r, size, n: used.append(r.select("curve").distinct().count()) or ranked(r, size, n))
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, block=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert used == [4, 4]
+    exact = defaultdict(list)
+    for i, v in rows:
+        exact[i].append(v)
+    for q, mine in got.items():
+        assert len(mine) == 20 and len({j for j, _ in mine}) == 20
+        assert mine == sorted(mine, key=lambda t: (-t[1], t[0]))
+        assert all(s in {sum_in_order(np.array(a), np.array(b)) for a in exact[q] for b in exact[j]} for j, s in mine)
+
+
 def test_hilbert_is_a_path():
     """All cells once, each a neighbour of the one before."""
     for dims, bits in ((2, 3), (3, 2)):
