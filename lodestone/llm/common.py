@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.staging import fresh_dir, shared_dir, staged  # noqa: F401
+
 #: Stands for a null document id inside an operator: it sorts before every real id.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local runs and
-    tests, where driver and executors are one machine) a folder of our own is made and set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    set_before = spark.sparkContext.getCheckpointDir()
-    if set_before:
-        return set_before.rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder, as a URI."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table.
-
-    This cuts the lineage: what is computed from it survives a lost executor without
-    running the work before it again, and two consumers see the same rows.
-    """
-    path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ident(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns that tell rows apart: ``__did`` (null ids as NULL_ID) and ``__tkey``.
 

@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.graph import components
+
 
 def _cells(df: DataFrame, axes: tuple[str, ...], size: float, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}{a}": F.floor(F.col(a) / size) for a in axes})
@@ -63,24 +65,14 @@ def k_nearest(queries: DataFrame, points: DataFrame, key: str, k: int, start: fl
     return done.select("a", "b", "d2", "rank")
 
 
-def clusters(points: DataFrame, key: str, link: float, axes: tuple[str, ...] = ("x", "y"), rounds: int = 30) -> DataFrame:
+def clusters(points: DataFrame, key: str, link: float, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Single-link clusters: points closer than ``link`` are of one. ``key, cluster`` (smallest key).
 
-    Labels move to the smallest of the neighbours and then to that one's label, until none
-    changes. Labels are checkpointed each round.
+    Clusters are the components of the links, so long chains take few rounds.
     """
-    edges = within(points, points, link, axes).select(F.col(f"a.{key}").alias("u"), F.col(f"b.{key}").alias("v")).where("u <> v")
-    edges = edges.checkpoint()
-    labels = points.select(F.col(key).alias("u"), F.col(key).alias("c"))
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        moved = labels.join(near, "u", "left").select("u", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
-        jump = moved.join(moved.select(F.col("u").alias("n"), F.col("n").alias("far")), "n", "left")
-        new = jump.select("u", "c", F.least("n", F.coalesce("far", "n")).alias("n")).checkpoint()
-        labels = new.select("u", F.col("n").alias("c"))
-        if new.where("n <> c").isEmpty():
-            break
-    return labels.select(F.col("u").alias(key), F.col("c").alias("cluster"))
+    edges = within(points, points, link, axes).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).where("a < b")
+    linked = components(edges).select(F.col("node").alias(key), "component")
+    return points.select(key).join(linked, key, "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 
 def in_polygon(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import graph
 from lodestone.functions import assay
 from lodestone.operators import grids, intervals, quality, spatial, stats
 
@@ -78,6 +79,21 @@ def test_k_nearest_brute_force(spark):
         assert [got[i][k] for k in (1, 2, 3, 4)] == [j for _, j in near]
 
 
+def test_clusters_of_a_long_chain(spark):
+    """A survey line whose keys fall away from the smallest one is one cluster."""
+    chain = [(0, 0.0, 0.0), *((200 - i, 10.0 * (i + 1), 0.0) for i in range(200))]
+    pts = spark.createDataFrame([*chain, (500, 0.0, 99.0), (501, 9.0, 99.0), (502, 0.0, 500.0)], "id long, x double, y double")
+    got = {r.id: r.cluster for r in spatial.clusters(pts, "id", 10.0).collect()}
+    assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500, 502: 502}
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1)
+    assert {r.component for r in graph.components(edges).collect()} == {0}
+
+
 def test_flow_accumulation_of_a_slope(spark):
     grid = spark.createDataFrame([(i, j, float(100 - i)) for i in range(5) for j in range(3)], "i int, j int, z double")
     flow = grids.flow_directions(grid)
