@@ -208,20 +208,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     rows = docs.select(*ident(), "text")
     known = staged(rows.mapInArrow(_sketches(shingle_words), _SKETCH_SQL), "sketches")
     classes = known.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("did", "tkey")).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    classes = staged(classes.select("f1", "f2", F.col("first.did").alias("node"), F.col("first.tkey").alias("tkey"), "n", "bands"), "classes")
+    # a node is a class, not a doc_id: an id may have several texts
+    classes = staged(classes.select("f1", "f2", F.xxhash64("f1", "f2").alias("node"), F.col("first.did").alias("did"), F.col("first.tkey").alias("tkey"), "n", "bands"), "classes")
 
     banded = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("band", "hub")
     # members of buckets with two classes or more
     members = staged(banded.join(shared, "band").select("band", "node", "n", "hub"), "buckets")
     first = members.groupBy("node").agg(F.min("hub").alias("hub"))
-    sizes = classes.select("node", "n").groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    near = lambda a, b: (F.col(f"{a}.high") * 100 >= F.col(f"{b}.low") * percent) & (F.col(f"{b}.high") * 100 >= F.col(f"{a}.low") * percent)
+    sizes = classes.select("node", "n")
+    near = lambda a, b: (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
     star = first.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     star = star.join(sizes.alias("p"), F.col("a") == F.col("p.node")).join(sizes.alias("q"), F.col("b") == F.col("q.node")).where(near("p", "q")).select("a", "b")
 
-    wanted = classes.join(first.select("node"), "node", "left_semi").select("node", "tkey")
-    texts = rows.dropDuplicates(["__did", "__tkey"]).join(wanted, (F.col("__did") == F.col("node")) & (F.col("__tkey") == F.col("tkey"))).select("node", "text")
+    wanted = classes.join(first.select("node"), "node", "left_semi").select("node", "did", "tkey")
+    texts = rows.dropDuplicates(["__did", "__tkey"]).join(wanted, (F.col("__did") == F.col("did")) & (F.col("__tkey") == F.col("tkey"))).select("node", "text")
     sets = staged(texts.mapInArrow(_sets(shingle_words), "node long, items binary"), "sets")
 
     links = staged(_confirm(star, sets, percent), "links")
@@ -229,17 +230,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order, shape = ["grp", "i", "j"], ["grp", "i", "j", "block", "node", "c", "n", "coords"]
     labelled = members.join(linked, "node", "left").select(F.col("band").alias("grp"), "node", "n", F.coalesce("component", "node").alias("c"))
-    short = staged(known.where("n > 0").select(F.col("did").alias("node"), "tkey", "coords").join(wanted, ["node", "tkey"]).drop("tkey").dropDuplicates(["node"]), "coords")
+    short = staged(known.where("n > 0").select("did", "tkey", "coords").join(wanted, ["did", "tkey"]).select("node", "coords").dropDuplicates(["node"]), "coords")
     dealt = _blocks_meet(labelled).join(short, "node").repartition(n, *order).sortWithinPartitions(*order)
     worth = staged(dealt.select(*shape).mapInArrow(_forest(percent, False), "a long, b long"), "worth-checking")
 
     groups = components(worth).select("node", F.col("component").alias("grp"))
-    inside = groups.join(classes.select("node", "n").dropDuplicates(["node"]), "node").join(linked, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("c"))
+    inside = groups.join(sizes, "node").join(linked, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("c"))
     dealt = _blocks_meet(inside).join(short, "node").join(sets, "node").repartition(n, *order).sortWithinPartitions(*order)
     late = staged(dealt.select(*shape, "items").mapInArrow(_forest(percent, True), "a long, b long"), "late-links")
 
     whole = components(links.unionByName(late))
-    node_of = classes.join(whole, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    held = classes.join(whole, "node", "left").select("f1", "f2", "did", F.coalesce("component", "node").alias("grp"))
+    node_of = held.join(held.groupBy("grp").agg(F.min("did").alias("component")), "grp").select("f1", "f2", "component")
     out = known.join(node_of, ["f1", "f2"], "left")
     return out.select(F.col("did").alias("__did"), F.col("tkey").alias("__tkey"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
 

@@ -157,6 +157,22 @@ def test_group_of_near_copies_around_an_absent_text(spark, edits, monkeypatch):
     assert got == brute_components(rows, 4)
 
 
+def test_several_texts_of_one_id_are_linked_text_by_text(spark):
+    """Each id holds a near copy of a group and a text of its own that has a copy elsewhere."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(240)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for p in rng.sample(range(240), rng.randint(0, 14)):
+            words[p] = f"e{i}_{p}"
+        own = [f"o{i}_{j}" for j in range(20 + 3 * i)]
+        rows += [(100 + i, " ".join(words)), (100 + i, " ".join(own)), (1000 + i, " ".join([*own, "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["__did"], r.n_shingles, r.component) for r in minhash.near_duplicates(df, 4).collect())
+    assert got == brute_components(rows, 4)
+
+
 def test_sketch_fills_every_coordinate():
     for n in (1, 2, 5, 100, 5000):
         assert minhash.sketch(np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))).max() < 2**64 - 1
