@@ -14,6 +14,9 @@ blob's findings. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +70,10 @@ def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str =
     """``docs`` with ``blob`` (SHA-256 of the text) and ``spans`` (start, rank, end, kind).
 
     ``ledger`` is a folder of earlier scans; without one a new ledger is begun in the shared
-    folder. Its rows are (blob, version, spans); a blob scanned under this version before is
-    not scanned again.
+    folder. Its rows are (blob, version, spans), where the version goes with a digest of the
+    rules; a blob scanned with these rules under this version before is not scanned again.
     """
+    version = f"{version}-{hashlib.sha256(json.dumps(list(rules), sort_keys=True).encode()).hexdigest()}"
     spark = docs.sparkSession
     path = ledger or fresh_dir(spark, "secret-ledger")
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -483,6 +483,16 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 6
 
 
+def test_ledger_tells_rules_apart(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1, "token=abcdefg " + "AKIA" + "A1" * 9)], "doc_id long, text string")
+    few = secrets.RULES[:1]
+    assert [len(r.spans) for r in secrets.scan(df, ledger=ledger, rules=few).collect()] == [1]
+    assert [len(r.spans) for r in secrets.scan(df, ledger=ledger).collect()] == [2]
+    assert [len(r.spans) for r in secrets.scan(df, ledger=ledger, rules=few).collect()] == [1]
+    assert spark.read.parquet(ledger).count() == 2
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdefg b " + "0" * 24), (2, None), (3, "plain"), (4, "token=" + "a" * 30)], "doc_id long, text string")
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["a [assign] b [hex]", None, "plain", "[assign]"]
