@@ -2,21 +2,27 @@
 
 Vectors are turned into points on which the largest inner product is the smallest distance
 (one more coordinate fills the length up to the longest vector's), projected by several random
-rotations with random shifts and put in order along a Hilbert curve for each. Each curve is
-cut into segments of equal counts; the cuts come from a bounded sample, every row is indexed.
-A query looks at the segments around its own on every curve; what they hold is ranked by the
-inner product of the original vectors, summed in the order of the components so that a pair has
-one score wherever it is met, and the curves' lists merge by the pair of ids.
+rotations with random shifts and put in order along a Hilbert curve for each. Spark
+range-partitions the rows by curve and key; each partition is cut into segments of a fixed
+number of rows, and queries, which stand in the same order, know the segment they fall into.
+A query looks at the segments around its own on every curve. What they hold is ranked by the
+inner product of the original vectors, summed in the order of the components so that a pair
+has one score wherever it is met; tasks thin their lists to the best of each query, and these
+merge by query and row.
 
 How many segments a query must look at depends on the data: in high dimensions without
 structure neighbours are hardly closer than other rows on any curve. So the reach is measured:
 a bounded sample of queries is answered by brute force and the smallest reach that finds
-``recall`` of the true neighbours is taken, up to the whole curve.
+``recall`` of the true neighbours is taken.
+
+Of a vector that many rows share, the rows of the k + 1 smallest ids are candidates: no other
+can be among the k first. So a hot vector doesn't push others out of the segments near it.
 
 Defined cases: vectors that are null, zero, of another length than most or hold a null or
-non-finite component take no part. Rows with one vec_id are candidates each, but the id stands
-once in a query's list, with the best of their scores; a query leaves out all rows of its own id.
-With fewer candidates than k all of them return.
+non-finite component take no part. Rows with one vec_id are candidates each, repeated rows
+too; a query leaves out all rows of its own id. Query rows of one id and one vector ask once,
+those of one id and different vectors each, with lists of their own. With fewer candidates
+than k all of them return; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import staged
-from lodestone.llm.vectors import blocks_of, clean
+from lodestone.llm.vectors import clean, matrix_of, usual_length
 
 PROJECTED, BITS = 6, 8
 
@@ -84,66 +91,68 @@ def curve_keys(x: np.ndarray, longest: float, curves: int, seed: int, as_query:
     return out
 
 
-def _keyed(longest: float, curves: int, seed: int, as_query: bool):
+def _keyed(longest: float, curves: int, seed: int, dims: int, as_query: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in blocks_of(batches, 4096):
-            keys = curve_keys(x, longest, curves, seed, as_query)
-            vectors = [r.tobytes() for r in x]
-            for c in range(curves):
-                yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids), "x": pa.array(vectors, pa.binary()), "curve": pa.array(np.full(len(ids), c, dtype=np.int32)), "key": pa.array(keys[c])})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = matrix_of(part, dims)
+                keys = curve_keys(x, longest, curves, seed, as_query)
+                vectors = pa.array([r.tobytes() for r in x], pa.binary())
+                for c in range(curves):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, dtype=np.int32)), pa.array(keys[c]), part.column("vec_id"), part.column("row"), vectors, pa.array(np.full(len(x), as_query))], names=["curve", "key", "vec_id", "row", "x", "asks"])
 
     return run
 
 
-_KEYED_SQL = "vec_id long, x binary, curve int, key long"
-
+_KEYED_SQL = "curve int, key long, vec_id long, row long, x binary, asks boolean"
+_SEGMENT_SQL = "asks boolean, curve int, part int, seg int, rows binary, ids binary, x binary"
 
-def _segment(cuts: list[list[int]]):
-    """Segment of a key on its curve: the number of cuts at or below it."""
-    per_curve = [F.size(F.filter(F.lit(c).cast("array<long>"), lambda v: v <= F.col("key"))) if c else F.lit(0) for c in cuts]
-    out = per_curve[0]
-    for c, expr in enumerate(per_curve[1:], 1):
-        out = F.when(F.col("curve") == c, expr).otherwise(out)
-    return out.cast("int")
 
+def _segments(size: int):
+    """Rows in order along the curves, ``size`` at a time, as one row: row numbers, ids, matrix.
 
-def _blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
-    """Rows of one (curve, segment), ``size`` at a time, as one row: ids and matrix."""
+    Queries give rows of their own, with the segment that is open where they stand.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, xs = None, [], []
-
-        def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"curve": pa.array([place[0]], pa.int32()), "seg": pa.array([place[1]], pa.int32()), "ids": pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), "x": pa.array([b"".join(xs)], pa.binary())})
+        part, place, counts = TaskContext.get().partitionId(), None, {}
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for asks, rows in held.items():
+                if rows:
+                    numbers, ids, x = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([asks]), pa.array([place], pa.int32()), pa.array([part], pa.int32()), pa.array([counts[place]], pa.int32()), pa.array([np.array(numbers, dtype=np.int64).tobytes()], pa.binary()), pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([b"".join(x)], pa.binary())],
+                        names=["asks", "curve", "part", "seg", "rows", "ids", "x"],
+                    )
+                    rows.clear()
 
         for batch in batches:
-            for c, s, i, x in zip(*(batch.column(k).to_pylist() for k in ("curve", "seg", "vec_id", "x"))):
-                if ids and (place != (c, s) or len(ids) >= size):
-                    yield emit()
-                    ids, xs = [], []
-                place = (c, s)
-                ids.append(i)
-                xs.append(x)
-        if ids:
-            yield emit()
+            for curve, number, i, x, asks in zip(*(batch.column(c).to_pylist() for c in ("curve", "row", "vec_id", "x", "asks"))):
+                if curve != place:
+                    yield from emit()
+                    place, counts[curve] = curve, 0
+                elif len(held[asks]) >= size:
+                    yield from emit()
+                    counts[curve] += 1
+                held[asks].append((number, i, x))
+        yield from emit()
 
-    dealt = rows.repartitionByRange(n, "curve", "seg", "vec_id").sortWithinPartitions("curve", "seg", "vec_id")
-    return dealt.select("curve", "seg", "vec_id", "x").mapInArrow(run, "curve int, seg int, ids binary, x binary")
+    return run
 
 
 def top_pairs(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries, ids and scores: for each query the ``k`` best ids of one block.
+    """Places of queries, places of rows and scores: for each query the ``k`` best rows of a block.
 
-    An id counts once, with the best of its rows. The matrix product only chooses: its last bits
-    depend on the block's shape, so all that may reach the ``k``-th best within twice the bound of
-    the rounding error of either sum goes on, and its score is summed anew, component by component.
+    The matrix product only chooses: its last bits depend on the block's shape, so all that may
+    reach the ``k``-th best within twice the bound of the rounding error of either sum goes on,
+    and its score is summed anew, component by component.
     """
     rough = q @ x.T
     rough[own[:, None] == ids[None, :]] = -np.inf
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-    each = np.maximum.reduceat(rough[:, order], first, axis=1) if len(first) < len(ids) else rough
-    cut = np.partition(each, len(first) - k, axis=1)[:, len(first) - k] if k < len(first) else np.full(len(q), -np.inf)
+    cut = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(q), -np.inf)
     error = (q.shape[1] + 1) * np.finfo(np.float64).eps * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
     at, j = np.nonzero((rough >= (cut - 4 * error)[:, None]) & (rough > -np.inf))
     scores = np.empty(len(at))
@@ -154,92 +163,142 @@ def top_pairs(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
         for q_d, x_d in zip(q_t, x_t):
             total += q_d[r] * x_d[c]
         scores[lo : lo + len(r)] = total
-    found = ids[j]
-    if len(first) < len(ids):  # the best row of each id
-        by = np.lexsort((-scores, found, at))
-        at, found, scores = at[by], found[by], scores[by]
-        keep = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(found) != 0)])[: len(at)]
-        at, found, scores = at[keep], found[keep], scores[keep]
-    by = np.lexsort((found, -scores, at))
-    at, found, scores = at[by], found[by], scores[by]
+    by = np.lexsort((ids[j], -scores, at))
+    at, j, scores = at[by], j[by], scores[by]
     keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-    return at[keep], found[keep], scores[keep]
+    return at[keep], j[keep], scores[keep]
+
 
+_PAIRS_SQL = "query_id long, asked long, vec_id long, row long, score double"
 
-def _pairs(queries: np.ndarray, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"query_id": pa.array(queries[at], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
+def thinned(pairs: np.ndarray, k: int) -> np.ndarray:
+    """Of (query, asked, id, row, score) the ``k`` best of each query, a row once."""
+    pairs = pairs[np.lexsort((pairs["row"], pairs["asked"]))]
+    keep = np.ones(len(pairs), dtype=bool)
+    keep[1:] = (pairs["row"][1:] != pairs["row"][:-1]) | (pairs["asked"][1:] != pairs["asked"][:-1])
+    pairs = pairs[keep]
+    pairs = pairs[np.lexsort((pairs["row"], pairs["vec_id"], -pairs["score"], pairs["asked"]))]
+    return pairs[np.arange(len(pairs)) - np.searchsorted(pairs["asked"], pairs["asked"]) < k]
 
-_PAIRS_SQL = "query_id long, vec_id long, score double"
 
+def _ranked(k: int, dims: int, hold: int = 400_000):
+    """The ``k`` best of each query over all blocks that a task meets, thinned as they grow."""
+    kind = np.dtype([("query_id", "<i8"), ("asked", "<i8"), ("vec_id", "<i8"), ("row", "<i8"), ("score", "<f8")])
 
-def _ranked(k: int):
-    """The ``k`` best of one block for each query of a query block."""
+    def out(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(pairs[n][at : at + 50_000])) for n in kind.names})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for q_ids, q_x, v_ids, v_x in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_x", "ids", "x"))):
-                own, ids = np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(v_ids, dtype=np.int64)
-                q, x = np.frombuffer(q_x).reshape(len(own), -1), np.frombuffer(v_x).reshape(len(ids), -1)
-                yield _pairs(own, *top_pairs(q, own, x, ids, k))
+            for q_rows, q_ids, q_x, rows, ids, x in zip(*(batch.column(c).to_pylist() for c in ("q_rows", "q_ids", "q_x", "rows", "ids", "x"))):
+                asked, own, numbers, i = (np.frombuffer(b, dtype=np.int64) for b in (q_rows, q_ids, rows, ids))
+                at, j, scores = top_pairs(np.frombuffer(q_x).reshape(-1, dims), own, np.frombuffer(x).reshape(-1, dims), i, k)
+                found = np.empty(len(at), dtype=kind)
+                found["query_id"], found["asked"], found["vec_id"], found["row"], found["score"] = own[at], asked[at], i[j], numbers[j], scores
+                held.append(found)
+                size += len(found)
+                if size > hold:
+                    held = [thinned(np.concatenate(held), k)]
+                    size = len(held[0])
+                    if size > hold // 2:  # as many queries as that: pass them on
+                        yield from out(held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(thinned(np.concatenate(held), k))
 
     return run
 
 
 def _best_pairs(found: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score``: a pair met several times counts once, then the ``k`` best."""
-    pairs = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """``query_id, asked, rank, vec_id, row, score``: a row met several times counts once, then the ``k`` best."""
+    pairs = found.repartition("asked").groupBy("query_id", "asked", "vec_id", "row").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
+def exact_sample(rows: DataFrame, sample: list, k: int, dims: int) -> DataFrame:
+    """``asked, row, ...``: brute force for a bounded list of queries, which goes to every task."""
+    packed = [pa.array([b], pa.binary()) for b in (np.array([r.row for r in sample]).tobytes(), np.array([r.vec_id for r in sample]).tobytes(), np.array([r.embedding for r in sample], dtype=np.float64).tobytes())]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                x = matrix_of(part, dims)
+                mine = [pa.array([part.column(c).to_numpy().tobytes()], pa.binary()) for c in ("row", "vec_id")]
+                yield pa.RecordBatch.from_arrays([*packed, *mine, pa.array([x.tobytes()], pa.binary())], names=["q_rows", "q_ids", "q_x", "rows", "ids", "x"])
 
-def exact_sample(rows: DataFrame, sample: list, k: int) -> DataFrame:
-    """``query_id, vec_id``: brute force for a bounded list of queries, which goes to every task."""
-    q_ids = np.array([r.vec_id for r in sample], dtype=np.int64)
-    q = np.array([r.embedding for r in sample], dtype=np.float64)
+    rank = _ranked(k, dims)
+    return _best_pairs(rows.mapInArrow(lambda batches: rank(blocks(batches)), _PAIRS_SQL), k)
+
+
+def _places(segments: DataFrame, of_rows: set[int], of_queries: set[int]) -> dict[tuple[bool, int], list[tuple[int, int]]]:
+    """(query?, row number) -> (curve, segment) of a bounded set of rows and queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in blocks_of(batches, 8192):
-            yield _pairs(q_ids, *top_pairs(q, q_ids, x, ids, k))
+        want = {False: np.array(sorted(of_rows), dtype=np.int64), True: np.array(sorted(of_queries), dtype=np.int64)}
+        for batch in batches:
+            for asks, curve, seg, rows in zip(*(batch.column(c).to_pylist() for c in ("asks", "curve", "at", "rows"))):
+                mine = np.intersect1d(np.frombuffer(rows, dtype=np.int64), want[asks])
+                if len(mine):
+                    yield pa.RecordBatch.from_pydict({"asks": pa.array([asks] * len(mine)), "row": pa.array(mine), "curve": pa.array([curve] * len(mine), pa.int32()), "at": pa.array([seg] * len(mine), pa.int64())})
+
+    out: dict[tuple[bool, int], list[tuple[int, int]]] = {}
+    for r in segments.select("asks", "curve", "at", "rows").mapInArrow(run, "asks boolean, row long, curve int, at long").collect():
+        out.setdefault((r.asks, r.row), []).append((r.curve, r.at))
+    return out
+
 
-    return _best_pairs(rows.mapInArrow(run, _PAIRS_SQL), k).select("query_id", "vec_id")
+def measured_reach(segments: DataFrame, rows: DataFrame, sample: list, k: int, dims: int, recall: float) -> int:
+    """The smallest number of segments to either side that holds ``recall`` of the sample's true neighbours."""
+    truth = exact_sample(rows, sample, k, dims).select("asked", "row").collect()
+    places = _places(segments, {r.row for r in truth}, {r.asked for r in truth})
+    gaps = []
+    for r in truth:
+        mine = dict(places[(True, r.asked)])
+        gaps.append(min(abs(seg - mine[curve]) for curve, seg in places[(False, r.row)]))
+    return int(np.sort(gaps)[max(0, int(np.ceil(recall * len(gaps))) - 1)]) if gaps else 0
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = 4, segments: int = 32, recall: float = 0.97, sample: int = 64, block: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = 8, segment_rows: int = 2048, recall: float = 0.95, sample: int = 128, seed: int = 7) -> DataFrame:
     """``query_id, rank, vec_id, score``; ``is_query`` is a condition on vec_id."""
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dims = vectors.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = clean(vectors, dims=dims.d if dims else None, nonzero=True)
-    longest = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)))).first()[0]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if longest is None:
+    dims = usual_length(vectors)
+    if dims is None:
+        return empty
+    usable = clean(vectors, dims, nonzero=True)
+    # the rank is limited before its shuffle too, so a hot vector costs few rows
+    copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
+    rows = usable.groupBy("vec_id", "embedding").agg(F.least(F.count("*"), F.lit(k)).alias("__n")).withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k + 1)
+    rows = rows.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i")).select("vec_id", "embedding", F.monotonically_increasing_id().alias("row"))
+    rows = staged(rows, "vectors")
+    asked = staged(usable.where(is_query).distinct().withColumn("row", F.monotonically_increasing_id()), "queries")
+    longest = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)))).first()[0]
+    few = asked.orderBy(F.xxhash64("vec_id"), "row").limit(sample).collect()
+    if longest is None or not few:
         return empty
-    keyed = rows.mapInArrow(_keyed(longest, curves, seed, False), _KEYED_SQL)
-    asked = rows.where(is_query).distinct()
-    asked_keys = asked.mapInArrow(_keyed(longest, curves, seed, True), _KEYED_SQL)
-    cuts_of = {r.curve: r.cuts for r in keyed.groupBy("curve").agg(F.percentile_approx("key", [i / segments for i in range(1, segments)], 2000).alias("cuts")).collect()}
-    segment = _segment([sorted(set(cuts_of[c])) for c in range(curves)])
-    keyed = staged(keyed.withColumn("seg", segment).drop("key"), "curve-rows")
-
-    reach = segments
-    few = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if few:
-        truth = exact_sample(rows, few, k)
-        own = spark.createDataFrame([(r.vec_id, [float(v) for v in r.embedding]) for r in few], "vec_id long, embedding array<double>")
-        at = own.mapInArrow(_keyed(longest, curves, seed, True), _KEYED_SQL).select(F.col("vec_id").alias("query_id"), "curve", segment.alias("mine"))
-        gaps = truth.join(keyed.select("vec_id", "curve", "seg"), "vec_id").join(at, ["query_id", "curve"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("seg") - F.col("mine"))).alias("gap"))
-        tally = sorted((r.gap, r["count"]) for r in gaps.groupBy("gap").count().collect())
-        total, so_far = sum(c for _, c in tally), 0
-        for gap, c in tally:
-            so_far += c
-            if so_far >= recall * total:
-                reach = gap
-                break
-    probes = asked_keys.withColumn("mine", segment).select("vec_id", "x", "curve", F.explode(F.sequence(F.greatest(F.col("mine") - reach, F.lit(0)), F.least(F.col("mine") + reach, F.lit(segments - 1)))).alias("seg"))
-    if reach >= segments - 1:  # every curve shows everything: one is enough
-        keyed, probes = keyed.where("curve = 0"), probes.where("curve = 0")
-    data = _blocks(keyed, block, n)
-    asks = _blocks(probes, 512, n).withColumnRenamed("ids", "q_ids").withColumnRenamed("x", "q_x")
-    found = asks.join(data, ["curve", "seg"]).select("q_ids", "q_x", "ids", "x").mapInArrow(_ranked(k), _PAIRS_SQL)
-    return _best_pairs(found, k)
+
+    keyed = rows.mapInArrow(_keyed(longest, curves, seed, dims, False), _KEYED_SQL).unionByName(asked.mapInArrow(_keyed(longest, curves, seed, dims, True), _KEYED_SQL))
+    ordered = keyed.repartitionByRange(n, "curve", "key", "vec_id", "row").sortWithinPartitions("curve", "key", "vec_id", "row")
+    segments = staged(ordered.mapInArrow(_segments(segment_rows), _SEGMENT_SQL), "segments")
+    # a curve's partitions follow one another: number their segments through (a row per partition and curve)
+    starts, last, at = [], {}, 0
+    for r in segments.groupBy("curve", "part").agg((F.max("seg") + 1).alias("n")).orderBy("curve", "part").collect():
+        first = last[r.curve][0] if r.curve in last else at
+        starts.append((r.curve, r.part, at))
+        at += r.n
+        last[r.curve] = (first, at - 1)
+    place = spark.createDataFrame([(c, p, s, *last[c]) for c, p, s in starts], "curve int, part int, start long, lo long, hi long")
+    segments = segments.join(F.broadcast(place), ["curve", "part"]).withColumn("at", F.col("start") + F.col("seg"))
+
+    reach = measured_reach(segments, rows, few, k, dims, recall)
+    data = segments.where(~F.col("asks")).select("at", "rows", "ids", "x")
+    near = F.sequence(F.greatest(F.col("at") - reach, F.col("lo")), F.least(F.col("at") + reach, F.col("hi")))
+    asks = segments.where("asks").select(F.explode(near).alias("at"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+    found = asks.join(data.hint("shuffle_hash"), "at").select("q_rows", "q_ids", "q_x", "rows", "ids", "x").mapInArrow(_ranked(k, dims), _PAIRS_SQL)
+    return _best_pairs(found, k).select("query_id", "rank", "vec_id", "score")

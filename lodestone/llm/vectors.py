@@ -20,64 +20,44 @@ def usable(col: str = "embedding", nonzero: bool = False) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def clean(table: DataFrame, dims: int | None = None, nonzero: bool = False) -> DataFrame:
-    """``vec_id, embedding`` (doubles) of the vectors that take part; ``dims`` fixes the length."""
-    rows = table.where(F.col("vec_id").isNotNull()).where(usable(nonzero=nonzero))
-    if dims:
-        rows = rows.where(F.size("embedding") == dims)
+def usual_length(table: DataFrame) -> int | None:
+    """The length that most vectors have, the smaller of equals; None without any."""
+    sizes = table.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).groupBy(F.size("embedding").alias("d")).count()
+    first = sizes.orderBy(F.desc("count"), "d").first()
+    return first.d if first else None
+
+
+def clean(table: DataFrame, dims: int, nonzero: bool = False) -> DataFrame:
+    """``vec_id, embedding`` (doubles) of the vectors of length ``dims`` that take part."""
+    rows = table.where(F.col("vec_id").isNotNull() & (F.size("embedding") == dims)).where(usable(nonzero=nonzero))
     return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrices of about ``size`` rows from batches of (vec_id, embedding)."""
+def matrix_of(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+    """The vectors of a batch, all of which have ``dims`` components."""
+    return batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], size: int, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of ``size`` rows at most from batches of (vec_id, embedding)."""
     ids, rows, held = [], [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column("embedding")
-        ids.append(batch.column("vec_id").to_numpy())
-        rows.append(values.flatten().to_numpy().reshape(batch.num_rows, -1))
-        held += batch.num_rows
-        if held >= size:
-            yield np.concatenate(ids), np.concatenate(rows)
-            ids, rows, held = [], [], 0
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            if held + part.num_rows > size:
+                yield np.concatenate(ids), np.concatenate(rows)
+                ids, rows, held = [], [], 0
+            ids.append(part.column("vec_id").to_numpy())
+            rows.append(matrix_of(part, dims))
+            held += part.num_rows
     if held:
         yield np.concatenate(ids), np.concatenate(rows)
 
 
-def packed(size: int, dtype: str, convert=None):
-    """A row per block: ids and the matrix as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in blocks_of(batches, size):
-            for at in range(0, len(ids), size):
-                part = x[at : at + size]
-                part = convert(part) if convert else part
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([ids[at : at + size].tobytes()], pa.binary()), "x": pa.array([np.ascontiguousarray(part, dtype=dtype).tobytes()], pa.binary())})
-
-    return run
-
-
-BLOCK_SQL = "ids binary, x binary"
-
-
-def unpack(ids: bytes, x: bytes, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, dtype=np.int64)
-    return i, np.frombuffer(x, dtype=dtype).reshape(len(i), -1)
-
-
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the ``k`` highest scores of each row, ties to the smaller id; -1 fills up."""
-    n = min(k, scores.shape[1])
-    out = np.full((len(scores), k), -1, dtype=np.int64)
-    if not n:
-        return out
-    if n < scores.shape[1]:
-        cut = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+    """Places of the ``k`` highest scores, the highest first, ties to the smaller id."""
+    if k < len(scores):
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     else:
-        cut = scores.min(axis=1)
-    for r, row in enumerate(scores):
-        at = np.flatnonzero(row >= cut[r])
-        at = at[np.lexsort((ids[at], -row[at]))][:n]
-        out[r, : len(at)] = at
-    return out
+        at = np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at]))][:k]

@@ -267,93 +267,133 @@ def vector_rows(n=300, dims=16, seed=6):
     return rows
 
 
-def test_maxscore_exact(spark):
+def exact_tops(rows, every, k, number):
+    """Of each query row the ``k`` best (id, score) by brute force; rows with one id and vector ask once."""
+    width = Counter(len(v) for _, v in rows if v).most_common(1)[0][0]
+    good = [(i, [number(x) for x in v]) for i, v in rows if i is not None and v is not None and len(v) == width and all(x is not None and np.isfinite(x) for x in v)]
+    asks = {(i, tuple(v)): v for i, v in good if i % every == 0}
+    limit = lambda s: max(min(s, 2**63 - 1), -(2**63)) if isinstance(s, int) else s
+    return sorted((q, sorted(((j, limit(sum_in_order(v, w))) for j, w in good if j != q), key=lambda t: (-t[1], t[0]))[:k]) for (q, _), v in asks.items())
+
+
+def lists_of(rows):
+    out, now = [], None
+    for r in rows:
+        if r["rank"] == 1:
+            now = (r.query_id, [])
+            out.append(now)
+        assert now[0] == r.query_id and r["rank"] == len(now[1]) + 1
+        now[1].append((r.vec_id, r.score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "ragged", "huge"])
+def test_maxscore_exact(spark, kind):
     rows = vector_rows()
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    got = defaultdict(list)
-    for r in maxscore.top_k(df, df.where("vec_id % 50 = 0"), k=5, block=64, query_block=3).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    good = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q in (i for i in good if i % 50 == 0):
-        want = sorted(((j, int(good[q] @ good[j])) for j in good if j != q), key=lambda t: (-t[1], t[0]))[:5]
-        assert got[q] == want
-    assert set(got) == {i for i in good if i % 50 == 0}
+    rng = np.random.default_rng(2)
+    if kind == "sparse":
+        rows = [(i, [0.0 if rng.random() < 0.8 else x for x in v] if v and len(v) == 16 else v) for i, v in rows]
+    if kind == "ragged":  # sizes that divide the usual one too
+        rows += [(1500, [1.0] * 8), (1501, [1.0] * 32), (1502, []), (1550, [0.5] * 15)]
+    if kind == "huge":
+        rows = [(i, [x * 1e30 if i % 40 == 3 and c == 5 else x for c, x in enumerate(v)] if v and len(v) == 16 and i is not None else v) for i, v in rows]
+        rows += [(1600, [1e300] + [1.0] * 15), (1601, [2.0**40] + [0.25] * 15)]
+    rows += [rows[7], rows[7], rows[50], rows[50], (100, rows[3][1])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string").repartition(3)
+    got = maxscore.top_k(df, df.where("vec_id % 50 = 0"), k=5, block=64, query_block=3).collect()
+    assert lists_of(got) == exact_tops(rows, 50, 5, lambda x: int(maxscore.whole_numbers(np.array([x]))[0]))
     assert maxscore.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert maxscore.top_k(df, df.limit(0)).count() == 0
 
 
-def test_nearest(spark):
+def test_maxscore_leaves_postings_out():
+    """Once a threshold is known, rows are passed over, and the result stays."""
+    rng = np.random.default_rng(3)
+    x, w = rng.integers(0, 50, (500, 12)).astype(float) * (rng.random((500, 12)) < 0.2), rng.integers(1, 9, 12).astype(float)
+    shard = maxscore.Postings(np.arange(500), x)
+    rows, scores = shard.top(w, -1, 5, -np.inf)
+    again, same = shard.top(w, -1, 5, scores[-1])
+    assert rows.tolist() == again.tolist() and scores.tolist() == same.tolist() == sorted((x @ w), reverse=True)[:5]
+    assert len(shard.top(w, -1, 5, scores[0] + 1)[0]) == 0
+
+
+@pytest.mark.parametrize("ragged", [False, True])
+def test_nearest(spark, ragged):
     rows = vector_rows()
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string")
-    got = defaultdict(dict)
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect():
-        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
-    good = {i: np.array(v, dtype=float) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    found = total = 0
-    for q in (i for i in good if i % 20 == 0):
-        mine = [got[q][k] for k in sorted(got[q])]
-        assert sorted(got[q]) == list(range(1, 11)) and all(abs(s - float(good[q] @ good[j])) < 1e-9 for j, s in mine)
-        assert mine == sorted(mine, key=lambda t: (-t[1], t[0]))
-        want = sorted(((j, float(good[q] @ good[j])) for j in good if j != q), key=lambda t: (-t[1], t[0]))[:10]
-        found += len({j for j, _ in mine} & {j for j, _ in want})
-        total += 10
-    assert found / total >= 0.9
+    if ragged:
+        rows += [(1500, [1.0] * 8), (1520, [1.0] * 32), (1502, []), (1540, [0.5] * 15)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string").repartition(3)
+    got = lists_of(ann.nearest(df, F.col("vec_id") % 20 == 0, k=10, segment_rows=24).collect())
+    want = exact_tops([r for r in rows if r[1] is None or any(r[1])], 20, 10, float)
+    assert [q for q, _ in got] == [q for q, _ in want]
+    assert all(mine == sorted(mine, key=lambda t: (-t[1], t[0])) and len(mine) == 10 for _, mine in got)
+    assert np.mean([len(set(a) & set(b)) / 10 for (_, a), (_, b) in zip(got, want)]) >= 0.9
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert ann.nearest(df, F.lit(False)).count() == 0
+
+
+def test_nearest_of_few_and_of_repeated_rows(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 3.0]), (1, [1.0, 3.0]), (2, [2.0, 1.0]), (40, [0.0, 1.0]), (40, [0.0, 1.0]), (40, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert lists_of(ann.nearest(df, F.col("vec_id") % 20 == 0).collect()) == exact_tops(rows, 20, 20, float)
+
+
+def test_nearest_of_a_hot_vector(spark):
+    """A vector of a third of all rows: its smallest ids are found, and the rows around them too."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1001 + 3 * i, x[7].tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = dict(lists_of(ann.nearest(df, F.col("vec_id") % 20 == 0, segment_rows=16).collect()))
+    want = dict(exact_tops(rows, 20, 20, float))
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
 def test_top_pairs_do_not_depend_on_the_block():
-    """Scores bit-equal whatever the block's shape, ties by id, an id with several rows once."""
+    """Scores bit-equal whatever the block's shape, ties by id."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 64))
     x[300:340] = x[7]
     ids = rng.permutation(600).astype(np.int64)
-    ids[500:520] = ids[480:500]
     q, own = np.concatenate([x[7:8], rng.normal(size=(36, 64))]), np.full(37, -1, dtype=np.int64)
-    best_of = {(r, i): max(sum_in_order(q[r], x[j]) for j in np.flatnonzero(ids == i)) for r in range(len(q)) for i in set(ids.tolist())}
+    exact = [[(-sum_in_order(q[r], x[j]), int(ids[j])) for j in range(600)] for r in range(len(q))]
     for size, queries in ((600, 37), (97, 37), (13, 5), (1, 1)):
-        met = set()
+        met = defaultdict(list)
         for a in range(0, len(q), queries):
             for b in range(0, len(x), size):
-                at, found, scores = ann.top_pairs(q[a : a + queries], own[a : a + queries], x[b : b + size], ids[b : b + size], 20)
-                assert len(set(zip(at.tolist(), found.tolist()))) == len(at)
-                met |= {(a + r, i, s) for r, i, s in zip(at.tolist(), found.tolist(), scores.tolist())}
+                at, j, scores = ann.top_pairs(q[a : a + queries], own[a : a + queries], x[b : b + size], ids[b : b + size], 20)
+                for r, i, s in zip(at.tolist(), ids[b : b + size][j].tolist(), scores.tolist()):
+                    met[a + r].append((-s, i))
         for r in range(len(q)):
-            mine = {}
-            for _, i, s in (m for m in met if m[0] == r):
-                mine[i] = max(s, mine.get(i, s))
-            want = sorted(((-best_of[r, i], i) for i in set(ids.tolist())))[:20]
-            assert sorted((-s, i) for i, s in mine.items())[:20] == want
+            assert sorted(met[r])[:20] == sorted(exact[r])[:20]
 
 
 def sum_in_order(a, b):
-    total = 0.0
-    for x, y in zip(a.tolist(), b.tolist()):
+    total = 0
+    for x, y in zip(np.asarray(a, dtype=object).tolist(), np.asarray(b, dtype=object).tolist()):
         total += x * y
     return total
 
 
-def test_nearest_lists_an_id_once_when_curves_overlap(spark, monkeypatch):
-    """Clustered rows need a short reach, so all curves are used and a pair is met on several."""
+def test_nearest_with_a_short_reach(spark, monkeypatch):
+    """Clustered rows need few segments; rows met on several curves stand once in a list."""
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(40, 64)) * 3
     x = np.concatenate([c + rng.normal(size=(60, 64)) * 0.1 for c in centres])
-    copies = [(5000 + i, x[i * 7].tolist()) for i in range(200)]
-    again = [(i, (x[i] * 0.999).tolist()) for i in range(0, 400, 9)]  # a second row of the same id
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + copies + again
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[i * 7].tolist()) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    used = []
-    ranked = ann._blocks
-    monkeypatch.setattr(ann, "_blocks", lambda r, size, n: used.append(r.select("curve").distinct().count()) or ranked(r, size, n))
-    got = defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, block=64).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    assert used == [4, 4]
-    exact = defaultdict(list)
-    for i, v in rows:
-        exact[i].append(v)
+    reaches = []
+    measured = ann.measured_reach
+    monkeypatch.setattr(ann, "measured_reach", lambda *a: reaches.append(measured(*a)) or reaches[-1])
+    got = dict(lists_of(ann.nearest(df, F.col("vec_id") % 20 == 0, segment_rows=64, sample=30).collect()))
+    assert reaches[0] <= 4  # of some 40 segments
+    want = dict(exact_tops(rows, 20, 20, float))
+    others = sorted(got)
+    assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in others]) >= 0.9
     for q, mine in got.items():
         assert len(mine) == 20 and len({j for j, _ in mine}) == 20
         assert mine == sorted(mine, key=lambda t: (-t[1], t[0]))
-        assert all(s in {sum_in_order(np.array(a), np.array(b)) for a in exact[q] for b in exact[j]} for j, s in mine)
+    assert all(s in {t for _, t in want[q]} for q in others for j, s in got[q] if j in {j for j, _ in want[q]})
 
 
 def test_hilbert_is_a_path():
@@ -367,7 +407,7 @@ def test_hilbert_is_a_path():
 
 
 def test_best_breaks_ties_by_id():
-    assert vectors.best(np.array([[1.0, 3.0, 3.0, 3.0]]), np.array([9, 8, 2, 5]), 2).tolist() == [[2, 3]]
+    assert vectors.best(np.array([1.0, 3.0, 3.0, 3.0]), np.array([9, 8, 2, 5]), 2).tolist() == [2, 3]
 
 
 # toxicity
