@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.staging import fresh_dir, shared_dir, staged  # noqa: F401
@@ -30,3 +30,9 @@ def binary_values(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def signed64(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the caller's columns of these names, for which results stand."""
+    low = {n.lower() for n in names}
+    return docs.select(*(docs[c] for c in docs.columns if c.lower() not in low))

@@ -9,7 +9,8 @@ document; texts are not shuffled until the bitmaps are applied.
 
 Defined cases: null or empty text is one empty line. Rows with equal doc_id and text are one
 document and get the same bitmap; rows with equal doc_id and other text count as one holder
-of a key. A null doc_id counts as the smallest id. An empty table gives an empty result.
+of a key. A null doc_id counts as the smallest id. Extra columns of any name stay. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,6 +158,6 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the kept lines as ``text``, and a struct ``__lines`` of (n_lines, n_dropped)."""
-    joined = docs.select("*", *ident()).join(bitmaps, ["__did", "__tkey"], "left")
-    done = joined.withColumn("__lines", _apply("text", "keep_bitmap"))
-    return done.withColumn("text", F.col("__lines.text")).drop("__did", "__tkey", "keep_bitmap")
+    joined = docs.select("*", *ident()).join(bitmaps.withColumnRenamed("keep_bitmap", "__keep"), ["__did", "__tkey"], "left")
+    done = joined.withColumn("__lines", _apply("text", "__keep"))
+    return done.withColumn("text", F.col("__lines.text")).drop("__did", "__tkey", "__keep")

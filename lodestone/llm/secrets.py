@@ -6,10 +6,15 @@ scans one copy of each, appends to the ledger and joins the findings back to eve
 that holds the blob. All of it is DataFrame and SQL functions.
 
 Positions come from cutting: the text between matches and the matches alternate, so running
-sums of their lengths are the spans, in code points.
+sums of their lengths are the spans. The sums run in a window over a blob's matches, which
+lie together since blobs were grouped; so the work follows the number of matches. They run in
+code points, which is what a span says, and in bytes, by which a text is cut without counting
+through it again.
 
 Defined cases: null text is the empty blob and has no findings. Repeated rows each get their
-blob's findings. An empty table gives an empty result.
+blob's findings. A column of the caller's with the name of a result (``blob``, ``spans``)
+gives way to it in ``scan``; ``redact`` leaves all columns but ``text`` as they are. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh_dir
+from lodestone.llm.common import fresh_dir, without
 
 #: Name, pattern, and what a match must hold besides; the first three are the base rules.
 #: ``probe`` is a pattern that every match contains and that is quick to deny.
@@ -32,61 +37,70 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 VERSION = "1"
-_SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: ``from`` and ``to`` are the span in bytes, ``clear`` the byte up to which earlier spans reach.
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,from:int,to:int,clear:int>>"
+_MATCH = "array<struct<rank:int,pos:int,step:int,len:int,step_b:int,len_b:int,good:boolean>>"
 
 
-def _literal(text: str) -> Column:
-    return F.lit(text)
-
-
-def _spans(text: Column, rule: dict, rank: int) -> Column:
-    """All matches of one rule, leftmost and not overlapping, as (start, rank, end, kind)."""
+def _matches(text: Column, rule: dict, rank: int) -> Column:
+    """All matches of one rule, leftmost and not overlapping: how far each is from the last one's end."""
     probe = text.contains(rule["probe"]) if rule["probe"].isalnum() or "PRIVATE" in rule["probe"] else text.rlike(rule["probe"])
     pattern = rule["pattern"]
     if rule["kind"] == "hex":  # a whole run of at least so many is what + and a length test give
         pattern = r"[0-9a-f]{24,}"
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.transform(whole, lambda x: F.char_length(x))
-    value = lengths if not rule["group"] else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule["group"])), lambda x: F.char_length(x))
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(lengths)).alias("gap"), lengths.alias("len"), value.alias("val"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule["kind"]).alias("kind")))
-        return F.struct(end.alias("at"), F.when(x["val"] >= rule["least"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    return F.when(probe, F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(_SPAN))
-
-
-def find_spans(text: Column, rules=RULES) -> Column:
-    """Spans of all rules by start, then rule order."""
-    return F.array_sort(F.concat(*(_spans(text, r, i) for i, r in enumerate(rules))))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule["group"])) if rule["group"] else whole
+    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("m"), value.alias("v"))
+
+    def told(x: Column, i: Column) -> Column:
+        size = lambda c: F.char_length(x[c])
+        raw = lambda c: F.octet_length(x[c])
+        return F.struct(F.lit(rank).alias("rank"), i.alias("pos"), (size("gap") + size("m")).alias("step"), size("m").alias("len"), (raw("gap") + raw("m")).alias("step_b"), raw("m").alias("len_b"), (size("v") >= rule["least"]).alias("good"))
+
+    return F.when(probe, F.transform(pairs, told).cast(_MATCH)).otherwise(F.array().cast(_MATCH))
+
+
+def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
+    """``blob, spans`` of a table of distinct ``blob, text``: spans of all rules by start, then rule order."""
+    every = F.concat(*(_matches(F.col("text"), r, i) for i, r in enumerate(rules)))
+    rows = blobs.select("blob", F.explode_outer(every).alias("m")).select("blob", "m.*")
+    so_far = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = rows.withColumn("end", F.sum("step").over(so_far).cast("int")).withColumn("to", F.sum("step_b").over(so_far).cast("int"))
+    ends = ends.withColumn("start", F.col("end") - F.col("len")).withColumn("from", F.col("to") - F.col("len_b"))
+    before = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.element_at(F.array(*(F.lit(r["kind"]) for r in rules)), F.col("rank") + 1)
+    ends = ends.withColumn("clear", F.coalesce(F.max(F.when(F.col("good"), F.col("to"))).over(before), F.lit(0)))
+    one = F.when(F.col("good"), F.struct("start", "rank", "end", kind.alias("kind"), "from", "to", "clear"))
+    return ends.groupBy("blob").agg(F.sort_array(F.collect_list(one)).cast(_SPAN).alias("spans"))
+
+
+def _scanned(docs: DataFrame, ledger: str | None, rules, version: str) -> DataFrame:
+    """``docs`` with ``__blob`` and ``__spans``."""
+    version = f"{version}-{hashlib.sha256(json.dumps([list(rules), _SPAN], sort_keys=True).encode()).hexdigest()}"
+    spark = docs.sparkSession
+    path = ledger or fresh_dir(spark, "secret-ledger")
+    schema = f"blob binary, version string, spans {_SPAN}"
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = docs.withColumn("__blob", F.unhex(F.sha2(text.cast("binary"), 256)))
+    blobs = named.select(F.col("__blob").alias("blob"), text.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
+    if ledger and _exists(spark, path):
+        seen = spark.read.schema(schema).parquet(path).where(F.col("version") == version)
+        blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
+    find_spans(blobs, rules).select("blob", F.lit(version).alias("version"), "spans").write.mode("append").parquet(path)
+    done = spark.read.schema(schema).parquet(path).where(F.col("version") == version)
+    hits = done.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    return named.join(hits, "__blob", "left").withColumn("__spans", F.coalesce("__spans", F.array().cast(_SPAN)))
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str = VERSION) -> DataFrame:
-    """``docs`` with ``blob`` (SHA-256 of the text) and ``spans`` (start, rank, end, kind).
+    """``docs`` with ``blob`` (SHA-256 of the text) and ``spans`` (start, rank, end, kind, ...).
 
     ``ledger`` is a folder of earlier scans; without one a new ledger is begun in the shared
     folder. Its rows are (blob, version, spans), where the version goes with a digest of the
     rules; a blob scanned with these rules under this version before is not scanned again.
     """
-    version = f"{version}-{hashlib.sha256(json.dumps(list(rules), sort_keys=True).encode()).hexdigest()}"
-    spark = docs.sparkSession
-    path = ledger or fresh_dir(spark, "secret-ledger")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumn("blob", F.unhex(F.sha2(text.cast("binary"), 256)))
-    blobs = named.select("blob", text.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
-    if ledger and _exists(spark, path):
-        seen = spark.read.schema(f"blob binary, version string, spans {_SPAN}").parquet(path).where(F.col("version") == version)
-        blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
-    found = blobs.select("blob", F.lit(version).alias("version"), find_spans(F.col("text"), rules).alias("spans"))
-    found.write.mode("append").parquet(path)
-    scanned = spark.read.schema(f"blob binary, version string, spans {_SPAN}").parquet(path).where(F.col("version") == version)
-    hits = scanned.where(F.size("spans") > 0).select("blob", "spans")
-    return named.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
+    done = _scanned(without(docs, "blob", "spans"), ledger, rules, version)
+    return done.withColumnsRenamed({"__blob": "blob", "__spans": "spans"})
 
 
 def _exists(spark, path: str) -> bool:
@@ -99,17 +113,19 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each secret's span replaced by ``[kind]``; other columns stay."""
-    keep = docs.columns
-    done = scan(docs, **how)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str = VERSION) -> DataFrame:
+    """``docs`` with each secret's span replaced by ``[kind]``; other columns stay.
+
+    Of spans that overlap the first gives the name and all are cut out.
+    """
+    done = _scanned(docs, ledger, rules, version)
+    fresh = F.filter("__spans", lambda s: s["from"] >= s["clear"])
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        new = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.when(fresh, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(fresh, new).otherwise(acc["out"]).alias("out"))
+    def cut(raw: Column) -> Column:
+        """``raw`` is a lambda's variable, so a piece costs its own bytes only, not the text's."""
+        piece = lambda begin, end: F.substring(raw, begin + 1, end - begin).cast("string")
+        named = F.transform(fresh, lambda s: F.concat(piece(s["clear"], s["from"]), F.lit("["), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(named, ""), piece(F.array_max(F.transform("__spans", lambda s: s["to"])), F.octet_length(raw)))
 
-    redacted = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text))))
-    return done.withColumn("text", F.when(F.size("spans") > 0, redacted).otherwise(F.col("text"))).select(*keep)
+    redacted = F.transform(F.array(F.coalesce(F.col("text"), F.lit("")).cast("binary")), cut)[0]
+    return done.withColumn("text", F.when(F.size("__spans") > 0, redacted).otherwise(F.col("text"))).select(*docs.columns)

@@ -511,6 +511,16 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    """The work follows the matches: 60,000 of them in one text, and one of five rows is short."""
+    text = " ".join("é" + "0123456789abcdef" * 2 + (" token=ab" if i % 5 else " token=abcdefg") for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    done = {r.doc_id: r for r in secrets.scan(df).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert done[1].s == brute_secrets(text) and done[2].s == ""
+    back = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert back[1] == " ".join("é[hex]" + (" token=ab" if i % 5 else " [assign]") for i in range(60_000))
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     one = spark.createDataFrame([(1, "token=abcdefg"), (2, "nothing")], "doc_id long, text string")
@@ -612,8 +622,40 @@ def test_packing(spark, how):
     assert packing.pack(df.limit(0), WORD_VOCAB).count() == 0
 
 
+CLASHES = ["spans", "blob", "version", "keep_bitmap", "n_lines", "n_dropped", "kept", "n_words", "n_removed", "kept_sha256", "component", "component_id", "n_shingles", "score", "toxic", "held_out", "predicted", "ids", "n_tokens", "decoded", "start", "length", "window", "offset", "sequence_id", "doc_tokens", "h", "part", "copies", "m", "pos", "rank"]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Every name that some operator uses, on one table: nothing fails, the documented ones give way."""
+    rows = [(i, t, *(f"own {c}" for c in CLASHES)) for i, t in enumerate(SECRETS + ["a b c d e f g " * 9, "a b c d e f g " * 9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+    n = len(rows)
+    own = lambda done, *but: all(done.where(F.col(c) == f"own {c}").count() == n for c in ("kept", "spans", "blob") if c not in but)
+    scanned = secrets.scan(df)
+    assert scanned.count() == n and own(scanned, "spans", "blob") and len(set(scanned.columns)) == len(scanned.columns)
+    redacted = secrets.redact(df)
+    assert redacted.columns == df.columns and own(redacted)
+    dropped = lines.drop_lines(df, lines.keep_bitmaps(df))
+    assert dropped.count() == n and own(dropped)
+    cut = substrings.remove_repeats(df, 12)
+    assert cut.count() == n and own(cut, "kept") and len(set(cut.columns)) == len(cut.columns)
+    assert minhash.near_duplicates(df).count() == n and minhash.keep_one(df).columns == df.columns
+    model = toxicity.learn(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    scored = toxicity.score(df, model)
+    assert scored.columns == df.columns and own(scored)
+    assert packing.pack(df, WORD_VOCAB).agg(F.countDistinct("doc_id")).first()[0] == n
+    coded = bpe.encode(df, BYTE_VOCAB)
+    assert bpe.decode(coded, BYTE_VOCAB).count() == n and own(coded) and bpe.round_trip(df, BYTE_VOCAB).count() == n
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *CLASHES, F.lit(1).alias("payload"), F.lit(2).alias("file"), F.lit(3).alias("refers_to"), F.lit(4).alias("__first"))
+    assert warc.digests(warc.read(warc.write(pages))).count() == n
+    few = df.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id") % 3).cast("array<float>").alias("embedding"), "rank", "part", F.lit(1).alias("row"), F.lit(1).alias("query_id"), F.lit(1).alias("asks"))
+    assert ann.nearest(few, F.col("vec_id") == 0).count() == min(20, n - 1) and maxscore.top_k(few, few.where("vec_id = 0")).count() == 5
+
+
 def test_no_operator_fails_on_an_empty_table(spark, empty):
     assert lines.drop_lines(empty, lines.keep_bitmaps(empty)).count() == 0
     assert minhash.near_duplicates(empty).count() == 0
     assert substrings.remove_repeats(empty).count() == 0
+    assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0 and minhash.keep_one(empty).count() == 0
+    assert bpe.encode(empty, BYTE_VOCAB).count() == 0 and bpe.decode(bpe.encode(empty, BYTE_VOCAB), BYTE_VOCAB).count() == 0
     assert public_tokenizers.path("word_bpe_49k.json") == WORD_VOCAB
