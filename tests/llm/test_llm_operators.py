@@ -222,6 +222,25 @@ def test_repeats(spark, docs, window):
     assert got == brute_repeats(documents(), window)
 
 
+def test_repeats_are_located_by_the_automata(spark, docs, monkeypatch):
+    """Several shards give the same; automata that hold no phrase leave every word."""
+    monkeypatch.setattr(substrings, "SHARD", 7)
+    want = brute_repeats(documents(), 12)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, 12).collect()), key=repr)
+    assert got == want and sum(r[2] for r in want) > 0
+    monkeypatch.setattr(substrings, "compiled", lambda phrases: iter(()))
+    assert substrings.remove_repeats(docs, 12).agg({"n_removed": "sum"}).first()[0] == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lodestone_texts")]
+
+
+def test_phrases_are_spelled_as_texts_are():
+    h = np.random.default_rng(3).integers(0, 2**63, 40).astype(np.uint64)
+    codes, at = substrings.spelled(h), np.array([0, 7, 32])
+    text = substrings.letters(codes)
+    size = substrings.LETTERS
+    assert substrings.phrases_of(*substrings.phrase_keys(codes, at)) == [text[size * i : size * (i + substrings.PHRASE)] for i in at]
+
+
 def test_anchors_brute_force():
     rng = np.random.default_rng(4)
     for n, span in ((5, 5), (40, 7), (200, 28), (3, 9)):
