@@ -8,19 +8,22 @@ probability of their similarity, and the number of agreements is concentrated ar
 
 Documents with equal sets are one class, found by a 128-bit fingerprint; only classes go on.
 Bands of the sketch give buckets. First each class is checked against the smallest class it
-shares a bucket with, and the links that hold give components. What is still open in a bucket
-is compared by whole sketches inside a task, which passes on no more than a forest over its
+shares a bucket with, and the links that hold give components; buckets that are large and hold
+several components go on with other hubs for some rounds. What is still open in a bucket is
+compared by whole sketches inside a task, which passes on no more than a forest over its
 members; the trees of all buckets give groups that hold every pair worth checking. A group's
-shingle sets meet once, block by block, and each pair of different components that agrees in
-the sketches is confirmed there on the full sets; again only a forest of links comes out. So
-rows follow the members of a group, never its pairs, and no link between components is lost.
+shingle sets meet block by block, and each pair of different components that agrees in the
+sketches is confirmed there on the full sets; again only a forest of links comes out. The
+members of a group's largest component never meet one another, only the members outside it
+do and meet them; so rows follow the members of a group, and no link between components is lost.
 
 A pair of similarity 0.8 shares no band with a probability of 5e-8 (32 bands of 4), and its
 sketches agree in fewer than ``AGREE`` of the ``T`` coordinates with one of about 4e-5.
 
 Defined cases: a text of fewer words than a shingle is one shingle; one without words (or
-null) has the empty set and is linked with nothing. Rows that share a doc_id but not the text are linked text by text. A null
-doc_id counts as the smallest id inside and comes back as null. Empty table, empty result.
+null) has the empty set and is linked with nothing. Rows that share a doc_id but not the text
+are linked text by text. A null doc_id counts as the smallest id inside and comes back as
+null. Extra columns don't matter. Empty table, empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import NULL_ID, binary_values, ident, staged
-from lodestone.llm.graph import components
+from lodestone.llm.graph import HOT, components
 from lodestone.llm.words import WordHashes, mixed, rolling
 
 T, BANDS, ROWS, AGREE = 512, 32, 4, 374
-BLOCK = 512
+BLOCK, HUBS = 2048, 3  # members that meet in a task; rounds of further hubs for larger buckets
 _EMPTY = np.uint64(2**64 - 1)
 _LIKELY = 4 * T + T * T.bit_length()
 _SEEDS = np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
@@ -169,12 +172,21 @@ def _forest(percent: int, exact: bool):
 def _blocks_meet(members: DataFrame) -> DataFrame:
     """``members`` (grp, node, c, ...) of groups with two components or more, dealt to pairs of blocks.
 
-    A row goes to as many pairs as its group has blocks.
+    Blocks of the largest component have numbers from 0 on below; they meet the blocks of the
+    members outside it, which are numbered down from -1 there, and these meet one another too.
     """
-    open_ = members.groupBy("grp").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("__lo < __hi").select("grp", "blocks")
-    rows = members.join(open_, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    return rows.withColumn("__p", F.explode(pair_of)).select("*", "__p.i", "__p.j").drop("__p", "blocks")
+    sizes = members.groupBy("grp", "c").agg(F.count("*").alias("k"))
+    open_ = sizes.groupBy("grp").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), F.count("*").alias("components")).where("components > 1")
+    many = lambda k: F.ceil(k / BLOCK).cast("int")
+    open_ = open_.select("grp", F.col("top.c").alias("__top"), many(F.col("top.k")).alias("__inside"), many(F.col("k") - F.col("top.k")).alias("__outside"))
+    rows = members.join(open_, "grp").withColumn("__in", F.col("c") == F.col("__top"))
+    rows = rows.withColumn("block", F.when(F.col("__in"), F.pmod(F.xxhash64("node"), F.col("__inside"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("__outside"))).cast("int"))
+    outside, inside = F.sequence(-F.col("__outside"), F.lit(-1)), F.sequence(F.lit(0), F.col("__inside") - 1)
+    to = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    of_inside = F.transform(outside, lambda o: to(o, F.col("block")))
+    of_outside = F.concat(F.transform(inside, lambda o: to(F.col("block"), o)), F.transform(outside, lambda o: to(F.least(F.col("block"), o), F.greatest(F.col("block"), o))))
+    pair = F.explode(F.when(F.col("__in"), of_inside).otherwise(of_outside))
+    return rows.withColumn("__p", pair).select("*", "__p.i", "__p.j").drop("__p", "__top", "__in", "__inside", "__outside")
 
 
 def _sets(k: int):
@@ -197,10 +209,20 @@ def _verified(percent: int):
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    """The pairs (hub, node) whose full sets are similar enough, as links (a, b).
+
+    A hub with more than a ``HOT``-th of all pairs is split into parts; there are fewer than
+    ``HOT`` such hubs, so their list is broadcast.
+    """
+    pairs = staged(pairs, "pairs")
+    total = pairs.count()
+    hot = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") * HOT > total)
+    hot = F.broadcast(hot.select("a", F.ceil(F.col("k") * HOT / total).cast("int").alias("parts")))
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x")).join(hot, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    return dealt.join(x, ["a", "part"]).join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -215,18 +237,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("band", "hub")
     # members of buckets with two classes or more
     members = staged(banded.join(shared, "band").select("band", "node", "n", "hub"), "buckets")
-    first = members.groupBy("node").agg(F.min("hub").alias("hub"))
     sizes = classes.select("node", "n")
-    near = lambda a, b: (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
-    star = first.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    star = star.join(sizes.alias("p"), F.col("a") == F.col("p.node")).join(sizes.alias("q"), F.col("b") == F.col("q.node")).where(near("p", "q")).select("a", "b")
-
-    wanted = classes.join(first.select("node"), "node", "left_semi").select("node", "did", "tkey")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "did", "tkey")
     texts = rows.dropDuplicates(["__did", "__tkey"]).join(wanted, (F.col("__did") == F.col("did")) & (F.col("__tkey") == F.col("tkey"))).select("node", "text")
     sets = staged(texts.mapInArrow(_sets(shingle_words), "node long, items binary"), "sets")
 
-    links = staged(_confirm(star, sets, percent), "links")
+    near = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
+
+    def star(towards: DataFrame) -> DataFrame:
+        """Confirmed links of each node with its hub; ``towards`` has (node, hub)."""
+        pairs = towards.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b")
+        pairs = pairs.join(sizes.alias("p"), F.col("a") == F.col("p.node")).join(sizes.alias("q"), F.col("b") == F.col("q.node")).where(near)
+        return staged(_confirm(pairs.select("a", "b"), sets, percent), "links")
+
+    links = star(members.groupBy("node").agg(F.min("hub").alias("hub")))
     linked = components(links)
+    for turn in range(HUBS):
+        known_c = members.select("band", "node").join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+        turned = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "c")
+        large = known_c.groupBy("band").agg(F.min(turned).alias("hub"), F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(f"k > {BLOCK} and lo < hi").select("band", "hub")
+        large = staged(large, "large-buckets")
+        if not large.head(1):
+            break
+        # the buckets are large, so they are few against their members
+        towards = known_c.join(large, "band").where("c <> hub.c").groupBy("node").agg(F.min("hub").alias("hub")).select("node", F.col("hub.node").alias("hub"))
+        links = links.unionByName(star(towards))
+        linked = components(links)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order, shape = ["grp", "i", "j"], ["grp", "i", "j", "block", "node", "c", "n", "coords"]
     labelled = members.join(linked, "node", "left").select(F.col("band").alias("grp"), "node", "n", F.coalesce("component", "node").alias("c"))
