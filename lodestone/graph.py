@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from lodestone.staging import staged
 
 
+HOT = 1024
+
+
+def joined_to_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of their u from ``least`` (u, m, n), n being u's edges in both directions.
+
+    A node with more than a ``HOT``-th of all ends of edges has its ``m`` broadcast: fewer than
+    ``HOT`` nodes have, whatever the data. So no task gets a hub's edges.
+    """
+    hot = least.where(F.col("n") * HOT > 2 * total).select("u", F.col("m").alias("__hot"))
+    marked = edges.join(F.broadcast(hot), "u", "left")
+    rest = marked.where("__hot is null").select("u", "v").join(least.select("u", "m"), "u")
+    return rest.unionByName(marked.where("__hot is not null").select("u", "v", F.col("__hot").alias("m")))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``node, component`` (its smallest node) of each node that has an edge.
 
@@ -17,18 +32,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     that haven't settled after ``rounds`` are an error, never a result.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, total = None, now.count()
     for _ in range(rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_to_least(both.where("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         now = staged(small.where("u <> v").distinct(), "edges")
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == before:
             break
-        before = sums
+        before, total = sums, sums[0]
     else:
         raise RuntimeError(f"components haven't settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
