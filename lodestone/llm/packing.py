@@ -68,7 +68,7 @@ class OpenWindows:
 
 def _pack(vocab_path: str, end_id: int, size: int, most: int, min_gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, windows = encoder(vocab_path, fast=True).encode, OpenWindows(size, most, min_gap)
+        code, windows = encoder(vocab_path).encode, OpenWindows(size, most, min_gap)
         base, end, rows = TaskContext.get().partitionId() << 36, struct.pack("<I", end_id), []
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

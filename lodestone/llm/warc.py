@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Spark's name for a store as Arrow knows it: the s3a and s3n schemes are s3 there."""
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
     if uri.startswith("file:/") and not uri.startswith("file:///"):
         uri = "file://" + uri[5:]
     return pafs.FileSystem.from_uri(uri)
