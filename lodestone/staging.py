@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before:
         return set_before.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
