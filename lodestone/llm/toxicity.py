@@ -1,7 +1,7 @@
 """Toxicity scores from a misspelling-tolerant lexicon and the context of its hits.
 
-A lexicon (a seed list and what the labelled sample adds, whole words and word stems) is a
-trie. It is intersected with a Levenshtein automaton of one edit per entry: the states of the
+A lexicon (what a bounded sample of labelled rows teaches, whole words and word stems, and a
+list of the caller's if there is one) is a trie. It is intersected with a Levenshtein automaton of one edit per entry: the states of the
 product are built as words ask for them and kept, so a word is decided in one pass over its
 letters. Each hit is scored by its window: quotation marks or reporting words around it speak
 for quotation, words of address for abuse. A logistic model over a few such counts gives the
@@ -9,7 +9,8 @@ score. Only the sample of labelled documents outside the held-out fifth is learn
 
 Defined cases: null and empty text has no hits and gets the model's base score. A null doc_id
 is never held out. Labels without a document, null labels and repeated labels (the larger
-counts) are allowed; without any usable label the seed model with fixed weights scores.
+counts) are allowed; with fewer than ten usable labels of either kind fixed weights score the
+caller's list. Extra columns stay; one of the name of the score gives way to it.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
 REPORTING = frozenset("said says wrote writes called quote quoted quotes cited word term slur reported".split())
 ADDRESS = frozenset("you your yours ur youre tu te vous toi du dich dir dein ihr eres".split())
 WORDS = re.compile(r"[^\W\d_]+")
 QUOTES = re.compile("[\"“”«»„]")
 WINDOW = 6
+VOCABULARY = math.log(1e8)  # evidence against chance among so many words
 FEATURES = 6
 
 
@@ -195,13 +196,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"mark": pa.array(keys, pa.string()), "bad": pa.array([bad[k] for k in keys], pa.int64()), "clean": pa.array([clean[k] for k in keys], pa.int64())})
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, seed: tuple[str, ...] = SEED, least: int = 6) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, seed: tuple[str, ...] = (), least: int = 6, max_marks: int = 20_000, max_entries: int = 2_000) -> dict:
     """Entries with weights and a logistic model, from a bounded sample of labelled rows.
 
+    Bounds of the fit, and of nothing else: ``max_rows`` labelled rows, the ``max_marks`` marks
+    that most toxic rows of the sample hold, ``max_entries`` entries. A mark is a word of 4 to 24
+    letters or its first 4 to 8 letters; scoring takes words of any length.
+
     Word and stem counts over the sample run in Spark; only marks that are clearly toxic come
-    to the driver, with the toxic sample documents that hold them. They are chosen greedily by
-    the toxic documents that nothing chosen so far explains, so that words which merely occur
-    in the same documents stay out.
+    to the driver, with the toxic sample documents that hold them. Words that only toxic rows
+    hold, and more often than chance gives any word of a large vocabulary, are entries. Further
+    words and stems are chosen greedily by the toxic documents that nothing chosen so far
+    explains, so that words which merely occur in the same documents stay out.
     """
     rows = training_rows(docs, labels, max_rows).cache()
     n_bad, n_clean = (rows.where(f"toxic = {t}").count() for t in (1, 0))
@@ -210,8 +216,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, seed: tupl
         rows.unpersist()
         return {"entries": weights, "model": [-4.0, 3.0, 1.5, 0.5, 0.5, 1.0, 0.2]}
     counts = rows.mapInArrow(_count, "mark string, bad long, clean long").groupBy("mark").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
-    strong = counts.where((F.col("bad") >= least) & (F.col("bad") / n_bad > 30 * (F.col("clean") + 0.3) / n_clean)).orderBy(F.desc("bad"), "mark").limit(20_000)
-    scores = {r.mark: math.log((r.bad + 0.5) / n_bad) - math.log((r.clean + 0.5) / n_clean) for r in strong.collect()}
+    strong = counts.where((F.col("bad") >= least) & (F.col("bad") / n_bad > 30 * (F.col("clean") + 0.3) / n_clean)).orderBy(F.desc("bad"), "mark").limit(max_marks)
+    strong = strong.collect()
+    scores = {r.mark: math.log((r.bad + 0.5) / n_bad) - math.log((r.clean + 0.5) / n_clean) for r in strong}
+    chance = math.log((n_bad + n_clean) / n_bad)  # of a row to be toxic, as bits of evidence
+    sure = [r.mark for r in strong if not r.clean and not r.mark.endswith("*") and r.bad * chance > VOCABULARY][:max_entries]
     support: dict[str, set[int]] = {}
     if scores:
         chosen_marks = set(scores)
@@ -228,9 +237,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, seed: tupl
         for r in rows.where("toxic = 1").select(F.col("doc_id").cast("long"), "text").mapInArrow(holders, "doc_id long, marks array<string>").collect():
             for m in r.marks:
                 support.setdefault(m, set()).add(r.doc_id)
-    entries: dict[str, float] = {w: max(scores.get(w, 3.0), 1.0) for w in seed}
-    explained: set[int] = set().union(*(support.get(w, set()) for w in seed)) if support else set()
-    while len(entries) < 2000 and support:
+    entries: dict[str, float] = {w: max(scores.get(w, 3.0), 1.0) for w in (*seed, *sure)}
+    explained: set[int] = set().union(*(support.get(w, set()) for w in entries)) if support else set()
+    while len(entries) < max_entries and support:
         best = max(support, key=lambda m: (len(support[m] - explained), not m.endswith("*"), -len(m), m))
         gain = support.pop(best) - explained
         if len(gain) < least:

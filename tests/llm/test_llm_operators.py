@@ -465,8 +465,9 @@ def test_fuzzy_trie_brute_force():
 
 
 def test_quotation_counts_apart():
-    trie = toxicity.FuzzyTrie(toxicity.SEED)
-    w = {k: 3.0 for k in toxicity.SEED}
+    listed = ("idiot", "moron")
+    trie = toxicity.FuzzyTrie(listed)
+    w = dict.fromkeys(listed, 3.0)
     abuse, quote = toxicity.hits("you are an idiot and a moron", trie, w), toxicity.hits('the report said "idiot" here', trie, w)
     assert abuse[0] > 0 and abuse[2] == 0 and abuse[3] > 0 and quote[0] == 0 and quote[2] > 0
     assert toxicity.hits("", trie, w) == [0.0] * toxicity.FEATURES
