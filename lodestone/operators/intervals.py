@@ -19,15 +19,19 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("to_") > F.col("from_"))
 
 
-def merge_touching(rows: DataFrame, value: str = "value") -> DataFrame:
-    """Rows of equal value that touch or overlap become one: ``hole, value, from_, to_, n``."""
+def runs(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Rows with ``__run``: the number of the run of equal values, touching or overlapping, that they are in."""
     order = Window.partitionBy("hole").orderBy("from_", "to_", value)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("to_").over(before)
     fresh = reach.isNull() | (F.col("from_") > reach + EPS) | ~F.lag(value).over(order).eqNullSafe(F.col(value))
     marked = valid(rows).withColumn("__new", F.when(fresh, 1).otherwise(0))
-    runs = marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("hole", "__run", value).agg(F.min("from_").alias("from_"), F.max("to_").alias("to_"), F.count("*").alias("n")).drop("__run")
+    return marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def merge_touching(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Rows of equal value that touch or overlap become one: ``hole, value, from_, to_, n``."""
+    return runs(rows, value).groupBy("hole", "__run", value).agg(F.min("from_").alias("from_"), F.max("to_").alias("to_"), F.count("*").alias("n")).drop("__run")
 
 
 def islands(rows: DataFrame) -> DataFrame:
@@ -60,14 +64,14 @@ def segments(rows: DataFrame, value: str = "value") -> DataFrame:
 
     ``hole, from_, to_, value, n, conflict``: exact repeats count once, negative values count
     as not assayed, ``conflict`` says that two values or more met. Breakpoints are laid out in
-    one sweep per hole; a row meets the segments inside it.
+    one sweep per hole; rows meet the segments inside them by depth buckets.
     """
     clean = valid(rows).select("hole", "from_", "to_", F.when(F.col(value) >= 0, F.col(value)).alias("__v")).where("__v is not null").distinct()
     points = clean.select("hole", F.col("from_").alias("p")).unionByName(clean.select("hole", F.col("to_").alias("p"))).distinct()
     order = Window.partitionBy("hole").orderBy("p")
-    pieces = points.withColumn("q", F.lead("p").over(order)).where("q is not null")
-    met = pieces.join(clean, (pieces["hole"] == clean["hole"]) & (F.col("from_") <= F.col("p")) & (F.col("to_") >= F.col("q"))).select(pieces["hole"], "p", "q", "__v")
-    return met.groupBy("hole", F.col("p").alias("from_"), F.col("q").alias("to_")).agg(F.avg("__v").alias(value), F.count("*").alias("n"), (F.count_distinct("__v") > 1).alias("conflict"))
+    pieces = points.select("hole", F.col("p").alias("from_"), F.lead("p").over(order).alias("to_")).where("to_ is not null")
+    met = overlap_pairs(pieces, clean).groupBy("a.hole", "a.from_", "a.to_")
+    return met.agg(F.avg("b.__v").alias(value), F.count("*").alias("n"), (F.min("b.__v") < F.max("b.__v")).alias("conflict"))
 
 
 def composite(rows: DataFrame, length: float, min_coverage: float = 0.5, domain: str | None = None, cap: float | None = None, value: str = "value") -> DataFrame:
@@ -79,9 +83,8 @@ def composite(rows: DataFrame, length: float, min_coverage: float = 0.5, domain:
     """
     base = valid(rows).where(F.col(value).isNotNull()).withColumn("__v", F.least(F.col(value), F.lit(cap)) if cap is not None else F.col(value))
     if domain:
-        base = base.withColumn("__code", F.col(domain))
-        runs = merge_touching(base.select("hole", "from_", "to_", F.col("__code").alias("value"))).withColumnRenamed("value", "__code").withColumnsRenamed({"from_": "__top", "to_": "__bottom"})
-        cut = base.join(runs.drop("n"), ["hole", "__code"]).where((F.col("from_") >= F.col("__top")) & (F.col("to_") <= F.col("__bottom")))
+        run = Window.partitionBy("hole", "__run")
+        cut = runs(base.withColumn("__code", F.col(domain)), "__code").withColumns({"__top": F.min("from_").over(run), "__bottom": F.max("to_").over(run)})
     else:
         cut = base.join(base.groupBy("hole").agg(F.min("from_").alias("__top"), F.max("to_").alias("__bottom")), "hole").withColumn("__code", F.lit(None).cast("string"))
     first = F.floor((F.col("from_") - F.col("__top")) / length)
@@ -115,23 +118,33 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bucket: float = 64.0) -> Da
     return pairs.select(pick(left, "a"), pick(right, "b"), _overlap().alias("metres"))
 
 
-def code_by_overlap(samples: DataFrame, log: DataFrame, code: str = "code") -> DataFrame:
+def _coded(samples: DataFrame, log: DataFrame, code: str, holds: Column, rank: Column, bucket: float) -> DataFrame:
+    """Samples with the code of the log row of highest ``rank`` that ``holds`` them; null without one.
+
+    One join by (hole, depth bucket) that keeps samples without a match. Equal samples go as one
+    with a count, so nulls in any column and repeated rows stay as they are.
+    """
+    cols = samples.columns
+    one = samples.groupBy(*cols).agg(F.count("*").alias("__n"))
+    buckets = lambda c: F.sequence(F.floor(F.col("from_") / bucket), F.floor((F.col("to_") - EPS) / bucket))
+    a = one.withColumn("__b", F.explode_outer(F.when(F.col("to_") > F.col("from_"), buckets(0)))).alias("a")
+    b = valid(log).withColumn("__b", F.explode(buckets(0))).alias("b")
+    first = F.floor(F.greatest(F.col("a.from_"), F.col("b.from_")) / bucket) == F.col("a.__b")
+    met = a.join(b, (F.col("a.hole") == F.col("b.hole")) & (F.col("a.__b") == F.col("b.__b")) & (F.col("a.from_") < F.col("b.to_")) & (F.col("b.from_") < F.col("a.to_")) & first & holds, "left")
+    keys = [F.col(f"a.{c}").alias(c) for c in cols]
+    best = met.groupBy(*keys, F.col("a.__n").alias("__n")).agg(F.max_by(F.col(f"b.{code}"), F.when(F.col("b.hole").isNotNull(), rank)).alias(code))
+    return best.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*cols, code)
+
+
+def code_by_overlap(samples: DataFrame, log: DataFrame, code: str = "code", bucket: float = 64.0) -> DataFrame:
     """Samples with the code that overlaps most of them, the shallower on ties; null without one."""
-    pairs = overlap_pairs(samples, log)
-    best = pairs.groupBy("a").agg(F.max_by(F.col(f"b.{code}"), F.struct("metres", -F.col("b.from_"), -F.col("b.to_"))).alias(code))
-    keys = samples.columns
-    done = best.select(*(F.col(f"a.{c}").alias(c) for c in keys), code)
-    return samples.join(done, keys, "left")
+    return _coded(samples, log, code, F.lit(True), F.struct(_overlap(), -F.col("b.from_"), -F.col("b.to_")), bucket)
 
 
-def code_at_midpoint(samples: DataFrame, log: DataFrame, code: str = "code") -> DataFrame:
+def code_at_midpoint(samples: DataFrame, log: DataFrame, code: str = "code", bucket: float = 64.0) -> DataFrame:
     """Samples with the code of the interval that holds their middle, the last to begin on ties."""
     mid = (F.col("a.from_") + F.col("a.to_")) / 2
-    pairs = overlap_pairs(samples, log)
-    held = pairs.where((F.col("b.from_") <= mid) & (mid < F.col("b.to_")))
-    best = held.groupBy("a").agg(F.max_by(F.col(f"b.{code}"), F.struct("b.from_", "b.to_")).alias(code))
-    done = best.select(*(F.col(f"a.{c}").alias(c) for c in samples.columns), code)
-    return samples.join(done, samples.columns, "left")
+    return _coded(samples, log, code, (F.col("b.from_") <= mid) & (mid < F.col("b.to_")), F.struct(F.col("b.from_"), F.col("b.to_")), bucket)
 
 
 def overlap_means(windows: DataFrame, values: DataFrame, value: str = "value") -> DataFrame:
@@ -154,9 +167,13 @@ def reading_bins(readings: DataFrame, size: float, value: str = "value") -> Data
 
 def moving_median(readings: DataFrame, half_width: float, value: str = "value") -> DataFrame:
     """Each reading with the lower-middle median of those within ``half_width`` of its depth."""
-    w = float(half_width)
-    held = F.sort_array(F.expr(f"collect_list(`{value}`) OVER (PARTITION BY hole ORDER BY depth RANGE BETWEEN {w}D PRECEDING AND {w}D FOLLOWING)"))
-    return readings.withColumn("filtered", F.element_at(held, F.floor((F.size(held) + 1) / 2).cast("int")))
+    w, block = float(half_width), 16.0 * half_width
+    # a stretch of the hole with its neighbours' edges goes to one task, not the hole
+    at = lambda d: F.floor((F.col("depth") + d) / block)
+    dealt = readings.withColumn("__own", at(0.0)).withColumn("__s", F.explode(F.array_distinct(F.array(at(-w), at(0.0), at(w)))))
+    held = F.sort_array(F.expr(f"collect_list(`{value}`) OVER (PARTITION BY hole, __s ORDER BY depth RANGE BETWEEN {w}D PRECEDING AND {w}D FOLLOWING)"))
+    out = dealt.withColumn("filtered", F.element_at(held, F.floor((F.size(held) + 1) / 2).cast("int")))
+    return out.where(F.col("__own").eqNullSafe(F.col("__s"))).drop("__own", "__s")
 
 
 def readings_in_intervals(readings: DataFrame, intervals: DataFrame, bucket: float = 64.0) -> DataFrame:
@@ -188,7 +205,7 @@ def first_code(rows: DataFrame, cover: tuple[str, ...], code: str = "code") -> D
     return kept.groupBy("hole").agg(F.min_by(code, F.struct("from_", "to_", code)).alias(code), F.min("from_").alias("depth"))
 
 
-INTERCEPT_SQL = "hole long, from_ double, to_ double, length double, sampled double, grade double, n long"
+INTERCEPT_SQL = "from_ double, to_ double, length double, sampled double, grade double, n long"
 
 
 def fold_intercepts(rows: list[tuple[float, float, float]], cutoff: float, max_dilution: float, min_length: float, top_cut: float | None = None) -> list[tuple]:
@@ -224,8 +241,9 @@ def intercepts(rows: DataFrame, cutoff: float, max_dilution: float, min_length:
 
     A run takes in a stretch below the cut-off (with unsampled metres) of at most
     ``max_dilution`` metres if the average of the whole, over sampled metres, stays at or above
-    the cut-off. The fold follows a hole's rows in order: rows are dealt by hole, sorted, and
-    streamed; a task holds one hole's rows at a time.
+    the cut-off. Rows that overlap are resolved to segments first, so no metre counts twice. The
+    fold follows a hole's segments in order: they are dealt by hole, sorted, and streamed; a task
+    holds one hole's at a time. A hole's id keeps its type.
     """
 
     def run(batches):
@@ -245,14 +263,57 @@ def intercepts(rows: DataFrame, cutoff: float, max_dilution: float, min_length:
             out = []
         yield pd.DataFrame(done(), columns=["hole", "from_", "to_", "length", "sampled", "grade", "n"])
 
-    clean = valid(rows).where("value is not null").select(F.col("hole").cast("long"), F.col("from_").cast("double"), F.col("to_").cast("double"), F.col("value").cast("double"))
+    clean = segments(rows).where("hole is not null").select("hole", F.col("from_").cast("double"), F.col("to_").cast("double"), F.col("value").cast("double"))
     # holes without a value at the cut-off have no intercept and aren't sent to Python
     rich = clean.withColumn("__most", F.max("value").over(Window.partitionBy("hole"))).where(F.col("__most") >= cutoff).drop("__most")
-    return rich.sortWithinPartitions("hole", "from_", "to_").mapInPandas(run, INTERCEPT_SQL)
+    return rich.sortWithinPartitions("hole", "from_", "to_").mapInPandas(run, f"hole {dict(rows.dtypes)['hole']}, {INTERCEPT_SQL}")
 
 
 def attach_including(parents: DataFrame, inner: DataFrame) -> DataFrame:
     """High-grade intercepts with the parent that holds them; equal intervals are no parents."""
-    p, c = parents.alias("p"), inner.alias("c")
-    inside = (F.col("p.hole") == F.col("c.hole")) & (F.col("p.from_") <= F.col("c.from_") + EPS) & (F.col("p.to_") >= F.col("c.to_") - EPS) & (F.col("p.length") > F.col("c.length") + EPS)
-    return p.join(c, inside).select("c.hole", F.col("p.from_").alias("parent_from"), F.col("p.to_").alias("parent_to"), F.col("c.from_").alias("from_"), F.col("c.to_").alias("to_"), F.col("c.grade").alias("grade"))
+    held = (F.col("a.from_") <= F.col("b.from_") + EPS) & (F.col("a.to_") >= F.col("b.to_") - EPS) & (F.col("a.length") > F.col("b.length") + EPS)
+    return overlap_pairs(parents, inner).where(held).select("b.hole", F.col("a.from_").alias("parent_from"), F.col("a.to_").alias("parent_to"), F.col("b.from_").alias("from_"), F.col("b.to_").alias("to_"), F.col("b.grade").alias("grade"))
+
+
+def open_ends(found: DataFrame, rows: DataFrame, ends: DataFrame, value: str = "value") -> DataFrame:
+    """Intercepts with ``open_top`` and ``open_bottom``: they reach the hole's first or last sample, or its end.
+
+    ``ends`` has ``hole, length``; a hole without an entry is open by its samples only.
+    """
+    reach = rows.where(F.col(value).isNotNull()).groupBy("hole").agg(F.min("from_").alias("__f"), F.max("to_").alias("__t"))
+    held = found.join(reach, "hole", "left").join(ends.select("hole", F.col("length").alias("__l")), "hole", "left")
+    top = F.coalesce(F.col("from_") <= F.col("__f") + 0.01, F.lit(False))
+    bottom = F.coalesce(F.col("to_") >= F.col("__t") - 0.01, F.lit(False)) | F.coalesce((F.col("__l") > 0) & (F.col("to_") >= F.col("__l") - 0.01), F.lit(False))
+    return held.select(*found.columns, top.alias("open_top"), bottom.alias("open_bottom"))
+
+
+def diluted(found: DataFrame, min_width: float, factor: Column | None = None) -> DataFrame:
+    """Intercepts diluted to a mining width: ``true_width, width, diluted_grade, gram_metres, is_diluted``.
+
+    ``factor`` turns a length along the hole into a true width; without one the length counts.
+    """
+    own = F.col("length") * factor if factor is not None else F.col("length")
+    wide = F.greatest(own, F.lit(float(min_width)))
+    kept = found.where((F.col("grade") >= 0) & (F.col("length") > 0))
+    return kept.select(*found.columns, own.alias("true_width"), wide.alias("width"), (F.col("grade") * own / wide).alias("diluted_grade"), (F.col("grade") * own).alias("gram_metres"), (wide > own).alias("is_diluted"))
+
+
+def contacts(rows: DataFrame, code: str = "code") -> DataFrame:
+    """Top and base of every unit of a log, row splits inside a unit left out: ``hole, code, side, depth``."""
+    units = merge_touching(rows, code)
+    sides = F.array(F.struct(F.lit("top").alias("side"), F.col("from_").alias("depth")), F.struct(F.lit("base").alias("side"), F.col("to_").alias("depth")))
+    return units.select("hole", code, F.explode(sides).alias("s")).select("hole", code, "s.side", "s.depth")
+
+
+def changed_intervals(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("hole", "source")) -> DataFrame:
+    """Holes (by source) that come re-split: an interval new in the file overlaps one that it no longer has.
+
+    ``hole, source, stale``: how many old intervals are gone. The same boundaries with other
+    results are a top-up, not this.
+    """
+    bounds = [*keys, "from_", "to_"]
+    o, n = (valid(t).select(*bounds).distinct() for t in (old, new))
+    o = o.join(n.select(*keys).distinct(), list(keys), "left_semi")
+    gone, fresh = o.join(n, bounds, "left_anti"), n.join(o, bounds, "left_anti")
+    met = overlap_pairs(gone, fresh).where((F.col("metres") > 1e-9) & (F.col(f"a.{keys[1]}") == F.col(f"b.{keys[1]}"))).select(*(F.col(f"a.{k}").alias(k) for k in keys)).distinct()
+    return gone.join(met, list(keys), "left_semi").groupBy(*keys).agg(F.count("*").alias("stale"))

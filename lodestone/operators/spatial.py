@@ -6,7 +6,9 @@ the cost follows the points that are near, not all pairs.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +60,8 @@ def k_nearest(queries: DataFrame, points: DataFrame, key: str, k: int, start: fl
         done = got if done is None else done.unionByName(got)
         if last or total == 0:
             break
-        todo = todo.join(full.select("a.*"), queries.columns, "left_anti")
+        seen = full.select(F.col("a").alias("__a"))
+        todo = todo.join(seen, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__a.{c}")) for c in queries.columns)), "left_anti")
         if todo.isEmpty():
             break
         radius *= 2

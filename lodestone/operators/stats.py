@@ -37,6 +37,19 @@ def nearest_rank(rows: DataFrame, by: list[str], value: str, p: float) -> DataFr
     return held.select(*by, F.col(value).alias("quantile"))
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Type-7 quantiles, exact and without a group in one task: a column for each named share, and ``n``."""
+    cum = cumulative(rows, by, value)
+
+    def one(p: float) -> Column:
+        place = (F.col("total") - 1) * p
+        low = F.floor(place)
+        at = lambda k: F.max(F.when((F.col("cum") > k) & (F.col("cum") - F.col("w") <= k), F.col(value)))
+        return at(low) + (F.coalesce(at(low + 1), at(low)) - at(low)) * F.max(place - low)
+
+    return cum.groupBy(*by).agg(F.max("total").cast("long").alias("n"), *(one(p).alias(name) for name, p in shares.items()))
+
+
 def length_percentile(rows: DataFrame, by: list[str], value: str, weight: str, p: float) -> DataFrame:
     """The smallest value whose cumulative weight reaches the share ``p`` of the whole."""
     cum = cumulative(rows.where(F.col(weight) > 0), by, value, F.col(weight))
@@ -103,8 +116,9 @@ def control_limits(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def box_by_code(rows: DataFrame, code: str, value: str, least_n: int = 3) -> DataFrame:
     """Type-7 quartiles, mean and count of a value by code; codes with few readings are left out."""
-    s = rows.where(F.col(value).isNotNull()).groupBy(code).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.75)).alias("p75"), F.percentile(value, F.lit(0.9)).alias("p90"))
-    return s.where(F.col("n") >= least_n)
+    means = rows.where(F.col(value).isNotNull()).groupBy(code).agg(F.avg(value).alias("mean"))
+    quarts = quantiles(rows, [code], value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
+    return quarts.where(F.col("n") >= least_n).join(means, code).select(code, "n", "mean", "p25", "p50", "p75", "p90")
 
 
 def population_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -113,9 +127,14 @@ def population_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     pos = rows.where(v > 0)
     lg = F.log10(v)
     zeros = rows.groupBy(*by).agg(F.count(F.when(v <= 0, 1)).alias("n_zero"))
-    mid = pos.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(lg, F.lit(0.25)).alias("__q1"), F.percentile(lg, F.lit(0.75)).alias("__q3"), F.avg(lg).alias("log_mean"), F.stddev_samp(lg).alias("log_sd"))
-    spread = pos.join(mid.select(*by, "median"), by).groupBy(*by).agg((1.4826 * F.percentile(F.abs(v - F.col("median")), F.lit(0.5))).alias("mad"))
-    return zeros.join(mid, by).join(spread, by).select(*by, "n", "n_zero", "median", "mad", "log_mean", "log_sd", F.pow(F.lit(10.0), F.col("__q3") + 1.5 * (F.col("__q3") - F.col("__q1"))).alias("tukey_fence"))
+    mid = quantiles(pos, by, value, {"median": 0.5})
+    logs = pos.select(*by, lg.alias("__lg"))
+    fence = quantiles(logs, by, "__lg", {"__q1": 0.25, "__q3": 0.75}).drop("n")
+    mean = logs.groupBy(*by).agg(F.avg("__lg").alias("log_mean"), F.stddev_samp("__lg").alias("log_sd"))
+    away = pos.join(mid.select(*by, "median"), by).select(*by, F.abs(v - F.col("median")).alias("__away"))
+    spread = quantiles(away, by, "__away", {"__mad": 0.5}).drop("n")
+    out = zeros.join(mid, by).join(mean, by).join(fence, by).join(spread, by)
+    return out.select(*by, "n", "n_zero", "median", (1.4826 * F.col("__mad")).alias("mad"), "log_mean", "log_sd", F.pow(F.lit(10.0), F.col("__q3") + 1.5 * (F.col("__q3") - F.col("__q1"))).alias("tukey_fence"))
 
 
 def average_ranks(rows: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
@@ -132,9 +151,22 @@ def pearson(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Dat
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    held = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(held, x, "__rx", by), y, "__ry", by)
-    return pearson(ranked, "__rx", "__ry", by)
+    """n and rho over rows that have both values.
+
+    Rows are first counted by their pair of values, so ranks are joined to distinct pairs and
+    not to rows; the mean of ranks is (n + 1) / 2 whatever the ties.
+    """
+    by = by or []
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("__k"))
+
+    def ranks(v: str, out: str) -> DataFrame:
+        rank = F.col("cum") - F.col("w") + (F.col("w") + 1) / 2 - (F.col("total") + 1) / 2
+        return cumulative(pairs, by, v, F.col("__k")).select(*by, v, rank.alias(out))
+
+    met = pairs.join(ranks(x, "__rx"), [*by, x]).join(ranks(y, "__ry"), [*by, y])
+    k, rx, ry = F.col("__k"), F.col("__rx"), F.col("__ry")
+    sums = met.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(k * rx * ry).alias("__xy"), F.sum(k * rx * rx).alias("__xx"), F.sum(k * ry * ry).alias("__yy"))
+    return sums.select(*by, "n", (F.col("__xy") / F.nullif(F.sqrt(F.col("__xx")) * F.sqrt(F.col("__yy")), F.lit(0.0))).alias("r"))
 
 
 def line_fit(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -155,9 +187,9 @@ def class_breaks(rows: DataFrame, value: str, classes: int, rule: str = "quantil
     if rule == "equal":
         one = held.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
         return one.select(F.explode(F.sequence(F.lit(1), F.lit(classes))).alias("class"), "lo", "hi").select("class", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("class") / classes).alias("upper"))
-    marks = [i / classes for i in range(1, classes + 1)]
-    one = held.agg(F.percentile(value, F.array(*(F.lit(m) for m in marks))).alias("u"))
-    return one.select(F.posexplode("u").alias("class", "upper")).select((F.col("class") + 1).alias("class"), "upper")
+    one = quantiles(held, [], value, {f"q{i}": i / classes for i in range(1, classes + 1)})
+    stacked = ", ".join(f"{i}, q{i}" for i in range(1, classes + 1))
+    return one.selectExpr(f"stack({classes}, {stacked}) as (class, upper)")
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:

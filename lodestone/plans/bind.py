@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.staging import fresh_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -99,12 +101,5 @@ def with_(*names: str, recursive: bool = False) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the session's checkpoint folder; where there is none (tests), one of our own."""
-    import tempfile
-    import uuid
-
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not top:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the session's checkpoint folder."""
+    return fresh_dir(spark, name)

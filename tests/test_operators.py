@@ -133,3 +133,50 @@ def test_guess_numeric_leaves_identifiers(spark):
 
     raw = spark.createDataFrame([("0045", "1.5", "7"), ("0046", "na", "x")], "code2 string, au string, note string")
     assert tables.guess_numeric(raw) == ["au"]
+
+
+def test_codes_of_samples_with_nulls_and_repeats(spark):
+    rows = [("DH1", 10.0, 20.0, None), ("DH1", 10.0, 20.0, None), ("DH1", 10.0, 20.0, 5.0), ("DH1", 500.0, 510.0, None), ("DH2", 5.0, 5.0, 1.0), ("DH3", None, 1.0, 1.0)]
+    samples = spark.createDataFrame(rows, "hole string, from_ double, to_ double, value double")
+    log = spark.createDataFrame([("DH1", 0.0, 14.0, "B"), ("DH1", 14.0, 300.0, "A"), ("DH1", 505.0, 506.0, None)], "hole string, from_ double, to_ double, code string")
+    for f in (intervals.code_by_overlap, intervals.code_at_midpoint):
+        got = sorted((tuple(r) for r in f(samples, log, bucket=7.0).collect()), key=repr)
+        want = [(*r, "A" if r[0] == "DH1" and r[1] == 10.0 else None) for r in rows]
+        assert got == sorted(want, key=repr)
+
+
+def test_intercepts_keep_the_holes_type_and_count_no_metre_twice(spark):
+    rows = [("DH001", 0.0, 4.0, 2.0), ("DH001", 1.0, 2.0, 5.0), ("DH002", 0.0, 2.0, None)]
+    iv = spark.createDataFrame(rows, "hole string, from_ double, to_ double, value double")
+    got = [tuple(r) for r in intervals.intercepts(iv, 2.0, 0.0, 1.0).collect()]
+    assert got == [("DH001", 0.0, 4.0, 4.0, 4.0, (2.0 + 3.5 + 4.0) / 4.0, 3)]
+    ends = intervals.open_ends(intervals.intercepts(iv, 3.0, 0.0, 1.0), iv, spark.createDataFrame([("DH001", 2.0)], "hole string, length double"))
+    assert [(r.open_top, r.open_bottom) for r in ends.collect()] == [(False, True)]
+
+
+def test_k_nearest_of_points_with_a_null_column(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0, None), (2, 9.0, 0.0, None), (3, 500.0, 0.0, "n")], "id long, x double, y double, note string")
+    got = sorted((r.a.id, r.b.id) for r in spatial.k_nearest(pts, pts, "id", 1, 10.0, other="id").collect())
+    assert got == [(1, 2), (2, 1), (3, 2)]
+
+
+def test_quantiles_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), float(rng.randint(0, 30))) for _ in range(301)] + [("a", None), ("c", 4.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    import numpy as np
+
+    for r in stats.quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 1.0}).collect():
+        own = [v for g, v in rows if g == r.g and v is not None]
+        assert r.n == len(own) and np.allclose((r.a, r.b, r.c), np.quantile(own, [0.1, 0.5, 1.0]))
+
+
+def test_moving_median_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(h, float(rng.randint(0, 400)), float(rng.randint(0, 9))) for h in (1, 2) for _ in range(150)]
+    got = sorted((r.hole, r.depth, r.value, r.filtered) for r in intervals.moving_median(spark.createDataFrame(rows, "hole long, depth double, value double"), 7.0).collect())
+    want = []
+    for h, d, v in rows:
+        near = sorted(x for g, e, x in rows if g == h and abs(e - d) <= 7.0)
+        want.append((h, d, v, near[(len(near) + 1) // 2 - 1]))
+    assert got == sorted(want)
