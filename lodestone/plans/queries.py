@@ -766,3 +766,6 @@ def collar_issues(spark, d):
     k = F.col("o_orderkey")
     c = bind.table(spark, d, "orders").select(k.alias("hole"), ((k * 37) % 100).cast("double").alias("x"), ((k * 91) % 100).cast("double").alias("y"), F.when(k % 11 != 0, (k % 5).cast("double")).alias("z"), (k % 400).cast("double").alias("azimuth"), F.lit(-60.0).alias("dip"), (F.floor(F.col("o_totalprice") / 1000) - 5).cast("double").alias("length"))
     return quality.collar_issues(c)
+
+
+from lodestone.plans import more  # noqa: E402, F401
