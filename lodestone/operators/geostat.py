@@ -100,26 +100,33 @@ def model_gamma(h, kind: str, nugget: float, sill: float, reach: float):
 def fit_model(bins: list[tuple[float, float, int]], kind: str, steps: int = 200) -> dict:
     """Nugget, sill and range by least squares weighted by pairs; ``bins`` are (h, gamma, pairs) of a few lags.
 
-    For each trial range the two coefficients are linear; the best range is then refined once.
+    For each trial range, up to one and a half times the largest lag, the two coefficients are
+    linear and neither goes below zero; the best range is then refined once.
     """
     import numpy as np
 
-    h, g, w = (np.array([b[i] for b in bins], dtype=float) for i in range(3))
-    best = (np.inf, 0.0, 0.0, 1.0)
-    lo, hi = h.max() / steps, 2 * h.max()
-    for _ in range(2):
-        for reach in np.linspace(lo, hi, steps):
-            s = model_gamma(h, kind, 0.0, 1.0, reach)
-            a = np.stack([1 - s, s], axis=1) * np.sqrt(w)[:, None]  # nugget, sill
-            c = np.linalg.lstsq(a, g * np.sqrt(w), rcond=None)[0]
-            if c[0] < 0:
-                c = np.array([0.0, max(0.0, float((w * s * g).sum() / max((w * s * s).sum(), 1e-300)))])
-            c[1] = max(c[1], c[0])
-            sse = float((w * (g - model_gamma(h, kind, c[0], c[1], reach)) ** 2).sum())
-            if sse < best[0] - 1e-12 * abs(best[0] if np.isfinite(best[0]) else 0):
-                best = (sse, float(c[0]), float(c[1]), float(reach))
-        width = (hi - lo) / steps
-        lo, hi = max(best[3] - 2 * width, 1e-9), best[3] + 2 * width
+    held = [b for b in bins if b[1] is not None and b[2] > 0]
+    if len(held) < 3:
+        raise ValueError("a variogram model needs three lags with pairs")
+    h, g, w = (np.array([b[i] for b in held], dtype=float) for i in range(3))
+
+    def at(reach: float) -> tuple[float, float, float, float]:
+        s = model_gamma(h, kind, 0.0, 1.0, reach)
+        a = np.stack([np.ones_like(s), s], axis=1)
+        normal, right = a.T @ (a * w[:, None]), a.T @ (w * g)
+        if abs(np.linalg.det(normal)) < 1e-12:
+            nugget, part = float((w * g).sum() / w.sum()), 0.0
+        else:
+            nugget, part = np.linalg.solve(normal, right)
+        if nugget < 0:  # one coefficient is left: solve for it anew
+            nugget, part = 0.0, max(0.0, float(right[1] / normal[1, 1])) if normal[1, 1] > 0 else 0.0
+        elif part < 0:
+            nugget, part = float((w * g).sum() / w.sum()), 0.0
+        return float((w * (g - nugget - part * s) ** 2).sum()), float(nugget), float(nugget + part), float(reach)
+
+    step = 1.5 * h.max() / steps
+    best = min((at(step * i) for i in range(1, steps + 1)), key=lambda f: f[0])
+    best = min([best, *(at(best[3] + step * i / 20) for i in range(-20, 21) if best[3] + step * i / 20 > 0)], key=lambda f: f[0])
     return {"kind": kind, "nugget": best[1], "sill": best[2], "range": best[3], "sse": best[0]}
 
 
@@ -165,4 +172,4 @@ def krige(targets: DataFrame, points: DataFrame, target_key: str, point_key: str
                     var.append(None)
             yield pd.DataFrame({target_key: pdf[target_key], "n": n, "estimate": est, "variance": var})
 
-    return packed.mapInPandas(solve, f"{target_key} long, n int, estimate double, variance double")
+    return packed.mapInPandas(solve, f"{target_key} {dict(packed.dtypes)[target_key]}, n int, estimate double, variance double")

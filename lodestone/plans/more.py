@@ -406,3 +406,71 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r("(a - (b + c) / 2) * s
 def pivot_log_ratios(spark, d):
     z = economics.pivot_ilr(["l_quantity", "l_extendedprice", "l_discount"])
     return bind.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded(z[0]).alias("z1"), rounded(z[1]).alias("z2"))
+
+
+# files as people leave them, and the workspace
+
+_FILE = "f AS (SELECT CAST(o_orderkey AS VARCHAR) AS hole_id, CAST((o_orderkey * 37) % 1000 AS DOUBLE) / 4 AS x, CAST((o_orderkey * 91) % 1000 AS DOUBLE) / 8 AS y, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS z, CAST(o_orderkey % 360 AS DOUBLE) AS azimuth, -45.0::DOUBLE - o_orderkey % 40 AS dip, o_orderstatus AS status FROM orders)"
+
+
+def _collar_file(spark, d):
+    """Orders as a file with notes, a decimal comma, no-data codes and letters of Windows-1252."""
+    path = bind.shared_path(spark, "collar-file")
+    k = F.col("o_orderkey")
+    comma = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    cells = [k.cast("string"), comma(F.format_string("%.2f", ((k * 37) % 1000) / 4)), comma(F.format_string("%.4f", ((k * 91) % 1000) / 8)), F.when(k % 7 == 0, "-9999").otherwise((k % 50).cast("string")), (k % 360).cast("string"), (45 + k % 40).cast("string"), "o_orderstatus", F.lit("Zürich; Süd")]
+    quoted = F.concat_ws(";", *cells[:-1], F.concat(F.lit('"'), cells[-1], F.lit('"')))
+    head = ["# exported by a survey tool", "Collar table of the Süd licence", "", "Hole_Type;BHID;Easting (m);Northing (m);RL;Azi;Dip;Status;Place"]
+    rows = bind.table(spark, d, "orders").select(F.encode(F.concat(F.lit("DD;"), quoted), "iso-8859-1").cast("string").alias("value"))
+    top = spark.createDataFrame([(0, "\n".join(head))], "i int, value string").select(F.encode("value", "iso-8859-1").cast("string").alias("value"))
+    top.coalesce(1).write.text(f"{path}/a")
+    rows.write.text(f"{path}/b")
+    return path
+
+
+@query(f"WITH {_FILE} SELECT hole_id, x, y, z, azimuth, dip, CAST(NULL AS DOUBLE) AS length, 'DD' AS \"Hole_Type\", status AS \"Status\", 'Zürich; Süd' AS \"Place\" FROM f")
+def read_collar_file(spark, d):
+    """Layout, encoding, decimal commas, header mapping and dip convention decided from the file."""
+    from lodestone.sources import rawtables
+
+    path = _collar_file(spark, d)
+    layout = rawtables.probe(spark, f"{path}/a", f"{path}/b")
+    raw = rawtables.read_raw(spark, f"{path}/*", layout)
+    mapping = rawtables.guess_mapping("collars", raw.columns)
+    turned = imports.dip_convention(raw.select(rawtables.number_in(F.col(mapping["dip"]), False).alias("d")), "d").first()
+    return rawtables.mapped(raw, "collars", mapping, bool(turned and turned.convention == "pos_down"))
+
+
+def _views(spark, d):
+    from lodestone.plans import workspace
+
+    iv, k = bind.intervals(spark, d), F.col("p_partkey")
+    part = bind.table(spark, d, "part")
+    points = F.sequence(F.lit(1), 3 + F.col("r_regionkey").cast("int"))
+    return workspace.publish({
+        "collars": workspace.collars(bind.collars(spark, d).withColumnsRenamed({"hole": "hole_id"}).withColumn("purpose", F.col("hole_id") % 3)),
+        "survey": workspace.survey(bind.stations(spark, d).withColumnRenamed("hole", "hole_id")),
+        "litho": workspace.layer(iv.select(F.col("hole").alias("hole_id"), F.col("from_").alias("from"), F.col("to_").alias("to"), F.col("code").alias("value"), F.col("status").alias("intensity"))),
+        "boundaries": workspace.boundaries(bind.table(spark, d, "region").select(F.col("r_name").alias("name"), F.lit("licence").alias("kind"), F.array(points, points).alias("parts"))),
+        "surface_samples": workspace.surface_samples(part.select(k.alias("sample_id"), (k % 40).alias("x"), F.floor(k / 40).alias("y"), F.col("p_size").alias("Au"), F.col("p_retailprice").alias("Cu"), F.col("p_brand").alias("grid"), F.when(k % 2 == 0, F.col("p_type")).alias("colour")), ["Au", "Cu"], ["grid", "colour"]),
+    })
+
+
+@query(with_("co", "st", "iv") + """ SELECT CAST(c.hole AS VARCHAR) AS hole_id, c.x, c.y, c.hole % 3 AS purpose, s.n AS stations, s.dip, l.metres FROM co c
+JOIN (SELECT hole, count(*) AS n, min(dip) AS dip FROM st GROUP BY hole) s USING (hole) JOIN (SELECT hole, sum(to_ - from_) AS metres FROM iv WHERE code = 'R' AND status = 'F' GROUP BY hole) l USING (hole)""")
+def workspace_holes(spark, d):
+    _views(spark, d)
+    return spark.sql("""SELECT c.hole_id, c.x, c.y, c.purpose, s.stations, s.dip, l.metres FROM collars c JOIN (SELECT hole_id, count(*) AS stations, min(dip) AS dip FROM survey GROUP BY hole_id) s USING (hole_id)
+JOIN (SELECT hole_id, sum(`to` - `from`) AS metres FROM litho WHERE value = 'R' AND intensity = 'F' GROUP BY hole_id) l USING (hole_id)""")
+
+
+@query("SELECT r_name AS name, 'licence' AS kind, CAST(NULL AS VARCHAR) AS status, CAST(2 AS INTEGER) AS part_count, CAST(2 * (3 + r_regionkey) AS INTEGER) AS vertex_count FROM region")
+def workspace_boundaries(spark, d):
+    _views(spark, d)
+    return spark.sql("SELECT name, kind, status, part_count, vertex_count FROM boundaries")
+
+
+@query("""SELECT p_brand AS grid, count(*) AS n, count(*) FILTER (WHERE p_partkey % 2 = 0) AS coloured, max(CAST(p_size AS DOUBLE)) AS au, floor(sum(p_retailprice) * 100 + 0.5) / 100 AS cu FROM part GROUP BY p_brand""")
+def workspace_surface_samples(spark, d):
+    _views(spark, d)
+    return spark.sql("SELECT get_json_object(attrs, '$.grid') AS grid, count(*) AS n, count(get_json_object(attrs, '$.colour')) AS coloured, max(Au) AS au, floor(sum(Cu) * 100 + 0.5) / 100 AS cu FROM surface_samples GROUP BY 1")

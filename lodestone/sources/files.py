@@ -17,30 +17,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+COMMON_NULLS = (-999.25, -9999.0, -999.0)  # fixed values: what stands for no reading where a log names nothing
+FOOT = 0.3048
+
+
 def parse_las(text: str) -> tuple[dict[str, str], list[str], list[list[float | None]]]:
-    """Header values, curve names and rows of a LAS 2.0 log; the NULL code becomes None."""
-    header, curves, rows, section, null = {}, [], [], "", None
-    for raw in text.splitlines():
+    """Header values, curve names and records of a LAS 1.2 or 2.0 log.
+
+    The data is one stream of numbers cut by the number of curves, so wrapped logs read as
+    others. The NULL code, or the usual ones without it, becomes None; depths in feet become
+    metres. A last record that isn't whole is left out.
+    """
+    header, curves, tokens, section = {}, [], [], ""
+    units: dict[str, str] = {}
+    for raw in text.removeprefix("\ufeff").splitlines():
         line = raw.strip()
         if not line or line.startswith("#"):
             continue
         if line.startswith("~"):
+            if section == "A":
+                break
             section = line[1:2].upper()
             continue
         if section == "A":
-            cells = [float(x) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", x) else None for x in line.split()]
-            rows.append([None if null is not None and c == null else c for c in cells])
+            tokens += re.split(r"[\s,]+", line)
             continue
         m = re.match(r"([^.\s]+)\s*\.(\S*)\s*([^:]*)(?::.*)?$", line)
         if not m:
             continue
-        name, value = m[1].upper(), m[3].strip()
+        name = m[1].upper()
+        units.setdefault(name, m[2].upper())
         if section == "C":
             curves.append(name)
         else:
-            header[name] = value
-            if name == "NULL":
-                null = float(value)
+            header[name] = m[3].strip()
+    if not curves:
+        return header, curves, []
+    values = [float(x) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", x) else None for x in tokens if x]
+    try:
+        nulls = (float(header["NULL"]),)
+    except (KeyError, ValueError):
+        nulls = COMMON_NULLS
+    values = [None if v in nulls else v for v in values]
+    n = len(curves)
+    rows = [values[at : at + n] for at in range(0, len(values) - n + 1, n)]
+    if (units.get(curves[0]) or units.get("STRT", "")) in ("F", "FT", "FEET"):
+        rows = [[None if r[0] is None else round(r[0] * FOOT, 4), *r[1:]] for r in rows]
     return header, curves, rows
 
 
