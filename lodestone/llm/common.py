@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.staging import fresh_dir, shared_dir, staged  # noqa: F401
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, drop: Callable[[], None]) -> None:
+    """Say that this worker process now keeps the caches of ``name``; those of others are dropped.
+
+    Workers outlive stages, so the caches of operators that are done would add up.
+    """
+    for other in [n for n in _HELD if n != name]:
+        _HELD.pop(other)()
+    _HELD[name] = drop
+
+
 #: Stands for a null document id inside an operator: it sorts before every real id.
 NULL_ID = -(2**63)
 

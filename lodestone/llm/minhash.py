@@ -61,6 +61,10 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(rolling(h, k))
 
 
+def begin() -> None:
+    _HASHES.begin()
+
+
 def sketch(items: np.ndarray) -> np.ndarray:
     """The ``T`` coordinates of a non-empty set.
 
@@ -94,6 +98,7 @@ def bands(coords: np.ndarray) -> np.ndarray:
 
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             n, prints, rows, low = [], [], [], []
             for text in binary_values(batch, "text"):
@@ -191,6 +196,7 @@ def _blocks_meet(members: DataFrame) -> DataFrame:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "items": pa.array([shingles(t, k).tobytes() for t in binary_values(batch, "text")], pa.binary())})
 

@@ -75,9 +75,17 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def begin() -> None:
+    _HASHES.begin()
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return _HASHES.of(words)
+
+
 def _anchored(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and, for each window start, its anchor's position."""
-    h = _HASHES.of(words)
+    h = hashed(words)
     return h, anchors(rolling(h, PHRASE), window - PHRASE + 1)
 
 
@@ -144,6 +152,7 @@ def _counted(columns: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.nd
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         held: dict[int, list[tuple]] = {}
         size = 0
 
@@ -227,7 +236,7 @@ def _marked(window: int, digest: bool):
             n, runs = len(words), at_of.get(blob)
             if runs is not None and len(known):
                 starts = np.concatenate([np.arange(a, b) for a, b in runs])
-                starts = starts[_among(rolling(_HASHES.of(words), window)[starts], known)]
+                starts = starts[_among(rolling(hashed(words), window)[starts], known)]
                 edge = np.zeros(n + 1, dtype=np.int64)
                 edge[starts] += 1
                 edge[starts + window] -= 1

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import holds
+
 REPORTING = frozenset("said says wrote writes called quote quoted quotes cited word term slur reported".split())
 ADDRESS = frozenset("you your yours ur youre tu te vous toi du dich dir dein ihr eres".split())
 WORDS = re.compile(r"[^\W\d_]+")
@@ -44,9 +46,9 @@ class FuzzyTrie(dict):
     letters are matched as they are.
     """
 
-    def __init__(self, entries, min_fuzzy: int = 5, keep: int = 400_000):
+    def __init__(self, entries, min_fuzzy: int = 5, keep: int = 200_000, most_states: int = 20_000):
         super().__init__()
-        self.keep = keep
+        self.keep, self.most_states = keep, most_states
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -66,6 +68,10 @@ class FuzzyTrie(dict):
                 self.fuzzy[node] |= takes
             (self.stem if entry.endswith("*") else self.whole)[node] = entry
         self.min_fuzzy = min_fuzzy
+        self._restart()
+
+    def _restart(self) -> None:
+        """Forget the states built so far: they are built again as words ask for them."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -111,6 +117,8 @@ class FuzzyTrie(dict):
         return to
 
     def __missing__(self, word: str):
+        if len(self.sets) > self.most_states:
+            self._restart()
         state, moves, found = self.start, self.moves, None
         for c in word:
             nxt = moves[state].get(c)
@@ -286,6 +294,7 @@ _TRIES: dict[tuple, FuzzyTrie] = {}
 
 def _trie(entries: tuple) -> FuzzyTrie:
     """One trie per worker process, so that what it has learned of words outlives a batch."""
+    holds("toxicity", _TRIES.clear)
     if entries not in _TRIES:
         _TRIES.clear()
         _TRIES[entries] = FuzzyTrie(entries)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from lodestone.llm.common import holds
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -21,7 +23,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; a bounded cache."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 200_000):
         super().__init__()
         self.keep = keep
 
@@ -33,6 +35,10 @@ class WordHashes(dict):
             self[word] = h
         return h
 
+    def begin(self) -> None:
+        """A stage that uses the cache begins in this worker."""
+        holds(f"words-{id(self)}", self.clear)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
