@@ -40,7 +40,90 @@ def test_pipeline_stages_keep_the_documents_columns(spark):
             break
         assert docs.columns == columns
         now = docs.count()
-        assert now == before if name in ("line_dedup", "secret_scans") else 0.5 * before < now < before
+        # these tables label too few toxic documents to learn from, so none may go as toxic
+        assert now == before if name in ("line_dedup", "secret_scans") else 0.5 * before < now <= before
         before = now
     got = docs.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert len(got) == before and all(r["sum(length)"] == r["max(doc_tokens)"] for r in got)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows on a small table with nulls, ties, repeats, long texts and clashing columns."""
+    import random
+    import re
+
+    import corpus_pipeline
+    from test_llm_operators import BASE, brute_components, brute_lines
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.queries import WORD_VOCAB
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abdefgiklmnoprstu") for _ in range(rng.randint(3, 8)))
+    vocabulary = [word() for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared, base = [text(9) for _ in range(3)], text(120)
+    rows, labels = [], []
+    for i in range(300):
+        lines = [text(rng.randint(3, 30)) for _ in range(rng.randint(1, 5))]
+        if i % 4 == 0:
+            lines.insert(1, "  " + rng.choice(shared).upper() + " ")
+        if i % 6 == 1:
+            lines.append(f"api_key = k{i}secretvalue and " + "0123456789abcdef" * 2)
+        if i % 5 == 2:
+            lines.append(" ".join(["you", "zorgue", text(1), "vukelim"]))
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(i % 5 == 2)))
+    rows += [(1000, base), (1001, base), (1002, base + " more"), (900, base.replace(" ", "  ", 3)), (1003, text(9000)), (1004, None), (1005, ""), (1006, "x"), (1007, "x"), (1008, None), (None, "text without an id " + text(30)), (1006, "x")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, spans string, blob string"
+    docs = spark.createDataFrame([(*r, "en", None if r[0] is None else "s", 0, "own", "own") for r in rows], columns)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").selectExpr("doc_id", "1 AS quality", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+
+    stages = dict(corpus_pipeline.STAGES)
+    held = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = [r for r in rows if not (r[1] and "zorgue" in r[1])]
+    now = stages["toxicity"](spark, now, str(tmp_path))
+    assert held(now) == sorted(want, key=repr) and now.columns == docs.columns
+
+    want = [(d, t) for d, _, _, t in brute_lines(want)]
+    now = stages["line_dedup"](spark, now, str(tmp_path))
+    assert held(now) == sorted(want, key=repr)
+    assert all(r.n_chars == len(r.text or "") and r.spans == "own" for r in now.collect())
+
+    groups = {}  # rows that share id and text are one document
+    for (d, t), (_, _, c) in zip(sorted(want, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] or "")), sorted(brute_components(want, 5))):
+        groups.setdefault(c, set()).add(-(2**63) if d is None else d)
+    kept = {min(ids) for ids in groups.values()}
+    want = [r for r in want if (-(2**63) if r[0] is None else r[0]) in kept]
+    now = stages["near_dedup"](spark, now, str(tmp_path))
+    assert held(now) == sorted(want, key=repr) and len(want) < len(rows) - 62
+
+    def redacted(t):
+        spans = sorted((m.start(), rank, m.end(), kind) for rank, (kind, (p, g, least)) in enumerate(BASE.items()) for m in p.finditer(t) if len(m[g]) >= least)
+        out, at = "", 0
+        for start, _, end, kind in spans:
+            if start >= at:
+                out += t[at:start] + f"[{kind}]"
+            at = max(at, end)
+        return out + t[at:]
+
+    want = [(d, redacted(t)) for d, t in want]
+    now = stages["secret_scans"](spark, now, str(tmp_path))
+    assert held(now) == sorted(want, key=repr) and sum("[assign]" in t for _, t in want) > 20
+    assert not any(re.search(r"[0-9a-f]{24}", t) for _, t in want)
+
+    library = Tokenizer.from_file(WORD_VOCAB)
+    library.no_truncation()
+    sizes, pieces, fill = {}, {}, {}
+    for d, t in want:
+        sizes.setdefault(d, []).append(len(library.encode(t, add_special_tokens=False).ids) + 1)
+    for r in stages["packing"](spark, now, str(tmp_path)).collect():
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert pieces == {d: sum(n) for d, n in sizes.items()} and max(fill.values()) <= 2048
+    none = corpus_pipeline.STAGES[0][1](spark, docs.limit(0), str(tmp_path))
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0
