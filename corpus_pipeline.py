@@ -2,6 +2,11 @@
 
 Every stage but the last returns the columns of ``documents``. A stage's output is written as
 Parquet and read again as the next stage's input.
+
+Defined cases, the same in every stage: a null text counts as empty (line dedup returns it as
+an empty text), a null doc_id as the smallest id, rows that share id and text are one document
+and stay or go together, extra columns of any name pass through, texts are taken whole, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
