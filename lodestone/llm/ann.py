@@ -169,7 +169,8 @@ def top_pairs(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return at[keep], j[keep], scores[keep]
 
 
-_PAIRS_SQL = "query_id long, asked long, vec_id long, row long, score double"
+_PAIR = np.dtype([("query_id", "<i8"), ("asked", "<i8"), ("vec_id", "<i8"), ("row", "<i8"), ("score", "<f8")])
+_LISTS_SQL = "asked long, pairs binary"
 
 
 def thinned(pairs: np.ndarray, k: int) -> np.ndarray:
@@ -183,12 +184,13 @@ def thinned(pairs: np.ndarray, k: int) -> np.ndarray:
 
 
 def _ranked(k: int, dims: int, hold: int = 400_000):
-    """The ``k`` best of each query over all blocks that a task meets, thinned as they grow."""
-    kind = np.dtype([("query_id", "<i8"), ("asked", "<i8"), ("vec_id", "<i8"), ("row", "<i8"), ("score", "<f8")])
+    """A list of the ``k`` best of each query over all blocks that a task meets, thinned as they grow."""
+    kind = _PAIR
 
     def out(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(pairs[n][at : at + 50_000])) for n in kind.names})
+        first = np.flatnonzero(np.concatenate([[True], pairs["asked"][1:] != pairs["asked"][:-1]])[: len(pairs)])
+        lists = [part.tobytes() for part in np.split(pairs, first[1:])] if len(first) else []
+        yield pa.RecordBatch.from_pydict({"asked": pa.array(pairs["asked"][first]), "pairs": pa.array(lists, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -212,11 +214,36 @@ def _ranked(k: int, dims: int, hold: int = 400_000):
     return run
 
 
-def _best_pairs(found: DataFrame, k: int) -> DataFrame:
+def _merged(k: int):
+    """The tasks' lists of each query as its ``k`` best; a query's lists follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def emit() -> pa.RecordBatch:
+            pairs = thinned(np.frombuffer(b"".join(held), dtype=_PAIR), k)
+            columns = {n: pa.array(np.ascontiguousarray(pairs[n])) for n in _PAIR.names}
+            return pa.RecordBatch.from_pydict({"query_id": columns["query_id"], "asked": columns["asked"], "rank": pa.array(np.arange(1, len(pairs) + 1, dtype=np.int32)), "vec_id": columns["vec_id"], "row": columns["row"], "score": columns["score"]})
+
+        for batch in batches:
+            for asked, pairs in zip(batch.column("asked").to_pylist(), batch.column("pairs").to_pylist()):
+                if held and asked != now:
+                    yield emit()
+                    held.clear()
+                now = asked
+                held.append(pairs)
+                if len(held) >= 4096:  # a query met by very many tasks
+                    held[:] = [thinned(np.frombuffer(b"".join(held), dtype=_PAIR), k).tobytes()]
+        if held:
+            yield emit()
+
+    return run
+
+
+def _best_pairs(lists: DataFrame, k: int) -> DataFrame:
     """``query_id, asked, rank, vec_id, row, score``: a row met several times counts once, then the ``k`` best."""
-    pairs = found.repartition("asked").groupBy("query_id", "asked", "vec_id", "row").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    dealt = lists.repartition("asked").sortWithinPartitions("asked")
+    return dealt.mapInArrow(_merged(k), "query_id long, asked long, rank int, vec_id long, row long, score double")
 
 
 def exact_sample(rows: DataFrame, sample: list, k: int, dims: int) -> DataFrame:
@@ -232,7 +259,7 @@ def exact_sample(rows: DataFrame, sample: list, k: int, dims: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*packed, *mine, pa.array([x.tobytes()], pa.binary())], names=["q_rows", "q_ids", "q_x", "rows", "ids", "x"])
 
     rank = _ranked(k, dims)
-    return _best_pairs(rows.mapInArrow(lambda batches: rank(blocks(batches)), _PAIRS_SQL), k)
+    return _best_pairs(rows.mapInArrow(lambda batches: rank(blocks(batches)), _LISTS_SQL), k)
 
 
 def _places(segments: DataFrame, of_rows: set[int], of_queries: set[int]) -> dict[tuple[bool, int], list[tuple[int, int]]]:
@@ -300,5 +327,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = 8, segment_
     data = segments.where(~F.col("asks")).select("at", "rows", "ids", "x")
     near = F.sequence(F.greatest(F.col("at") - reach, F.col("lo")), F.least(F.col("at") + reach, F.col("hi")))
     asks = segments.where("asks").select(F.explode(near).alias("at"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    found = asks.join(data.hint("shuffle_hash"), "at").select("q_rows", "q_ids", "q_x", "rows", "ids", "x").mapInArrow(_ranked(k, dims), _PAIRS_SQL)
+    found = asks.join(data.hint("shuffle_hash"), "at").select("q_rows", "q_ids", "q_x", "rows", "ids", "x").mapInArrow(_ranked(k, dims), _LISTS_SQL)
     return _best_pairs(found, k).select("query_id", "rank", "vec_id", "score")
