@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, lines, maxscore, minhash, packing, secrets, substrings, toxicity, warc
+from lodestone.llm import ann, bpe, lines, maxscore, minhash, packing, secrets, substrings, toxicity, turns, warc
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -71,7 +71,19 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_VOCAB, bpe.build_lexicon(docs, BYTE_VOCAB))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_warc, op4_hilbert_ann, op5_maxscore, op6_substring_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = turns.repair(turns.damaged(given))
+    every = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    done = turns.digests(repaired)
+    # null ids meet as a key of their own
+    key = lambda df: df.withColumn("k", F.coalesce("conv_id", F.lit(turns.NULL_ID)))
+    found = key(every).join(key(report).drop("conv_id"), "k", "left").join(key(done).drop("conv_id"), "k", "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_warc, op4_hilbert_ann, op5_maxscore, op6_substring_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -208,3 +220,71 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+
+#: The same repair as a recursion over the turns from the last one back. A value is a cost of nine digits with
+#: its audit behind, so the least string is the cheapest and of those the least audit. ``e``: an even
+#: number of letters of the target is left, ``o``: an odd number, ``f``: an even number of two or more.
+#: DuckDB has no CRC-32: its table of 256 values is built by the rule.
+ORACLE_SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END)) AS t
+), g AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS k
+  FROM conversations, tab
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM g WHERE k <> 0
+), o AS (
+  SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS r,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before
+  FROM d
+), f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o
+), seen AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+         count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(p) AS n
+  FROM f GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, n AS i, n, '000000000' AS e, '000000003I' AS o, '000000006II' AS f, '999999999' AS s FROM seen
+  UNION ALL
+  SELECT conv_id, i, n, least(e0, '' || lpad(CAST(CAST(left(o0, 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(o0, 10)) AS e,
+         least(o0, lpad(CAST(CAST(left(e0, 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(e0, 10)) AS o,
+         least(f0, lpad(CAST(CAST(left(least(o0, lpad(CAST(CAST(left(e0, 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(e0, 10)), 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I'
+               || substr(least(o0, lpad(CAST(CAST(left(e0, 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(e0, 10)), 10)) AS f, s0 AS s
+  FROM (
+    SELECT steps.conv_id, i - 1 AS i, n,
+           least(lpad(CAST(CAST(left(e, 9) AS INT) + 4 AS VARCHAR), 9, '0') || 'D' || substr(e, 10), CASE WHEN fault IN ('b', 'd') THEN '999999999' ELSE
+             lpad(CAST(CAST(left(steps.o, 9) AS INT) + CASE WHEN r = 'u' THEN 0 ELSE 3 END + CASE WHEN fault = 't' THEN 3 ELSE 0 END AS VARCHAR), 9, '0') || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END || substr(steps.o, 10) END) AS e0,
+           least(lpad(CAST(CAST(left(steps.o, 9) AS INT) + 4 AS VARCHAR), 9, '0') || 'D' || substr(steps.o, 10), CASE WHEN fault IN ('b', 'd') THEN '999999999' ELSE
+             lpad(CAST(CAST(left(e, 9) AS INT) + CASE WHEN r = 'a' THEN 0 ELSE 3 END + CASE WHEN fault = 't' THEN 3 ELSE 0 END AS VARCHAR), 9, '0') || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END || substr(e, 10) END) AS o0,
+           least(lpad(CAST(CAST(left(steps.f, 9) AS INT) + 4 AS VARCHAR), 9, '0') || 'D' || substr(steps.f, 10), CASE WHEN fault IN ('b', 'd') THEN '999999999' ELSE
+             lpad(CAST(CAST(left(steps.o, 9) AS INT) + CASE WHEN r = 'u' THEN 0 ELSE 3 END + CASE WHEN fault = 't' THEN 3 ELSE 0 END AS VARCHAR), 9, '0') || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END || substr(steps.o, 10) END) AS f0,
+           least(lpad(CAST(CAST(left(s, 9) AS INT) + CASE WHEN left(s, 9) = '999999999' THEN 0 ELSE 4 END AS VARCHAR), 9, '0') || 'D' || substr(s, 10), CASE WHEN fault IN ('b', 'd') OR r <> 's' THEN '999999999' ELSE
+             lpad(CAST(CAST(left(steps.f, 9) AS INT) + CASE WHEN fault = 't' THEN 3 ELSE 0 END AS VARCHAR), 9, '0') || 'K' || substr(steps.f, 10) END) AS s0
+    FROM steps JOIN f ON f.conv_id IS NOT DISTINCT FROM steps.conv_id AND f.p = steps.i
+  )
+), won AS (
+  SELECT conv_id, least(e, s) AS v FROM steps WHERE i = 0
+), edits AS (
+  SELECT conv_id, substr(v, 10) AS audit, CAST(left(v, 9) AS BIGINT) AS cost, unnest(string_split(substr(v, 10), '')) AS x, unnest(range(1, length(v) - 8)) AS nth,
+         (length(replace(substr(v, 10), 'D', '')) % 2) AS lead
+  FROM won
+), laid AS (
+  SELECT *, count(*) FILTER (WHERE x <> 'I') OVER w AS row_at, count(*) FILTER (WHERE x <> 'D') OVER w AS pos FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY nth)
+), fixed AS (
+  SELECT laid.conv_id, string_agg(CASE WHEN x = 'K' THEN f.role WHEN (pos - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY nth) AS body
+  FROM laid LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM laid.conv_id AND f.p = laid.row_at AND x <> 'I' WHERE x <> 'D' GROUP BY laid.conv_id
+)
+SELECT c.conv_id, coalesce(seen.gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(left(v, 9) AS BIGINT), 0) AS cost, coalesce(substr(v, 10), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN seen ON seen.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
