@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import Encoder, vocabulary
+from lodestone.llm.bpe import BYTE_WORDS, vocabulary
 from lodestone.llm.common import holds, staged
 
 SPACE = "▁"
@@ -50,8 +51,25 @@ WIDE = 1 << 12
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Symbols:
+    """The bytes of each id, so that those of many ids are laid out at once."""
+
+    def __init__(self, bytes_of: list[bytes]):
+        self.lengths = np.array([len(x) for x in bytes_of], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
+
+    def spelled(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All bytes, and where each id's end."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        if not len(ends):
+            return b"", ends
+        return self.letters[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes(), ends
+
+
 class Pieces(dict):
-    """Packed ids (little-endian uint32) of units of text by a sentencepiece model; None if they don't give the bytes back.
+    """Packed ids (little-endian uint32) of units of text by a sentencepiece model; those of units seen are kept.
 
     A unit is a run of spaces with what follows up to the next space. Merges don't cross units, since no
     piece holds the space sign behind another character; a model that has such a piece gets whole texts.
@@ -66,28 +84,26 @@ class Pieces(dict):
         whole = any(SPACE in x.lstrip(SPACE) for x in names)
         self.units = (lambda text: [text]) if whole else re.compile(" *[^ ]+| +").findall
         self.bytes_of = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
-        self.lengths = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
-        self.blank = self.model.piece_to_id(SPACE)
         self.keep, self.older = keep, {}
-
-    def __missing__(self, unit: str) -> bytes | None:
-        if unit in self.older:
-            packed = self.older[unit]
-        else:
-            ids = self.model.encode(unit[1:]) if len(unit) > 1 else [self.blank]
-            same = b"".join([self.bytes_of[i] for i in ids]) == unit.encode()
-            packed = np.array(ids, dtype="<u4").tobytes() if same else None
-        if len(unit) <= 64:
-            if len(self) >= self.keep:
-                self.older = dict(self)
-                self.clear()
-            self[unit] = packed
-        return packed
-
-    def packed(self, text: str) -> bytes | None:
-        """Ids of a text that begins with a space."""
-        parts = list(map(self.__getitem__, self.units(text)))
-        return None if None in parts else b"".join(parts)
+        self.blank = array("I", [self.model.piece_to_id(SPACE)]).tobytes()
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that begin with a space each; the model gets all units that it hasn't seen at once."""
+        cut = [self.units(t) for t in texts]
+        if len(self) > self.keep:
+            self.older = dict(self)
+            self.clear()
+        new = {u for units in cut for u in units if u not in self}
+        known = {u: self.older[u] for u in new if u in self.older}
+        rest = [u for u in new if u not in known]
+        found = known | {u: array("I", ids).tobytes() for u, ids in zip(rest, self.model.encode([u[1:] for u in rest]))}
+        if " " in found:
+            found[" "] = self.blank
+        self.update(found)
+        out = [b"".join(map(self.__getitem__, units)) for units in cut]
+        for u in [u for u in found if len(u) > 64]:
+            del self[u]
+        return out
 
 
 _SIDES: dict[tuple[str, str], Sides] = {}
@@ -103,26 +119,28 @@ def sides(a_path: str, b_path: str) -> Sides:
 
 
 class Sides:
-    """Both tokenizers with the lengths and decimal names of their ids."""
+    """Both tokenizers, with the bytes and the decimal names of their ids."""
 
     def __init__(self, a_path: str, b_path: str):
+        import tiktoken
+
         vocab = vocabulary(a_path)
-        self.a, self.b = Encoder(vocab), Pieces(b_path)
-        self.a_lengths, self.b_lengths = vocab.lengths, self.b.lengths
-        self.base = len(self.b_lengths)
+        ranks = {raw: i for i, raw in enumerate(vocab.bytes_of) if i not in vocab.special.values()}
+        self.code = tiktoken.Encoding("a", pat_str=BYTE_WORDS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
+        self.b = Pieces(b_path)
+        self.a_bytes, self.b_bytes = Symbols(vocab.bytes_of), Symbols(self.b.bytes_of)
+        self.base = len(self.b.bytes_of)
         # each id with what may follow it: A has "," or "|", B has "," or ";"
-        self.names = [b"%d%c" % (i, e) for i in range(len(self.a_lengths)) for e in b",|"] + [b"%d%c" % (i, e) for i in range(self.base) for e in b",;"]
+        self.names = Symbols([b"%d%c" % (i, e) for i in range(len(vocab.bytes_of)) for e in b",|"] + [b"%d%c" % (i, e) for i in range(self.base) for e in b",;"])
 
-    def tokens(self, text: str) -> tuple[bytes, bytes] | None:
-        """Packed ids of both sides for a text that begins with a space."""
-        b = self.b.packed(text)
-        if b is None:
-            return None
-        a = self.a.plain(text)
-        size = len(text.encode())
-        if self.a_lengths[np.frombuffer(a, "<u4")].sum() != size:
-            return None
-        return a, b
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides for texts that begin with a space; None where they don't give the bytes back."""
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, b in zip(texts, self.b.packed(texts)):
+            ids = np.frombuffer(self.code(text, set()), "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)
+            raw = text.encode()
+            out.append(ids if self.a_bytes.spelled(ids[0])[0] == raw and self.b_bytes.spelled(ids[1])[0] == raw else None)
+        return out
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -137,13 +155,13 @@ def stretches(text: str) -> Iterator[str]:
 class Alignment:
     """Groups and links of several stretches: flat arrays, in order."""
 
-    def __init__(self, both: Sides, parts: list[tuple[bytes, bytes]]):
+    def __init__(self, both: Sides, parts: list[tuple[np.ndarray, np.ndarray]]):
         n = len(parts)
-        count = np.array([(len(a) // 4, len(b) // 4) for a, b in parts], dtype=np.int64).reshape(n, 2)
-        self.a = np.frombuffer(b"".join(a for a, _ in parts), "<u4").astype(np.int64)
-        self.b = np.frombuffer(b"".join(b for _, b in parts), "<u4").astype(np.int64)
+        count = np.array([(len(a), len(b)) for a, b in parts], dtype=np.int64).reshape(n, 2)
+        none = np.empty(0, np.int64)
+        self.a, self.b = (np.concatenate([none, *(p[k] for p in parts)]) for k in (0, 1))
         self.both, self.count, self.n = both, count, n
-        la, lb = both.a_lengths[self.a], both.b_lengths[self.b]
+        la, lb = both.a_bytes.lengths[self.a], both.b_bytes.lengths[self.b]
         self.sa, self.sb = np.cumsum(la) - la, np.cumsum(lb) - lb
         a_at, b_at = pd.DataFrame({"start": self.sa}), pd.DataFrame({"start": self.sb})
         self.over_b = pd.merge_asof(a_at, b_at.assign(j=np.arange(len(self.sb))), on="start")["j"].to_numpy() if len(self.sa) else np.empty(0, np.int64)
@@ -163,13 +181,14 @@ class Alignment:
         codes = np.empty(len(self.a) + len(self.b), dtype=np.int64)
         upto_a, upto_b = np.cumsum(self.na), np.cumsum(self.nb)
         codes[np.arange(len(self.a)) + (upto_b - self.nb)[self.ga]] = 2 * self.a + last(self.ga)
-        codes[np.arange(len(self.b)) + upto_a[self.gb]] = 2 * (len(self.both.a_lengths) + self.b) + last(self.gb)
-        names, ends = list(map(self.both.names.__getitem__, codes.tolist())), np.cumsum(self.count.sum(axis=1)).tolist()
-        return [b"".join(names[s:e]) for s, e in zip([0, *ends], ends)]
+        codes[np.arange(len(self.b)) + upto_a[self.gb]] = 2 * (len(self.both.a_bytes.lengths) + self.b) + last(self.gb)
+        text, ends = self.both.names.spelled(codes)
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(self.count.sum(axis=1)))].tolist()
+        return [text[s:e] for s, e in zip(cuts, cuts[1:])]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct ``part``, ``a * base + b`` of linked tokens with the number of their links."""
-        base, size = self.both.base, self.both.base * len(self.both.a_lengths)
+        base, size = self.both.base, self.both.base * len(self.both.a_bytes.lengths)
         width = self.na * self.nb
         simple = (self.na == 1) | (self.nb == 1)
         i = np.concatenate([np.arange(len(self.a)), self.over_a[~self.new_b]])
@@ -197,25 +216,27 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
 
 
-def _batched(both: Sides, texts: list[str | None]) -> Iterator[tuple[list[int], Alignment, bool]]:
-    """Alignments of about STRETCH characters, with the row of each part; rows without tokens are left out."""
+def _batched(both: Sides, texts: list[str | None]) -> Iterator[tuple[list[int], Alignment, set[int]]]:
+    """Alignments of about STRETCH characters, with the row of each part, and the rows that have no tokens."""
     rows: list[int] = []
-    parts: list[tuple[bytes, bytes]] = []
+    parts: list[str] = []
     size = 0
+
+    def aligned() -> tuple[list[int], Alignment, set[int]]:
+        found = list(zip(rows, both.tokens(parts)))
+        fit = [(r, f) for r, f in found if f is not None]
+        return [r for r, _ in fit], Alignment(both, [f for _, f in fit]), {r for r, f in found if f is None}
+
     for row, text in enumerate(texts):
         for part in stretches(text) if text else ():
-            found = both.tokens(part)
-            if found is None:
-                yield [row], Alignment(both, []), True
-                break
             rows.append(row)
-            parts.append(found)
+            parts.append(part)
             size += len(part)
             if size >= STRETCH:
-                yield rows, Alignment(both, parts), False
+                yield aligned()
                 rows, parts, size = [], [], 0
     if rows:
-        yield rows, Alignment(both, parts), False
+        yield aligned()
 
 
 def _groups(a_path: str, b_path: str):
@@ -226,13 +247,13 @@ def _groups(a_path: str, b_path: str):
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for row, text in enumerate(texts):
-                parts = [both.tokens(p) for p in stretches(text)] if text else []
+                parts = both.tokens(list(stretches(text))) if text else []
                 at = group = 0
-                for part in [] if None in parts else parts:
+                for part in [] if any(p is None for p in parts) else parts:
                     one = Alignment(both, [part])
                     n = len(one.na)
                     starts = one.sa[np.cumsum(one.na) - one.na] + at
-                    end = at + int(both.a_lengths[one.a].sum())
+                    end = at + int(both.a_bytes.lengths[one.a].sum())
                     lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)), pa.int32()), pa.array(x, pa.int32())) for k, x in ((one.na, one.a), (one.nb, one.b))]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[row]] * n, pa.int64()), pa.array(np.arange(group, group + n)), pa.array(starts), pa.array(np.append(starts[1:], end)), *lists], schema=schema)
                     at, group = end, group + n
@@ -261,11 +282,9 @@ def _summary(a_path: str, b_path: str):
             states: list = [None] * n
             tail: list[bytes] = [b""] * n
             held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
-            failed = set()
+            failed: set[int] = set()
             for rows, part, fail in _batched(both, batch.column("text").to_pylist()):
-                if fail:
-                    failed.add(rows[0])
-                    continue
+                failed |= fail
                 of, keys, times = part.pairs()
                 cuts = np.searchsorted(of, np.arange(1, part.n))
                 np.add.at(sums, rows, np.column_stack([part.count, part.groups, part.links]))
