@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import BYTE_WORDS, vocabulary
-from lodestone.llm.common import holds, staged
+from lodestone.llm.common import frequent, holds, staged
 
 SPACE = "▁"
 #: Texts of a batch that are aligned together, and how far a long text goes before it is cut, in characters.
@@ -320,14 +320,8 @@ def pair_counts(summary: DataFrame, base: int) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``pair, docs, best`` of at most ``size`` pairs, all from one class of counts on, sorted by pair."""
-    level = F.floor(F.log2("docs") * 8).cast("int")
-    least, held = None, 0
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if held + r["count"] > size:
-            break
-        least, held = r["level"], held + r["count"]
-    top = counts.where(level >= least if least is not None else F.lit(False)).toPandas().sort_values("pair")
+    """``pair, docs, best`` of at most ``size`` pairs, sorted by pair."""
+    top = counts.where(frequent(counts, "docs", size)).toPandas().sort_values("pair")
     return tuple(top[c].to_numpy(dtype=kind) for c, kind in (("pair", "i8"), ("docs", "i8"), ("best", "?")))
 
 
@@ -353,16 +347,16 @@ def _weighed(top: tuple[np.ndarray, np.ndarray, np.ndarray]):
     return run
 
 
-def summarize(docs: DataFrame, a_path: str, b_path: str, frequent: int = 1 << 17) -> DataFrame:
+def summarize(docs: DataFrame, a_path: str, b_path: str, known: int = 1 << 17) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for each row of ``docs``.
 
-    ``frequent`` bounds the pairs whose counts the tasks are given, some 17 bytes each.
+    ``known`` bounds the pairs whose counts the tasks are given, some 17 bytes each.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summary = staged(narrow.mapInArrow(_summary(a_path, b_path), _SUMMARY), "aligned")
     counts = staged(pair_counts(summary, _base(b_path)), "pair-counts")
     kinds = _SUMMARY.replace("pairs array", "n_best long, count_sum long, pairs array")
-    done = staged(summary.mapInArrow(_weighed(most_frequent(counts, frequent)), kinds), "weighed")
+    done = staged(summary.mapInArrow(_weighed(most_frequent(counts, known)), kinds), "weighed")
     rare = done.where(F.size("pairs") > 0).select("uid", F.explode(F.arrays_zip("pairs", "times")).alias("p"))
     rare = rare.select("uid", F.col("p.pairs").alias("pair"), F.col("p.times").alias("m")).join(counts, "pair")
     rare = rare.groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("more_best"), F.sum(F.col("m") * F.col("docs")).alias("more_sum"))

@@ -51,3 +51,17 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
     """``docs`` without the caller's columns of these names, for which results stand."""
     low = {n.lower() for n in names}
     return docs.select(*(docs[c] for c in docs.columns if c.lower() not in low))
+
+
+def frequent(counts: DataFrame, col: str, size: int) -> Column:
+    """Says which rows are among the ``size`` of the highest counts: all down to a class of counts.
+
+    Counts fall into some hundred classes by their logarithm; those that fit in whole are taken.
+    """
+    level = F.floor(F.log2(col) * 8).cast("int")
+    least, held = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if held + r["count"] > size:
+            break
+        least, held = r["level"], held + r["count"]
+    return level >= least if least is not None else F.lit(False)

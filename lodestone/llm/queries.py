@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import align, ann, bpe, lines, maxscore, minhash, packing, secrets, substrings, toxicity, turns, warc
+from lodestone.llm import align, ann, bpe, hmm, lines, maxscore, minhash, packing, secrets, substrings, toxicity, turns, warc
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_VOCAB, bpe.build_lexicon(docs, BYTE_VOCAB))
 
 
+def op11_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.summarize(table(spark, sf_dir, "documents"), BYTE_VOCAB, PIECE_MODEL)
 
@@ -88,7 +92,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_warc, op4_hilbert_ann, op5_maxscore, op6_substring_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec, op12_token_alignment, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_warc, op4_hilbert_ann, op5_maxscore, op6_substring_dedup, op7_toxicity, op8_secret_scans, op9_packing, op10_bpe_codec, op11_hmm_language_model, op12_token_alignment, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {}
 
