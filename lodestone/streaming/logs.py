@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,23 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(out)
 
     stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def typed_readings(rows: DataFrame, hole: str, channels: list[str], depth: str | None = None, interval: tuple[str, str] | None = None) -> DataFrame:
+    """Log rows, streamed or not, as ``hole, depth`` and the channels as numbers; ``usable`` where a reading has both.
+
+    The depth is that column, or the middle of an interval's two. Cells that aren't numbers are null; a
+    decimal comma counts.
+    """
+    if (depth is None) == (interval is None):
+        raise ValueError("a log has a depth column or an interval, not both")
+
+    def cell(name: str) -> Column:
+        kind = dict(rows.dtypes)[name]
+        v = F.replace(F.trim(name), F.lit(","), F.lit(".")).try_cast("double") if kind == "string" else F.col(name).cast("double")
+        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+    at = cell(depth) if depth else (cell(interval[0]) + cell(interval[1])) / 2
+    named = F.nullif(F.trim(F.col(hole).cast("string")), F.lit(""))
+    out = rows.select(named.alias("hole"), at.alias("depth"), *(cell(c).alias(c) for c in channels))
+    return out.withColumn("usable", F.col("hole").isNotNull() & F.col("depth").isNotNull())
