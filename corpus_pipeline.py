@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import lines, minhash, packing, secrets, toxicity
-from lodestone.llm.common import staged
+from lodestone.llm.common import packed, staged
 from lodestone.llm.queries import WORD_VOCAB, table
 
 
@@ -31,12 +31,12 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="__score").where("__score < 0.5").select(*docs.columns)
+    return toxicity.score(packed(docs, F.col("text")), model).where("score < 0.5").select("row.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in one of them."""
-    return _sized(lines.drop_lines(docs, lines.keep_bitmaps(docs)), docs.columns)
+    return _sized(lines.drop_lines(docs, lines.keep_bitmaps(docs), out=None), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,19 @@ def ident(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     ]
 
 
+def packed(docs: DataFrame, *inner: Column) -> DataFrame:
+    """All of a caller's columns as one struct ``row``, and the operator's own beside it.
+
+    So no name of an operator's own can meet one of the caller's.
+    """
+    return docs.select(F.struct("*").alias("row"), *inner)
+
+
+def unpacked(df: DataFrame, columns: list[str], text: Column | None = None) -> list[Column]:
+    """The caller's columns out of ``row``, with another ``text`` where one is given."""
+    return [text.alias(c) if text is not None and c.lower() == "text" else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def binary_values(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import binary_values, ident, staged
+from lodestone.llm.common import binary_values, ident, packed, staged, unpacked
 
 _KEYS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int32())])
 _KEYS_SQL = "h1 long, h2 long, did long, tkey long, pos int"
@@ -156,8 +156,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
     return whole.select(F.col("did").alias("__did"), F.col("tkey").alias("__tkey"), _pack("pos").alias("keep_bitmap"))
 
 
-def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the kept lines as ``text``, and a struct ``__lines`` of (n_lines, n_dropped)."""
-    joined = docs.select("*", *ident()).join(bitmaps.withColumnRenamed("keep_bitmap", "__keep"), ["__did", "__tkey"], "left")
-    done = joined.withColumn("__lines", _apply("text", "__keep"))
-    return done.withColumn("text", F.col("__lines.text")).drop("__did", "__tkey", "__keep")
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, out: str | None = "__lines") -> DataFrame:
+    """``docs`` with the kept lines as ``text``, and a struct ``out`` of (n_lines, n_dropped).
+
+    A caller's column of that name gives way; without ``out`` there are the caller's columns only.
+    """
+    joined = packed(docs, *ident(), F.col("text").alias("given")).join(bitmaps, ["__did", "__tkey"], "left")
+    done = joined.select("row", _apply("given", "keep_bitmap").alias("done"))
+    kept = [c for c in docs.columns if out is None or c.lower() != out.lower()]
+    return done.select(*unpacked(done, kept, F.col("done.text")), *([F.col("done").alias(out)] if out else []))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NULL_ID, binary_values, ident, staged
+from lodestone.llm.common import NULL_ID, binary_values, ident, packed, staged
 from lodestone.llm.graph import HOT, components
 from lodestone.llm.words import WordHashes, mixed, rolling
 
@@ -291,8 +291,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without those that another document of their component stands for."""
     found = near_duplicates(docs, **how).where("__did = component").select("__did", "__tkey").distinct()
-    marked = docs.select("*", *ident())
-    return marked.join(found, ["__did", "__tkey"], "left_semi").drop("__did", "__tkey")
+    return packed(docs, *ident()).join(found, ["__did", "__tkey"], "left_semi").select("row.*")
 
 
 def restored(col: str):

@@ -25,7 +25,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh_dir, without
+from lodestone.llm.common import fresh_dir, packed, unpacked, without
 
 #: Name, pattern, and what a match must hold besides; the first three are the base rules.
 #: ``probe`` is a pattern that every match contains and that is quick to deny.
@@ -75,21 +75,24 @@ def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _scanned(docs: DataFrame, ledger: str | None, rules, version: str) -> DataFrame:
-    """``docs`` with ``__blob`` and ``__spans``."""
+    """``row`` (the columns of ``docs``), ``given`` (its text), ``blob`` and ``spans``.
+
+    A ledger that holds a blob twice, as two scans at once leave it, counts once.
+    """
     version = f"{version}-{hashlib.sha256(json.dumps([list(rules), _SPAN], sort_keys=True).encode()).hexdigest()}"
     spark = docs.sparkSession
     path = ledger or fresh_dir(spark, "secret-ledger")
     schema = f"blob binary, version string, spans {_SPAN}"
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumn("__blob", F.unhex(F.sha2(text.cast("binary"), 256)))
-    blobs = named.select(F.col("__blob").alias("blob"), text.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
+    named = packed(docs, F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), F.col("text").alias("given"))
+    blobs = named.select("blob", F.coalesce("given", F.lit("")).alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
     if ledger and _exists(spark, path):
         seen = spark.read.schema(schema).parquet(path).where(F.col("version") == version)
         blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
     find_spans(blobs, rules).select("blob", F.lit(version).alias("version"), "spans").write.mode("append").parquet(path)
     done = spark.read.schema(schema).parquet(path).where(F.col("version") == version)
-    hits = done.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    return named.join(hits, "__blob", "left").withColumn("__spans", F.coalesce("__spans", F.array().cast(_SPAN)))
+    hits = done.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    return named.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str = VERSION) -> DataFrame:
@@ -100,7 +103,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str =
     rules; a blob scanned with these rules under this version before is not scanned again.
     """
     done = _scanned(without(docs, "blob", "spans"), ledger, rules, version)
-    return done.withColumnsRenamed({"__blob": "blob", "__spans": "spans"})
+    return done.select("row.*", "blob", "spans")
 
 
 def _exists(spark, path: str) -> bool:
@@ -119,13 +122,13 @@ def redact(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str
     Of spans that overlap the first gives the name and all are cut out.
     """
     done = _scanned(docs, ledger, rules, version)
-    fresh = F.filter("__spans", lambda s: s["from"] >= s["clear"])
+    fresh = F.filter("spans", lambda s: s["from"] >= s["clear"])
 
     def cut(raw: Column) -> Column:
         """``raw`` is a lambda's variable, so a piece costs its own bytes only, not the text's."""
         piece = lambda begin, end: F.substring(raw, begin + 1, end - begin).cast("string")
         named = F.transform(fresh, lambda s: F.concat(piece(s["clear"], s["from"]), F.lit("["), s["kind"], F.lit("]")))
-        return F.concat(F.array_join(named, ""), piece(F.array_max(F.transform("__spans", lambda s: s["to"])), F.octet_length(raw)))
+        return F.concat(F.array_join(named, ""), piece(F.array_max(F.transform("spans", lambda s: s["to"])), F.octet_length(raw)))
 
-    redacted = F.transform(F.array(F.coalesce(F.col("text"), F.lit("")).cast("binary")), cut)[0]
-    return done.withColumn("text", F.when(F.size("__spans") > 0, redacted).otherwise(F.col("text"))).select(*docs.columns)
+    redacted = F.transform(F.array(F.coalesce(F.col("given"), F.lit("")).cast("binary")), cut)[0]
+    return done.select(*unpacked(done, docs.columns, F.when(F.size("spans") > 0, redacted).otherwise(F.col("given"))))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import staged, without
+from lodestone.llm.common import fresh_dir, packed, staged, without
 from lodestone.llm.words import WordHashes, rolling
 
 PHRASE, LETTERS, BITS = 8, 3, 5
@@ -260,12 +260,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, digests: bool = False) ->
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * buckets, -(-size // PART))
     blob = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    named = without(docs, "n_words", "n_removed", "kept").withColumn("__blob", blob)
-    texts = named.select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
+    named = packed(without(docs, "n_words", "n_removed", "kept"), blob.alias("blob"), F.coalesce("text", F.lit("")).alias("given"))
+    texts = named.select("blob", F.col("given").alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("blob"), F.lit(parts)).cast("int"))
     table = f"lodestone_texts_{uuid.uuid4().hex}"
     try:
-        texts.repartition(buckets, "part").write.option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(table)
+        texts.repartition(buckets, "part").write.option("compression", "zstd").option("path", fresh_dir(spark, "texts")).bucketBy(buckets, "part").saveAsTable(table)
         texts = spark.table(table)
 
         def recurring(rows: DataFrame, *key: str) -> DataFrame:
@@ -281,4 +281,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, digests: bool = False) ->
         marked = staged(marked, "kept-words")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return named.join(marked.withColumnRenamed("blob", "__blob"), "__blob").drop("__blob")
+    return named.join(marked, "blob").select("row.*", "n_words", "n_removed", "kept")

@@ -328,3 +328,73 @@ def test_damage(spark):
         row = (c, t, "user" if k == 4 else word(r), "" if k == 1 else word(x).translate({ord(p): None for p in ".!?"}) if k == 2 else word(x))
         want += [row] * (0 if k == 0 else 2 if k == 3 else 1)
     assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
+# names
+
+
+INNER = ["__did", "__tkey", "row", "given", "done", "blob", "spans", "keep_bitmap", "kept", "found", "score", "__score", "__lines", "__spans", "__blob", "__keep", "uid", "c", "t", "h", "n", "k", "pos", "did", "tkey", "node", "component", "words", "share", "symbols", "pairs", "times", "class"]
+
+
+@pytest.fixture(scope="module")
+def named(spark, tmp_path_factory):
+    """Documents with a column of each inner name, and the same without them."""
+    line = "the same long line in every text of three"
+    texts = [f"{line}\nof its own {i} {'x' * i}" for i in range(4)] + ["a b c d e f g h " * 5, "a b c d e f g h " * 5, "password = hunter22secret", None, "you zorgue"]
+    own = [f"own {c}" for c in INNER]
+    rows = [(i, x, "en", "s", 0, *own) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in INNER))
+    folder = tmp_path_factory.mktemp("named")
+    spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return docs, str(folder)
+
+
+def same_rows(got, plain, docs):
+    """Rows and columns as without the extra columns, and those untouched."""
+    assert got.columns == docs.columns
+    key = lambda r: (r.doc_id, r.text or "")
+    rows, want = sorted(got.collect(), key=key), sorted(plain.collect(), key=key)
+    assert [(r.doc_id, r.text) for r in rows] == [(r.doc_id, r.text) for r in want]
+    assert all(r[c] == f"own {c}" for r in rows for c in INNER)
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_with_columns_of_every_inner_name(spark, named, stage):
+    import corpus_pipeline
+
+    docs, folder = named
+    _, run = corpus_pipeline.STAGES[stage]
+    plain = docs.drop(*INNER)
+    same_rows(run(spark, docs, folder), run(spark, plain, folder), docs)
+
+
+def test_operators_with_columns_of_every_inner_name(spark, named):
+    from lodestone.llm import bpe, lines, minhash, packing, secrets, substrings
+    from lodestone.llm.queries import WORD_VOCAB
+
+    docs, _ = named
+    plain = docs.drop(*INNER)
+    count = docs.count()
+    assert minhash.keep_one(docs).count() == minhash.keep_one(plain).count() < count
+    assert minhash.near_duplicates(docs).count() == count
+    lost = lambda d: lines.drop_lines(d, lines.keep_bitmaps(d)).agg(F.sum("__lines.n_dropped")).first()[0]
+    assert lost(docs) == lost(plain) == 3
+    spans = lambda d: secrets.scan(d).agg(F.sum(F.size("spans"))).first()[0]
+    assert spans(docs) == spans(plain) == 1
+    gone = lambda d: substrings.remove_repeats(d).agg(F.sum("n_removed")).first()[0]
+    assert gone(docs) == gone(plain) > 0
+    assert packing.pack(docs, WORD_VOCAB).count() == packing.pack(plain, WORD_VOCAB).count()
+    assert bpe.round_trip(docs, BYTE_VOCAB).count() == count
+    assert align.summarize(docs, BYTE_VOCAB, PIECE_MODEL).count() == count
+    assert hmm.score(docs, states=2, rounds=(16,)).count() == count
+
+
+def test_a_ledger_that_holds_a_blob_twice(spark, tmp_path):
+    from lodestone.llm import secrets
+
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token: abcdef123")], "doc_id long, text string")
+    secrets.scan(docs, ledger=ledger).collect()
+    spark.read.parquet(ledger).write.parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(ledger)
+    assert secrets.scan(docs, ledger=ledger).count() == 1
