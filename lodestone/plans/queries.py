@@ -768,4 +768,4 @@ def collar_issues(spark, d):
     return quality.collar_issues(c)
 
 
-from lodestone.plans import field, formulas, more, streams  # noqa: E402, F401
+from lodestone.plans import field, formulas, more, space, streams  # noqa: E402, F401
