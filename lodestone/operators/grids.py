@@ -31,26 +31,6 @@ def flow_directions(grid: DataFrame, value: str = "z", size: float = 1.0) -> Dat
     return best.select("i", "j", F.coalesce("direction", F.lit(-1)).alias("direction"))
 
 
-def flow_accumulation(flow: DataFrame, rounds: int = 4000) -> DataFrame:
-    """Cells draining through each cell, itself included; levels from the sources down.
-
-    Every round sends on what has gathered; flow without cycles ends it.
-    """
-    di, dj = (F.array(*(F.lit(d[x]) for d in DIRECTIONS)) for x in (0, 1))
-    step = flow.select("i", "j", F.when(F.col("direction") >= 0, F.col("i") + F.get(di, F.col("direction"))).alias("ti"), F.when(F.col("direction") >= 0, F.col("j") + F.get(dj, F.col("direction"))).alias("tj")).checkpoint()
-    moving = step.select("i", "j", F.lit(1).cast("long").alias("n"))
-    total = moving
-    for r in range(rounds):
-        moving = moving.join(step, ["i", "j"]).where("ti is not null").groupBy(F.col("ti").alias("i"), F.col("tj").alias("j")).agg(F.sum("n").alias("n")).checkpoint()
-        if moving.isEmpty():
-            break
-        total = total.unionByName(moving)
-        if r % 8 == 7:
-            total = total.groupBy("i", "j").agg(F.sum("n").alias("n")).checkpoint()
-    inside = flow.select("i", "j")
-    return total.groupBy("i", "j").agg(F.sum("n").alias("cells")).join(inside, ["i", "j"], "left_semi")
-
-
 def slopes(grid: DataFrame, value: str = "z", size: float = 1.0) -> DataFrame:
     """Horn's 3 x 3 gradients; at an edge the missing neighbour is the cell itself. ``i, j, gx, gy``."""
     seen = _spread(grid, DIRECTIONS, value)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.repeats import COUNT, again, once
+
 EPS = 1e-6
 
 
@@ -125,15 +127,15 @@ def _coded(samples: DataFrame, log: DataFrame, code: str, holds: Column, rank: C
     with a count, so nulls in any column and repeated rows stay as they are.
     """
     cols = samples.columns
-    one = samples.groupBy(*cols).agg(F.count("*").alias("__n"))
+    one = once(samples)
     buckets = lambda c: F.sequence(F.floor(F.col("from_") / bucket), F.floor((F.col("to_") - EPS) / bucket))
     a = one.withColumn("__b", F.explode_outer(F.when(F.col("to_") > F.col("from_"), buckets(0)))).alias("a")
     b = valid(log).withColumn("__b", F.explode(buckets(0))).alias("b")
     first = F.floor(F.greatest(F.col("a.from_"), F.col("b.from_")) / bucket) == F.col("a.__b")
     met = a.join(b, (F.col("a.hole") == F.col("b.hole")) & (F.col("a.__b") == F.col("b.__b")) & (F.col("a.from_") < F.col("b.to_")) & (F.col("b.from_") < F.col("a.to_")) & first & holds, "left")
     keys = [F.col(f"a.{c}").alias(c) for c in cols]
-    best = met.groupBy(*keys, F.col("a.__n").alias("__n")).agg(F.max_by(F.col(f"b.{code}"), F.when(F.col("b.hole").isNotNull(), rank)).alias(code))
-    return best.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*cols, code)
+    best = met.groupBy(*keys, F.col(f"a.{COUNT}").alias(COUNT)).agg(F.max_by(F.col(f"b.{code}"), F.when(F.col("b.hole").isNotNull(), rank)).alias(code))
+    return again(best).select(*cols, code)
 
 
 def code_by_overlap(samples: DataFrame, log: DataFrame, code: str = "code", bucket: float = 64.0) -> DataFrame:
@@ -148,15 +150,19 @@ def code_at_midpoint(samples: DataFrame, log: DataFrame, code: str = "code", buc
 
 
 def overlap_means(windows: DataFrame, values: DataFrame, value: str = "value") -> DataFrame:
-    """Windows with the overlap-weighted mean of ``value`` inside them and the metres covered."""
-    pairs = overlap_pairs(windows, values.where(F.col(value).isNotNull()))
+    """Windows with the overlap-weighted mean of ``value`` inside them and the metres covered.
+
+    Equal windows stay rows of their own, equal rows of values count each.
+    """
+    pairs = overlap_pairs(once(windows), values.where(F.col(value).isNotNull()))
     got = pairs.groupBy("a").agg(F.sum(F.col("metres") * F.col(f"b.{value}")).alias("__s"), F.sum("metres").alias("covered"))
-    return got.select("a.*", (F.col("__s") / F.col("covered")).alias(value), "covered")
+    return again(got.select("a.*", (F.col("__s") / F.col("covered")).alias(value), "covered"))
 
 
 def metres_by_code(windows: DataFrame, log: DataFrame, code: str = "code") -> DataFrame:
-    """Metres of each code inside each window."""
-    return overlap_pairs(windows, log).groupBy("a", F.col(f"b.{code}").alias(code)).agg(F.sum("metres").alias("metres")).select("a.*", code, "metres")
+    """Metres of each code inside each window; equal windows stay rows of their own."""
+    met = overlap_pairs(once(windows), log).groupBy("a", F.col(f"b.{code}").alias(code)).agg(F.sum("metres").alias("metres"))
+    return again(met.select("a.*", code, "metres"))
 
 
 def reading_bins(readings: DataFrame, size: float, value: str = "value") -> DataFrame:
@@ -177,12 +183,12 @@ def moving_median(readings: DataFrame, half_width: float, value: str = "value")
 
 
 def readings_in_intervals(readings: DataFrame, intervals: DataFrame, bucket: float = 64.0) -> DataFrame:
-    """Readings with the interval that holds them, [from, to); the last to begin on ties."""
+    """Readings with the interval that holds them, [from, to); the last to begin on ties. Equal readings stay."""
     spread = valid(intervals).withColumn("__b", F.explode(F.sequence(F.floor(F.col("from_") / bucket), F.floor((F.col("to_") - EPS) / bucket)))).withColumnRenamed("hole", "__hole")
-    own = readings.withColumn("__rb", F.floor(F.col("depth") / bucket))
+    own = once(readings).withColumn("__rb", F.floor(F.col("depth") / bucket))
     met = own.join(spread, (F.col("hole") == F.col("__hole")) & (F.col("__rb") == F.col("__b")) & (F.col("from_") <= F.col("depth")) & (F.col("depth") < F.col("to_")))
     last = Window.partitionBy(*readings.columns).orderBy(F.desc("from_"), F.desc("to_"))
-    return met.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__b", "__rb", "__hole")
+    return again(met.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__b", "__rb", "__hole"))
 
 
 def hole_totals(rows: DataFrame, cutoff: float, value: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ the cost follows the points that are near, not all pairs.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 from operator import and_
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.graph import components
+from lodestone.operators.repeats import COUNT, again, once
+from lodestone.staging import staged
 
 
 def _cells(df: DataFrame, axes: tuple[str, ...], size: float, prefix: str) -> DataFrame:
@@ -39,33 +42,43 @@ def within(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ..
     return met.select(pick(left, "a"), pick(right, "b"), "d2")
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, key: str, k: int, start: float, axes: tuple[str, ...] = ("x", "y"), rounds: int = 24, other: str | None = None) -> DataFrame:
-    """The ``k`` nearest points of each query by squared distance, ties by ``key``.
+def _extent(axes: tuple[str, ...], *tables: DataFrame) -> float | None:
+    """The diagonal of the box around all points; None without any."""
+    box = reduce(DataFrame.unionByName, (t.select(*(F.col(a).cast("double").alias(a) for a in axes)) for t in tables))
+    for a in axes:
+        box = box.where(~F.isnan(a) & (F.abs(a) < float("inf")))
+    spans = box.agg(*(F.max(a) - F.min(a) for a in axes)).first()
+    return None if spans[0] is None else math.hypot(*spans)
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, key: str, k: int, start: float, axes: tuple[str, ...] = ("x", "y"), other: str | None = None) -> DataFrame:
+    """The ``k`` nearest points of each query by squared distance, ties by ``key``; equal queries each have theirs.
 
     Rounds with doubled radius: a query is done as soon as ``k`` points lie within the radius;
-    the rest go on. ``other`` names a column that must differ (another hole, another sample).
-    Queries with fewer than ``k`` points end with what the last round finds.
+    the rest go on until the radius spans the whole of the data. ``other`` names a column that must differ
+    (another hole, another sample). Queries with fewer than ``k`` points get what there is.
     """
-    total = points.count()
-    radius, todo, done = start, queries, None
+    span = _extent(axes, queries, points)
+    radius, todo, done = start, once(queries), None
     order = Window.partitionBy("a").orderBy("d2", F.col(f"b.{key}"))
-    for i in range(rounds):
+    while True:
         pairs = within(todo, points, radius, axes)
         if other:
             pairs = pairs.where(F.col(f"a.{other}") != F.col(f"b.{other}"))
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = staged(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
         full = ranked.where(F.col("rank") == k).select("a")
-        last = i == rounds - 1 or radius > 1e12
+        last = span is None or radius >= span * (1 + 1e-9)
         got = ranked if last else ranked.join(full, "a", "left_semi")
         done = got if done is None else done.unionByName(got)
-        if last or total == 0:
+        if last:
             break
         seen = full.select(F.col("a").alias("__a"))
-        todo = todo.join(seen, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__a.{c}")) for c in queries.columns)), "left_anti")
+        todo = staged(todo.join(seen, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__a.{c}")) for c in todo.columns)), "left_anti"), "queries")
         if todo.isEmpty():
             break
         radius *= 2
-    return done.select("a", "b", "d2", "rank")
+    done = again(done.withColumn(COUNT, F.col(f"a.{COUNT}")))
+    return done.select(F.struct(*(F.col(f"a.{c}").alias(c) for c in queries.columns)).alias("a"), "b", "d2", "rank")
 
 
 def clusters(points: DataFrame, key: str, link: float, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import assay
-from lodestone.operators import desurvey, geostat, grids, intervals, multivar, quality, spatial, stats
+from lodestone.operators import catchments, desurvey, geostat, grids, intervals, multivar, quality, spatial, stats
 from lodestone.plans import bind
 from lodestone.plans.bind import rounded, with_
+from lodestone.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -435,8 +436,45 @@ def flow_directions(spark, d):
 @query(with_("gr", recursive=True) + f""", {_DIRS}, {_FLOW}, w AS (SELECT i, j, i AS ti, j AS tj FROM f UNION ALL SELECT w.i, w.j, w.ti + di, w.tj + dj FROM w JOIN f ON f.i = w.ti AND f.j = w.tj JOIN d ON d.k = f.direction)
 SELECT ti AS i, tj AS j, count(*) AS cells FROM w GROUP BY 1, 2""")
 def flow_accumulation(spark, d):
-    bind.shared_path(spark, "")  # a checkpoint folder is set from here on
-    return grids.flow_accumulation(grids.flow_directions(bind.terrain(spark, d)))
+    return catchments.flow_accumulation(grids.flow_directions(bind.terrain(spark, d)))
+
+
+_SITES = """st AS (SELECT p_partkey AS site, CAST(p_partkey % 40 AS INTEGER) AS i, CAST(p_partkey // 40 AS INTEGER) AS j FROM part WHERE p_size % 12 = 0),
+lab AS (SELECT i, j, arg_min(site, n) AS site FROM (SELECT w.i, w.j, w.n, st.site FROM w JOIN st ON st.i = w.ti AND st.j = w.tj) GROUP BY i, j)"""
+_WALK = "w AS (SELECT i, j, i AS ti, j AS tj, 0 AS n FROM f UNION ALL SELECT w.i, w.j, w.ti + di, w.tj + dj, n + 1 FROM w JOIN f ON f.i = w.ti AND f.j = w.tj JOIN d ON d.k = f.direction)"
+
+
+def _sites(spark, d):
+    k = F.col("p_partkey")
+    node = F.struct((k % 40).cast("long").alias("i"), F.floor(k / 40).alias("j"))
+    return bind.table(spark, d, "part").where("p_size % 12 = 0").select(k.alias("site"), node.alias("node"))
+
+
+@query(with_("gr", recursive=True) + f", {_DIRS}, {_FLOW}, {_WALK}, {_SITES} SELECT f.i, f.j, lab.site FROM f LEFT JOIN lab ON lab.i = f.i AND lab.j = f.j")
+def sub_catchments(spark, d):
+    """The first of the sites (parts of some sizes) that each cell drains to."""
+    edges = catchments.downstream(grids.flow_directions(bind.terrain(spark, d)))
+    return catchments.first_site(edges, _sites(spark, d)).select(F.col("node.i").cast("int").alias("i"), F.col("node.j").cast("int").alias("j"), "site")
+
+
+@query(with_("gr", recursive=True) + f""", {_DIRS}, {_FLOW}, {_WALK}, {_SITES}, own AS (SELECT site, count(*) AS own FROM lab WHERE site IS NOT NULL GROUP BY site),
+whole AS (SELECT st.site, count(*) AS total FROM w JOIN st ON st.i = w.ti AND st.j = w.tj GROUP BY st.site)
+SELECT st.site, lab.site AS down, own.own, whole.total FROM st JOIN own ON own.site = st.site JOIN whole ON whole.site = st.site LEFT JOIN (f JOIN d ON d.k = f.direction) ON f.i = st.i AND f.j = st.j LEFT JOIN lab ON lab.i = f.i + di AND lab.j = f.j + dj""")
+def site_tree(spark, d):
+    edges = staged(catchments.downstream(grids.flow_directions(bind.terrain(spark, d))), "edges")
+    sites = _sites(spark, d)
+    return catchments.site_tree(edges, sites, catchments.first_site(edges, sites))
+
+
+@query(with_("gr", recursive=True) + f""", {_DIRS}, {_FLOW}, {_WALK}, acc AS (SELECT ti AS i, tj AS j, count(*) AS cells FROM w GROUP BY 1, 2), s AS (SELECT p_partkey AS site, p_partkey % 40 + p_size * 0.01::DOUBLE AS x, p_partkey // 40 - p_size * 0.013::DOUBLE AS y FROM part WHERE p_size % 12 = 0),
+m AS (SELECT s.site, acc.i, acc.j, acc.cells, sqrt((acc.i - x) * (acc.i - x) + (acc.j - y) * (acc.j - y)) AS moved, row_number() OVER (PARTITION BY site ORDER BY cells DESC, CASE WHEN acc.i = floor(x + 0.5) AND acc.j = floor(y + 0.5) THEN 0 ELSE 1 END, acc.j, acc.i) AS n
+FROM s JOIN acc ON sqrt((acc.i - floor(x + 0.5)) * (acc.i - floor(x + 0.5)) + (acc.j - floor(y + 0.5)) * (acc.j - floor(y + 0.5))) <= 3 WHERE EXISTS (FROM f WHERE f.i = floor(x + 0.5) AND f.j = floor(y + 0.5)))
+SELECT site, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, cells, floor(moved * 1e6 + 0.5) / 1e6 AS moved FROM m WHERE n = 1""")
+def snapped_sites(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    sites = bind.table(spark, d, "part").where("p_size % 12 = 0").select(k.alias("site"), (k % 40 + s * 0.01).alias("x"), (F.floor(k / 40) - s * 0.013).alias("y"))
+    acc = catchments.flow_accumulation(grids.flow_directions(bind.terrain(spark, d)))
+    return catchments.snap_sites(sites, acc, 3.0).withColumn("moved", rounded(F.col("moved"), 6))
 
 
 _N = lambda di, dj: f"coalesce((SELECT z FROM gr n WHERE n.i = g.i + {di} AND n.j = g.j + {dj}), g.z)"

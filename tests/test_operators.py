@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import graph
 from lodestone.functions import assay
-from lodestone.operators import grids, intervals, quality, spatial, stats
+from lodestone.operators import catchments, grids, intervals, quality, spatial, stats
 
 IV = "hole long, from_ double, to_ double, value double, code string"
 
@@ -97,7 +97,7 @@ def test_components_that_have_not_settled_are_an_error(spark):
 def test_flow_accumulation_of_a_slope(spark):
     grid = spark.createDataFrame([(i, j, float(100 - i)) for i in range(5) for j in range(3)], "i int, j int, z double")
     flow = grids.flow_directions(grid)
-    acc = {(r.i, r.j): r.cells for r in grids.flow_accumulation(flow).collect()}
+    acc = {(r.i, r.j): r.cells for r in catchments.flow_accumulation(flow).collect()}
     assert all(acc[(4, j)] == 5 for j in range(3)) and acc[(0, 0)] == 1
 
 
