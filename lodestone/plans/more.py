@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import assay
 from lodestone.operators import economics, imports, intervals, qaqc
 from lodestone.plans import bind
+from lodestone.sources import rawtables
 from lodestone.plans.bind import rounded, with_
 from lodestone.plans.queries import query, r
 
@@ -474,3 +475,35 @@ def workspace_boundaries(spark, d):
 def workspace_surface_samples(spark, d):
     _views(spark, d)
     return spark.sql("SELECT get_json_object(attrs, '$.grid') AS grid, count(*) AS n, count(get_json_object(attrs, '$.colour')) AS coloured, max(Au) AS au, floor(sum(Cu) * 100 + 0.5) / 100 AS cu FROM surface_samples GROUP BY 1")
+
+
+@query("SELECT CAST(o_orderkey % 90 * 10 AS DOUBLE) AS \"LINE\", CAST(o_orderkey AS DOUBLE) AS \"STN\", (o_orderkey * 37) % 1000 / 8 AS \"GRID_X\", o_orderstatus AS \"CODE\", CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS \"MX\" FROM orders")
+def read_spaced_file(spark, d):
+    """Columns that stand apart by runs of spaces, -9999 where there is no value."""
+    path = bind.shared_path(spark, "spaced-file")
+    k = F.col("o_orderkey")
+    gap = F.lit("   ")
+    line = F.concat(gap, (k % 90 * 10).cast("string"), gap, k.cast("string"), F.lit(" "), F.format_string("%.3f", ((k * 37) % 1000) / 8), gap, "o_orderstatus", gap, F.when(k % 9 == 0, "-9999").otherwise((k % 50).cast("string")), F.lit("  "))
+    spark.createDataFrame([("  LINE    STN   GRID_X  CODE   MX",)], "value string").coalesce(1).write.text(f"{path}/a")
+    bind.table(spark, d, "orders").select(line.alias("value")).write.text(f"{path}/b")
+    layout = rawtables.probe(spark, f"{path}/a", f"{path}/b")
+    return rawtables.typed(rawtables.read_raw(spark, f"{path}/*", layout))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_acctbal FROM supplier), m AS (SELECT max(k) AS k FROM s)
+SELECT CAST(s.k AS VARCHAR) AS hole_id, CAST(s.k % 100 AS DOUBLE) AS x, CAST(s.k % 70 AS DOUBLE) AS y, CAST(s.k % 30 AS DOUBLE) AS z, CAST(s.k % 360 AS DOUBLE) AS azimuth, CAST(-60 AS DOUBLE) AS dip, CAST(NULL AS DOUBLE) AS length,
+'1' AS "Hole_Azi_Ref", '5' AS "Depth_to_Base", CASE WHEN s.k = m.k THEN 'Süd' ELSE 'north' END AS "Place" FROM s JOIN m ON true""")
+def read_ended_file(spark, d):
+    """Notes, a header, rows that end in a delimiter; only the last row's bytes tell the encoding."""
+    path = bind.shared_path(spark, "ended-file")
+    k = F.col("s_suppkey")
+    rows = bind.table(spark, d, "supplier")
+    last = rows.agg(F.max("s_suppkey")).first()[0]
+    cells = [k, k % 100, k % 70, k % 30, k % 360, F.lit(-60), F.lit(1), F.lit(5), F.when(k == last, "Süd").otherwise("north"), F.lit("")]
+    head = ["Client: a company", "Datum: local", "Hole,Easting,Northing,RL,Azimuth,Dip,Hole_Azi_Ref,Depth_to_Base,Place"]
+    as_written = lambda c: F.encode(c, "iso-8859-1").cast("string").alias("value")
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/a")
+    rows.orderBy(k).select(as_written(F.concat_ws(",", *(c.cast("string") for c in cells)))).write.text(f"{path}/b")
+    layout = rawtables.probe(spark, f"{path}/a", f"{path}/b")
+    raw = rawtables.read_raw(spark, f"{path}/*", layout)
+    return rawtables.mapped(raw, "collars", rawtables.guess_mapping("collars", raw.columns))

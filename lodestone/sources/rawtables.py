@@ -46,7 +46,14 @@ SCHEMAS = {
     },
 }
 NUMERIC_FIELDS = ("x", "y", "z", "azimuth", "dip", "length", "depth", "from", "to")
-HOLE_ID_VETO = re.compile(r"hole_(length|depth|type|status|purpose|diameter)|parent")
+# Header parts that rule a column out for a field.
+VETO = {
+    "hole_id": r"(length|depth|_len$|_m$|azi|dip|elev|type|status|parent|purpose|path|diam)",
+    "measured": r"(comment|cmnts?|nominal|planned|plan_|design|target|(^|_)ref(_|$)|precollar|pre_collar|boco|tofr|water)",
+    "hole length": r"(depth|dep)_(of|to)_|(^|_)(best|peak|top|base|bottom|intercept|basement|bedrock|regolith|oxide|fresh|transition)(_|$)",
+}
+# A banner's most filled and a name row's least worded share, a table's least width, the least share of rows as wide as a spaced header.
+BANNER, WORDED, LEAST_WIDTH, SPACED = 0.5, 0.8, 3, 0.8
 
 
 @dataclass(frozen=True)
@@ -57,6 +64,7 @@ class Layout:
     delimiter: str
     headers: tuple[str, ...]
     above: tuple[str, ...]
+    spaced: bool = False  # columns stand apart by runs of spaces
 
 
 def _cells(line: str, delimiter: str) -> list[str]:
@@ -68,27 +76,34 @@ def layout_of(lines: list[str], encoding: str = "utf-8", comment: str = "#") ->
 
     Comment lines and notes above the header are passed over: the header is the first line from
     which on several lines have the same width, wider than the lines above. A banner of group
-    names, mostly empty, gives way to the row of names under it.
+    names, mostly empty, gives way to the row of names under it. Rows that end in a delimiter may be one
+    empty cell wider than their header. Without any delimiter, a header of three words or more over rows
+    of as many is a table of spaced columns.
     """
-    lines = [x.removeprefix("\ufeff").rstrip("\r") for x in lines]
+    lines = given = [x.removeprefix("\ufeff").rstrip("\r") for x in lines]
     text = [i for i, x in enumerate(lines) if x.strip() and not x.lstrip().startswith(comment)]
     if not text:
         return Layout(encoding, ",", (), ())
     sample = [lines[i] for i in text[:60]]
-    delimiter = max(DELIMITERS, key=lambda d: (sum(x.count(d) for x in sample), -DELIMITERS.index(d)))
+    spaced = _spaced(sample)
+    if spaced:
+        lines = [re.sub(r"\s+", "\t", x.strip()) for x in given]
+    delimiter = "\t" if spaced else max(DELIMITERS, key=lambda d: (sum(x.count(d) for x in sample), -DELIMITERS.index(d)))
     width = {i: len(_cells(lines[i], delimiter)) for i in text}
     at = text[0]
-    if width[at] >= 3 and len(text) > 1:
+    if width[at] >= LEAST_WIDTH and len(text) > 1:
         under = text[1]
         top, names = _cells(lines[at], delimiter), _cells(lines[under], delimiter)
         filled = [c for c in top if c]
         words = [c for c in names if c and not re.match(POINT_NUMBER, c)]
-        if len(top) == len(names) and 1 <= len(filled) <= 0.5 * len(top) and len(words) >= 0.8 * len(names):
+        if len(top) == len(names) and 1 <= len(filled) <= BANNER * len(top) and len(words) >= WORDED * len(names):
             at = under
     else:
         for k, i in enumerate(text[1:], 1):
             after = text[k + 1 : k + 4]
-            if width[i] >= 3 and width[i] > width[at] and after and all(width[j] == width[i] for j in after):
+            even = all(width[j] == width[i] for j in after)
+            ended = all(width[j] == width[i] + 1 and lines[j].rstrip().endswith(delimiter) for j in after)
+            if width[i] >= LEAST_WIDTH and width[i] > width[at] and after and (even or ended):
                 at = i
                 break
     headers: list[str] = []
@@ -96,16 +111,26 @@ def layout_of(lines: list[str], encoding: str = "utf-8", comment: str = "#") ->
         name = name or f"column_{n}"
         twin = sum(h.lower() == name.lower() or h.lower().startswith(name.lower() + "_again") for h in headers)
         headers.append(name if not twin else f"{name}_again{twin}")
-    return Layout(encoding, delimiter, tuple(headers), tuple(lines[: at + 1]))
+    return Layout(encoding, delimiter, tuple(headers), tuple(given[: at + 1]), spaced)
+
+
+def _spaced(sample: list[str]) -> bool:
+    """No line has a delimiter or a quote, and most have as many words as the first, three or more."""
+    if any(c in x for x in sample for c in ',;\t|"') or len(sample) < 2:
+        return False
+    width = len(sample[0].split())
+    return width >= LEAST_WIDTH and sum(len(x.split()) == width for x in sample[1:]) >= SPACED * (len(sample) - 1)
 
 
 def probe(spark: SparkSession, *parts: str, lines: int = 300) -> Layout:
-    """The layout of a file, or of one in several parts, from the first lines of each; bytes that aren't UTF-8 mean Windows-1252."""
+    """The layout of a file, or of one in several parts, from the first lines of each.
+
+    The encoding is judged by all bytes, in tasks: a line anywhere that isn't UTF-8 means Windows-1252.
+    """
     head = [bytes(r.b) for path in parts for r in spark.read.text(path).select(F.col("value").cast("binary").alias("b")).limit(lines).collect()]
-    try:
-        return layout_of([b.decode("utf-8") for b in head])
-    except UnicodeDecodeError:
-        return layout_of([b.decode("windows-1252", "replace") for b in head], "windows-1252")
+    foreign = spark.read.text(list(parts)).where(~F.is_valid_utf8("value"))
+    encoding = "utf-8" if foreign.isEmpty() else "windows-1252"
+    return layout_of([b.decode(encoding, "replace") for b in head], encoding)
 
 
 def decoded(raw: Column, encoding: str) -> Column:
@@ -125,8 +150,9 @@ def read_raw(spark: SparkSession, path: str, layout: Layout | None = None, comme
     how = layout or probe(spark, path)
     text = F.regexp_replace(decoded(F.col("value").cast("binary"), how.encoding), "^\ufeff|\r$", "")
     lines = spark.read.text(path).select(text.alias("line"))
-    wide = F.size(F.split("line", re.escape(how.delimiter))) >= len(how.headers)
-    lines = lines.where((F.trim("line") != "") & ~F.col("line").isin(*how.above) & (~F.ltrim("line").startswith(comment) | wide))
+    cut = F.regexp_replace(F.trim("line"), r"\s+", "\t") if how.spaced else F.col("line")
+    wide = F.size(F.split(cut, re.escape(how.delimiter))) >= len(how.headers)
+    lines = lines.where((F.trim("line") != "") & ~F.col("line").isin(*how.above) & (~F.ltrim("line").startswith(comment) | wide)).select(cut.alias("line"))
     names = [f"c{i}" for i in range(len(how.headers))]
     row = F.from_csv("line", ", ".join(f"{n} string" for n in names), {"sep": how.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
     return lines.select(row.alias("r")).select(*(F.trim(F.col(f"r.{n}")).alias(h) for n, h in zip(names, how.headers)))
@@ -180,13 +206,19 @@ def normal_header(header: str) -> str:
 def guess_mapping(target: str, headers: list[str]) -> dict[str, str]:
     """Field -> header of one of the main tables: an exact alias first, then an alias inside a header; each header once."""
     norm = {h: normal_header(h) for h in headers}
+    barred = {"hole_id": ["hole_id"]}
+    if target in ("collars", "survey"):
+        barred |= {f: ["measured"] for f in ("azimuth", "dip", "depth", "length")}
+    if target == "collars":
+        barred["length"] = ["measured", "hole length"]
+    fits = lambda field, h: not any(re.search(VETO[v], norm[h]) for v in barred.get(field, []))
     out: dict[str, str] = {}
     for exact in (True, False):
         for field, aliases in SCHEMAS[target].items():
             if field in out:
                 continue
             for alias in aliases:
-                hit = [h for h in headers if h not in out.values() and not (field == "hole_id" and HOLE_ID_VETO.search(norm[h])) and (norm[h] == alias if exact else len(alias) > 2 and alias in norm[h])]
+                hit = [h for h in headers if h not in out.values() and fits(field, h) and (norm[h] == alias if exact else len(alias) > 2 and alias in norm[h])]
                 if hit:
                     out[field] = hit[0]
                     break

@@ -106,3 +106,34 @@ def test_kriging_is_the_dense_systems_solution(spark):
     c = np.append(cov(np.linalg.norm(x - [40.0, 60.0], axis=1)), 1.0)
     w = np.linalg.solve(a, c)
     assert got.block == "t" and abs(got.estimate - w[:9] @ [p[3] for p in pts]) < 1e-9 and abs(got.variance - (9.0 - w @ c)) < 1e-9
+
+
+def test_layouts_of_spaced_and_ended_rows():
+    from lodestone.sources.rawtables import layout_of
+
+    a = layout_of(["notes", "by: x", "LINE,STN,MX", "1,2,3,", "1,3,4,", "2,2,5,"])
+    assert a.headers == ("LINE", "STN", "MX") and a.above == ("notes", "by: x", "LINE,STN,MX")
+    b = layout_of(["", " LINE  STN   MX", "10  1  2.5", " 10   2   3", "total"] + ["10 3 4"] * 4)
+    assert b.spaced and b.headers == ("LINE", "STN", "MX") and b.delimiter == "\t"
+    assert not layout_of(["one two three", "1,2 3 4", "1 2 3"]).spaced and not layout_of(["one two", "1 2"]).spaced
+
+
+def test_hole_ids_are_not_their_attributes():
+    from lodestone.sources.rawtables import guess_mapping
+
+    got = guess_mapping("collars", ["Hole_Azi", "Hole_Dip", "Site", "Easting", "Northing", "RL"])
+    assert "hole_id" not in got and got["azimuth"] == "Hole_Azi" and got["dip"] == "Hole_Dip" and got["z"] == "RL"
+    got = guess_mapping("collars", ["Hole_Type", "HoleNo", "Planned_Azimuth", "Azimuth", "Depth_to_Base", "Precollar_Depth", "EOH"])
+    assert got == {"hole_id": "HoleNo", "azimuth": "Azimuth", "length": "EOH"}
+
+
+def test_encoding_by_all_bytes(spark, tmp_path):
+    from lodestone.sources import rawtables
+
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"hole,place\n" + b"a,plain\n" * 900 + "b,S\u00fcd\n".encode("windows-1252"))
+    layout = rawtables.probe(spark, str(path))
+    assert layout.encoding == "windows-1252"
+    assert rawtables.read_raw(spark, str(path), layout).where("hole = 'b'").first().place == "S\u00fcd"
+    path.write_bytes(b"hole,place\n" + "b,S\u00fcd\n".encode())
+    assert rawtables.probe(spark, str(path)).encoding == "utf-8"
