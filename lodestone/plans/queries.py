@@ -141,12 +141,42 @@ def first_code_under_cover(spark, d):
     return intervals.first_code(bind.intervals(spark, d), ("N",))
 
 
-@query()
+def _runs_sql(name: str, cutoff: float, dilution: float, least: float, cap: float | None = None) -> str:
+    """Intercepts row by row: a run's state goes down the hole, a run that ends is a row with ``shut``.
+
+    The order lines don't overlap, so each is a segment of its own.
+    """
+    metal = f"least(value, {cap}) * (to_ - from_)" if cap is not None else "value * (to_ - from_)"
+    return f"""{name}_m AS (
+  SELECT hole, 0::BIGINT AS p, NULL::DOUBLE AS st, NULL::DOUBLE AS en, 0::DOUBLE AS me, 0::DOUBLE AS sa, 0::BIGINT AS n, 0::DOUBLE AS wm, 0::DOUBLE AS wl, 0::BIGINT AS wn, false AS shut, NULL::DOUBLE AS s0, NULL::DOUBLE AS e0, NULL::DOUBLE AS sa0, NULL::DOUBLE AS me0, NULL::BIGINT AS n0
+  FROM (SELECT DISTINCT hole FROM sg)
+  UNION ALL
+  SELECT hole, p + 1, CASE WHEN grows THEN st WHEN hi THEN f WHEN dies THEN NULL ELSE st END, CASE WHEN hi THEN t WHEN dies THEN NULL ELSE en END,
+         CASE WHEN grows THEN me + wm + mv WHEN hi THEN mv ELSE me END, CASE WHEN grows THEN sa + wl + len WHEN hi THEN len ELSE sa END, CASE WHEN grows THEN n + wn + 1 WHEN hi THEN 1 ELSE n END,
+         CASE WHEN hi OR dies OR st IS NULL THEN 0 ELSE wm + mv END, CASE WHEN hi OR dies OR st IS NULL THEN 0 ELSE wl + len END, CASE WHEN hi OR dies OR st IS NULL THEN 0 ELSE wn + 1 END,
+         st IS NOT NULL AND ((hi AND NOT grows) OR dies), st, en, sa, me, n
+  FROM (
+    SELECT m.hole, m.p, st, en, me, sa, n, wm, wl, wn, sg.from_ AS f, sg.to_ AS t, sg.to_ - sg.from_ AS len, {metal} AS mv, value >= {cutoff} AS hi,
+           st IS NOT NULL AND value >= {cutoff} AND sg.from_ - en <= {dilution} + 1e-6 AND (me + wm + {metal}) / (sa + wl + sg.to_ - sg.from_) >= {cutoff} AS grows,
+           st IS NOT NULL AND value < {cutoff} AND sg.to_ - en > {dilution} + 1e-6 AS dies
+    FROM {name}_m m JOIN sg ON sg.hole = m.hole AND sg.p = m.p + 1)
+), {name} AS (
+  SELECT hole, s0 AS from_, e0 AS to_, e0 - s0 AS length, sa0 AS sampled, me0 / sa0 AS grade, n0 AS n FROM {name}_m WHERE shut AND e0 - s0 >= {least} - 1e-6
+  UNION ALL
+  SELECT hole, st, en, en - st, sa, me / sa, n FROM (SELECT *, max(p) OVER (PARTITION BY hole) AS last FROM {name}_m) WHERE p = last AND st IS NOT NULL AND en - st >= {least} - 1e-6
+)"""
+
+
+_SEGMENTS = with_("iv", recursive=True) + ", sg AS (SELECT hole, from_, to_, value, row_number() OVER (PARTITION BY hole ORDER BY from_) AS p FROM iv WHERE to_ > from_)"
+
+
+@query(_SEGMENTS + ", " + _runs_sql("best", 6.0, 15.0, 10.0, 9.0) + " SELECT * FROM best")
 def best_intercepts(spark, d):
     return intervals.intercepts(bind.intervals(spark, d), 6.0, 15.0, 10.0, 9.0)
 
 
-@query()
+@query(_SEGMENTS + ", " + _runs_sql("wide", 5.0, 20.0, 10.0) + ", " + _runs_sql("rich", 9.0, 0.0, 1.0) + """ SELECT b.hole, a.from_ AS parent_from, a.to_ AS parent_to, b.from_, b.to_, b.grade
+FROM wide a JOIN rich b ON b.hole = a.hole AND a.from_ <= b.from_ + 1e-6 AND a.to_ >= b.to_ - 1e-6 AND a.length > b.length + 1e-6""")
 def including_intercepts(spark, d):
     iv = bind.intervals(spark, d)
     return intervals.attach_including(intervals.intercepts(iv, 5.0, 20.0, 10.0), intervals.intercepts(iv, 9.0, 0.0, 1.0))
