@@ -65,15 +65,21 @@ def segments(rows: DataFrame, value: str = "value") -> DataFrame:
     """Overlapping rows as disjoint segments with the mean of what covers them.
 
     ``hole, from_, to_, value, n, conflict``: exact repeats count once, negative values count
-    as not assayed, ``conflict`` says that two values or more met. Breakpoints are laid out in
-    one sweep per hole; rows meet the segments inside them by depth buckets.
+    as not assayed, ``conflict`` says that two values or more met. One sweep per hole tells
+    rows that overlap no other: they are segments as they are. For the rest breakpoints are laid out,
+    and rows meet the segments inside them by depth buckets.
     """
     clean = valid(rows).select("hole", "from_", "to_", F.when(F.col(value) >= 0, F.col(value)).alias("__v")).where("__v is not null").distinct()
+    sweep = Window.partitionBy("hole").orderBy("from_", "to_", "__v")
+    reach, following = F.max("to_").over(sweep.rowsBetween(Window.unboundedPreceding, -1)), F.lead("from_").over(sweep)
+    swept = clean.withColumn("__alone", F.coalesce(F.col("from_") >= reach, F.lit(True)) & F.coalesce(following >= F.col("to_"), F.lit(True)))
+    alone = swept.where("__alone").select("hole", "from_", "to_", F.col("__v").cast("double").alias(value), F.lit(1).cast("long").alias("n"), F.lit(False).alias("conflict"))
+    clean = swept.where("not __alone").drop("__alone")
     points = clean.select("hole", F.col("from_").alias("p")).unionByName(clean.select("hole", F.col("to_").alias("p"))).distinct()
     order = Window.partitionBy("hole").orderBy("p")
     pieces = points.select("hole", F.col("p").alias("from_"), F.lead("p").over(order).alias("to_")).where("to_ is not null")
     met = overlap_pairs(pieces, clean).groupBy("a.hole", "a.from_", "a.to_")
-    return met.agg(F.avg("b.__v").alias(value), F.count("*").alias("n"), (F.min("b.__v") < F.max("b.__v")).alias("conflict"))
+    return alone.unionByName(met.agg(F.avg("b.__v").alias(value), F.count("*").alias("n"), (F.min("b.__v") < F.max("b.__v")).alias("conflict")))
 
 
 def composite(rows: DataFrame, length: float, min_coverage: float = 0.5, domain: str | None = None, cap: float | None = None, value: str = "value") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.staging import staged
+
 
 def cumulative(rows: DataFrame, by: list[str], value: str, weight: Column | None = None, cuts: int = 128) -> DataFrame:
     """Per distinct value: its weight ``w``, the weight ``cum`` up to it and the group's ``total``.
@@ -157,7 +159,7 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
     not to rows; the mean of ranks is (n + 1) / 2 whatever the ties.
     """
     by = by or []
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("__k"))
+    pairs = staged(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("__k")), "pairs")
 
     def ranks(v: str, out: str) -> DataFrame:
         rank = F.col("cum") - F.col("w") + (F.col("w") + 1) / 2 - (F.col("total") + 1) / 2
