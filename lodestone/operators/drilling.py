@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.spatial import k_nearest
+from lodestone.operators.stats import cumulative
+from lodestone.staging import staged
 
 
 def survey_gaps(stations: DataFrame, times: float = 3.0) -> DataFrame:
@@ -26,9 +28,10 @@ def deviation(stations: DataFrame) -> DataFrame:
 
 def spacing(points: DataFrame, key: str, start: float) -> DataFrame:
     """Distance of each point to its nearest other: n, least, upper median and most."""
-    near = k_nearest(points, points, key, 1, start, other=key).select(F.sqrt("d2").alias("d"))
-    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)")
-    return near.agg(F.count("*").alias("n"), F.min("d").alias("least"), middle.alias("median"), F.max("d").alias("most"))
+    near = staged(k_nearest(points, points, key, 1, start, other=key).select(F.sqrt("d2").alias("d")), "spacing")
+    half = F.floor(F.col("total") / 2)
+    middle = F.max(F.when((F.col("cum") > half) & (F.col("cum") - F.col("w") <= half), F.col("d")))
+    return cumulative(near, [], "d").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("n"), F.min("d").alias("least"), middle.alias("median"), F.max("d").alias("most"))
 
 
 def best_line(points: DataFrame) -> DataFrame:

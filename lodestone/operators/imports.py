@@ -94,11 +94,23 @@ def recovery(drilled: Column, loss: Column | None = None, recovered: Column | No
     return F.when(drilled > 0, F.round(share * 100, 4))
 
 
-def filled_down(rows: DataFrame, hole: str, order: str, section: str) -> DataFrame:
-    """Blank ids take the last id above them inside a section of the file (a sheet, a split)."""
+def filled_down(rows: DataFrame, hole: str, order: str, section: str, cuts: int = 128) -> DataFrame:
+    """Blank ids take the last id above them inside a section of the file (a sheet, a split).
+
+    A section is cut into stretches of about equal counts; each takes over the last id of those above, so a
+    long section isn't one task's. ``order`` is a number.
+    """
     text = F.trim(F.col(hole).cast("string"))
-    above = Window.partitionBy(section).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(hole, F.last(F.when(text != "", text), True).over(above))
+    given = F.when(text != "", text)
+    place = F.col(order).cast("double")
+    marks = sorted(set(rows.agg(F.percentile_approx(place, [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0] or []))
+    dealt = rows.withColumn("__b", F.size(F.filter(F.lit(marks).cast("array<double>"), lambda m: m <= place)) if marks else F.lit(0))
+    ends = dealt.groupBy(F.col(section).alias("__section"), F.col("__b").alias("__c")).agg(F.max_by(given, F.when(given.isNotNull(), F.col(order))).alias("__last"))
+    over = Window.partitionBy("__section").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__section", "__c", F.last("__last", True).over(over).alias("__above"))
+    inside = Window.partitionBy(section, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumn("__own", F.last(given, True).over(inside)).join(ends, F.col(section).eqNullSafe(F.col("__section")) & (F.col("__b") == F.col("__c")), "left")
+    return met.withColumn(hole, F.coalesce("__own", "__above")).select(*rows.columns)
 
 
 def holes_matching(filter_text: str, hole: str = "hole", fields: dict[str, str] | None = None) -> Column:

@@ -199,3 +199,43 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     ranked = average_ranks(rows.where(F.col(score).isNotNull()), score, "__r")
     s = ranked.agg(F.sum(F.when(F.col(label) == 1, F.col("__r"))).alias("__s"), F.count(F.when(F.col(label) == 1, 1)).alias("n_pos"), F.count(F.when(F.col(label) != 1, 1)).alias("n_neg"))
     return s.select("n_pos", "n_neg", ((F.col("__s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+
+
+def two_segment_break(rows: DataFrame, x: str, y: str, by: list[str] | None = None, least: int = 8, cuts: int = 128) -> DataFrame:
+    """Where two straight lines, fitted apart, follow the points best: ``n, k, at, sse, sse_one, slope_low, slope_high``.
+
+    Points go by ``x``, then ``y``; the upper line begins with point ``k`` (from 0) at ``at``; each line has ``least`` points or more, so
+    a group with fewer than twice as many has no row. Of equal breaks the first counts. Sums of moments run inside buckets of about
+    equal counts on top of those before, so all breaks are scored in one pass and no group is one task's.
+    """
+    by = by or []
+    held = rows.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    for c in by:
+        held = held.where(F.col(c).isNotNull())
+    marks = held.agg(F.percentile_approx("x", [i / cuts for i in range(1, cuts)], 20 * cuts), F.avg("x"), F.avg("y")).first()
+    edges = sorted(set(marks[0] or []))
+    # about the middle, so that squares stay small; lines don't change by it
+    held = held.withColumns({"u": F.col("x") - F.lit(marks[1] or 0.0), "v": F.col("y") - F.lit(marks[2] or 0.0)})
+    held = held.withColumn("__b", F.size(F.filter(F.lit(edges).cast("array<double>"), lambda m: m <= F.col("x"))) if edges else F.lit(0))
+    moments = {"n": F.lit(1), "x": F.col("u"), "y": F.col("v"), "xx": F.col("u") * F.col("u"), "xy": F.col("u") * F.col("v"), "yy": F.col("v") * F.col("v")}
+    held = staged(held, "points")
+    group = Window.partitionBy(*by)
+    sums = held.groupBy(*by, "__b").agg(*(F.sum(m).alias(f"s_{k}") for k, m in moments.items()))
+    before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__b", *(F.coalesce(F.sum(f"s_{k}").over(before), F.lit(0)).alias(f"o_{k}") for k in moments), *(F.sum(f"s_{k}").over(group).alias(f"t_{k}") for k in moments))
+    run = Window.partitionBy(*by, "__b").orderBy("x", "y").rowsBetween(Window.unboundedPreceding, -1)
+    each = held.select(*by, "__b", "x", *(F.coalesce(F.sum(m).over(run), F.lit(0)).alias(f"r_{k}") for k, m in moments.items())).join(sums, [*by, "__b"])
+    low = {k: F.col(f"o_{k}") + F.col(f"r_{k}") for k in moments}
+    whole = {k: F.col(f"t_{k}") for k in moments}
+    high = {k: whole[k] - low[k] for k in moments}
+
+    def line(s: dict[str, Column]) -> tuple[Column, Column]:
+        sxx, sxy, syy = (s[a] - s[b] * s[c] / s["n"] for a, b, c in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
+        slope = F.when(sxx > 0, sxy / F.nullif(sxx, F.lit(0.0))).otherwise(0.0)
+        return F.greatest(F.lit(0.0), syy - slope * sxy), slope
+
+    open_ = each.where((low["n"] >= least) & (high["n"] >= least))
+    (e0, s0), (e1, s1), (one, _) = line(low), line(high), line(whole)
+    scored = open_.select(*by, whole["n"].alias("n"), low["n"].alias("k"), F.col("x").alias("at"), (e0 + e1).alias("sse"), one.alias("sse_one"), s0.alias("slope_low"), s1.alias("slope_high"))
+    best = scored.groupBy(*by).agg(F.min(F.struct("sse", "k", "at", "n", "sse_one", "slope_low", "slope_high")).alias("b"))
+    return best.where("b is not null").select(*by, "b.n", "b.k", "b.at", "b.sse", "b.sse_one", "b.slope_low", "b.slope_high")

@@ -1,12 +1,14 @@
-"""Formulas over the test tables, each with its SQL."""
+"""Formulas over the test tables and breaks in their quantile plots, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import formula
+from lodestone.operators import stats
 from lodestone.plans import bind
-from lodestone.plans.bind import with_
+from lodestone.plans.bind import rounded, with_
 from lodestone.plans.queries import query
 
 FORMULAS = {
@@ -101,3 +103,19 @@ def block_formula(spark, d):
     models = {"Fe": b.select("x", "y", "z", "value"), "sg": b.where("id % 3 <> 0").select("x", "y", "z", F.col("density").alias("value")), "other": b.select("x", "y", "z", "value")}
     out = formula.block_formula(models, "Fe * sg / (sg - 2.5)")
     return out.withColumn("value", F.floor(F.col("value") * 1e6 + 0.5) / 1e6)
+
+
+@query("""WITH p AS (SELECT c_mktsegment AS code, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS DOUBLE) AS x, power(c_acctbal / 1000, 3) AS y FROM customer),
+m AS (SELECT *, x - avg(x) OVER () AS u, y - avg(y) OVER () AS v FROM p),
+q AS (SELECT code, x, row_number() OVER w - 1 AS k, count(*) OVER g AS n, sum(u) OVER w - u AS a1, sum(v) OVER w - v AS a2, sum(u * u) OVER w - u * u AS a3, sum(u * v) OVER w - u * v AS a4, sum(v * v) OVER w - v * v AS a5,
+  sum(u) OVER g AS t1, sum(v) OVER g AS t2, sum(u * u) OVER g AS t3, sum(u * v) OVER g AS t4, sum(v * v) OVER g AS t5 FROM m WINDOW w AS (PARTITION BY code ORDER BY x, y), g AS (PARTITION BY code)),
+f AS (SELECT code, x, k, n, a3 - a1 * a1 / k AS lxx, a4 - a1 * a2 / k AS lxy, a5 - a2 * a2 / k AS lyy, t3 - a3 - (t1 - a1) * (t1 - a1) / (n - k) AS hxx, t4 - a4 - (t1 - a1) * (t2 - a2) / (n - k) AS hxy, t5 - a5 - (t2 - a2) * (t2 - a2) / (n - k) AS hyy,
+  t3 - t1 * t1 / n AS wxx, t4 - t1 * t2 / n AS wxy, t5 - t2 * t2 / n AS wyy FROM q WHERE k >= 8 AND n - k >= 8)
+SELECT code, n, k, x AS at, floor((lyy - lxy * lxy / lxx + hyy - hxy * hxy / hxx) * 10 + 0.5) / 10 AS sse, floor((wyy - wxy * wxy / wxx) * 10 + 0.5) / 10 AS sse_one, floor(lxy / lxx * 1e4 + 0.5) / 1e4 AS slope_low, floor(hxy / hxx * 1e4 + 0.5) / 1e4 AS slope_high
+FROM f QUALIFY row_number() OVER (PARTITION BY code ORDER BY lyy - lxy * lxy / lxx + hyy - hxy * hxy / hxx, k) = 1""".replace(" AS at,", ' AS "at",'))
+def quantile_breaks(spark, d):
+    """Where the cubes of the ordered balances of each segment bend."""
+    c = bind.table(spark, d, "customer")
+    rank = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey"))
+    out = stats.two_segment_break(c.select(F.col("c_mktsegment").alias("code"), rank.alias("x"), F.pow(F.col("c_acctbal") / 1000, F.lit(3.0)).alias("y")), "x", "y", ["code"])
+    return out.withColumns({"sse": rounded(F.col("sse"), 1), "sse_one": rounded(F.col("sse_one"), 1), "slope_low": rounded(F.col("slope_low")), "slope_high": rounded(F.col("slope_high"))})

@@ -21,14 +21,13 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", keep: l
     return raw.withColumns({c: number(F.col(c)) for c in (numeric or [])})
 
 
-def guess_numeric(raw: DataFrame, rows: int = 2000) -> list[str]:
-    """Columns of text that read as numbers in a bounded sample and aren't identifiers by name or by a zero in front."""
-    sample = raw.limit(rows)
+def guess_numeric(raw: DataFrame) -> list[str]:
+    """Columns of text that read as numbers in every row and aren't identifiers by name or by a zero in front."""
     words = {c: set(c.lower().replace("_", " ").split()) for c in raw.columns}
     named = [c for c in raw.columns if not words[c] & set(IDENTIFIER_WORDS)]
     if not named:
         return []
-    checks = sample.agg(*(F.struct(F.count(F.when(F.col(c).isNotNull() & number(F.col(c)).isNull() & ~F.lower(F.trim(c)).isin(*NO_DATA_TEXT), 1)).alias("bad"), F.count(F.when(F.col(c).rlike(r"^0\d+$"), 1)).alias("zero"), F.count(number(F.col(c))).alias("good")).alias(c) for c in named)).first()
+    checks = raw.agg(*(F.struct(F.count(F.when(F.col(c).isNotNull() & number(F.col(c)).isNull() & ~F.lower(F.trim(c)).isin(*NO_DATA_TEXT), 1)).alias("bad"), F.count(F.when(F.col(c).rlike(r"^0\d+$"), 1)).alias("zero"), F.count(number(F.col(c))).alias("good")).alias(c) for c in named)).first()
     return [c for c in named if checks[c].good and not checks[c].bad and not checks[c].zero]
 
 
