@@ -12,8 +12,8 @@ of all training words, which are as many as the corpus has and never leave Spark
 2. Texts become sequences of symbols, in a written table; rare words stay beside them.
 3. Baum-Welch: each task runs forward and backward recursions over its sequences, a step over many
    sequences at once, and passes on expected counts by symbol and state. Spark adds them up; the driver
-   gets one row for each symbol and state, normalises, and the next round begins. The first rounds see
-   growing shares of the training documents, by a hash of the text; the last one all.
+   gets one row for each symbol and state, normalises, and the next round begins. Every round sees all
+   training documents; only a caller's own ``rounds`` can have one see a share, by a hash of the text.
    Sequences are cut into stretches of 512 symbols for training only; stretches that go on have a
    start distribution of their own.
 4. The scaled forward recursion runs over each whole sequence. Rare words meet their counts in a join, in
@@ -48,8 +48,10 @@ SYMBOLS = 1 << 15
 STRETCH = 512
 #: Symbols that are taken through the recursions together.
 TOGETHER = 1 << 19
-#: Shares of the training documents, in sixteenths, that the rounds see.
-ROUNDS = (1, 1, 1, 1, 2, 4, 16)
+#: The same in training, which keeps two rows of states for each.
+TRAINED_TOGETHER = 1 << 18
+#: Shares of the training documents, in sixteenths, that the rounds see: all of them in each.
+ROUNDS = (16,) * 7
 _FIXED = 1 << 16  # expected counts are added up in such parts
 
 
@@ -124,35 +126,36 @@ class Chain:
         flat = np.concatenate([p for p, _ in parts])
         begin = np.cumsum(sizes) - sizes
         live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right").tolist()
-        seen = [flat[begin[:m] + t] for t, m in enumerate(live)]  # symbols at step t
-        alphas, scales = [], []
-        now = self.start[begun] * self.emit[seen[0]]
+        symbols = np.concatenate([flat[begin[:m] + t] for t, m in enumerate(live)])  # those of step 0, then of step 1, ...
+        at = np.cumsum([0, *live]).tolist()
+        said, alphas = self.emit[symbols], np.empty((len(symbols), k))
+        scales, ones, back = np.empty(len(symbols)), np.ones(k), self.move.T.copy()
         for t, m in enumerate(live):
-            if t:
-                now = (now[:m] @ self.move) * self.emit[seen[t]]
-            scales.append(now.sum(axis=1, keepdims=True))
-            now = now / scales[-1]
-            alphas.append(now)
+            here = slice(at[t], at[t + 1])
+            now = (now[:m] @ self.move if t else self.start[begun]) * said[here]
+            scales[here] = 1 / (now @ ones)
+            now = np.multiply(now, scales[here, None], out=alphas[here])
         moves = np.zeros((k, k))
+        said *= scales[:, None]
         beta = np.ones((live[-1], k))
         for t in range(len(live) - 1, -1, -1):
             if t + 1 < len(live):
-                ahead = beta * self.emit[seen[t + 1]] / scales[t + 1]
-                moves += alphas[t][: live[t + 1]].T @ ahead
+                m = live[t + 1]
+                ahead = beta * said[at[t + 1] : at[t + 2]]
+                moves += alphas[at[t] : at[t] + m].T @ ahead
                 beta = np.ones((live[t], k))
-                beta[: live[t + 1]] = ahead @ self.move.T
-            alphas[t] = alphas[t] * beta  # now the posterior of the states
+                np.matmul(ahead, back, out=beta[:m])
+            alphas[at[t] : at[t + 1]] *= beta  # now the posterior of the states
         out = np.zeros((n + 2 + k, k))
-        symbols, posterior = np.concatenate(seen), np.concatenate(alphas)
         for j in range(k):
-            out[:n, j] = np.bincount(symbols, weights=posterior[:, j], minlength=n)
+            out[:n, j] = np.bincount(symbols, weights=alphas[:, j], minlength=n)
         for b in (0, 1):
-            out[n + b] = alphas[0][begun == b].sum(axis=0)
+            out[n + b] = alphas[: live[0]][begun == b].sum(axis=0)
         out[n + 2 :] = moves * self.move
         return out
 
 
-def _together(sequences: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def _together(sequences: Iterator[tuple[int, np.ndarray]], most: int = TOGETHER) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     keys: list[int] = []
     held: list[np.ndarray] = []
     size = 0
@@ -160,7 +163,7 @@ def _together(sequences: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[lis
         keys.append(key)
         held.append(s)
         size += len(s)
-        if size >= TOGETHER:
+        if size >= most:
             yield keys, held
             keys, held, size = [], [], 0
     if keys:
@@ -285,7 +288,7 @@ def _expected(chain: Chain):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(chain.emit) + 2 + k, k))
-        for _, held in _together((0, s) for batch in batches for s in _sequences(batch)):
+        for _, held in _together(((0, s) for batch in batches for s in _sequences(batch)), TRAINED_TOGETHER):
             total += chain.expected(held)
         fixed = np.rint(total * _FIXED).astype(np.int64)
         rows = np.flatnonzero(fixed.any(axis=1))
@@ -325,7 +328,7 @@ def lexicon(counts: DataFrame, texts: int, size: int = SYMBOLS) -> tuple[Lexicon
 
 
 def train(encoded: DataFrame, found: Lexicon, states: int = STATES, rounds: tuple[int, ...] = ROUNDS) -> Chain:
-    """Baum-Welch over the training rows of ``encoded``; ``rounds``: sixteenths of them that each round sees."""
+    """Baum-Welch over all training rows of ``encoded``; other ``rounds``: sixteenths of them that each round sees."""
     chain = Chain.initial(found.weights, states)
     sums = [F.sum(f"s{j}").alias(f"s{j}") for j in range(states)]
     for share in rounds:
@@ -334,7 +337,7 @@ def train(encoded: DataFrame, found: Lexicon, states: int = STATES, rounds: tupl
         counts = np.zeros((len(found.weights) + 2 + states, states))
         added = parts.groupBy("row").agg(*sums).toPandas()
         counts[added["row"].to_numpy(dtype=int)] = added[[f"s{j}" for j in range(states)]].to_numpy(dtype=float) / _FIXED
-        if counts.any():  # a small corpus may have no text in a share; the states then stay as they lean
+        if counts.any():  # there may be no text to learn from; the states then stay as they lean
             chain = Chain.of(counts, found.weights)
     return chain
 

@@ -214,6 +214,21 @@ def test_scores_are_those_of_the_chain_and_the_counts(spark):
     assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-2)
 
 
+def test_every_round_learns_from_all_training_texts(spark):
+    """The chain that seven rounds give is that of seven rounds over every training sequence, in one process."""
+    rng = np.random.default_rng(6)
+    counts = np.array([9.0, 7, 5, 3])
+    found = hmm.Lexicon([b"a", b"b", b"c", b"d"], counts, np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES), 1, 25, 5)
+    sequences = [np.append(rng.integers(0, 4, rng.integers(0, 30)), 4 + hmm.CLASSES) for _ in range(96)]
+    rows = [(i % 5 == 1, i % 16, bytearray(s.astype("<u2").tobytes())) for i, s in enumerate(sequences)]
+    got = hmm.train(spark.createDataFrame(rows, "held_out boolean, share int, symbols binary").repartition(3), found, 3)
+    want = hmm.Chain.initial(found.weights, 3)
+    for _ in range(7):
+        want = hmm.Chain.of(want.expected([s for s, (held, *_) in zip(sequences, rows) if not held]), found.weights)
+    for ours, theirs in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)):
+        assert np.allclose(ours, theirs, rtol=1e-3)
+
+
 def test_held_out_texts_are_likelier_than_by_frequency(spark):
     sf = "/root/testdata/sf0.01"
     got = hmm.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
