@@ -296,7 +296,10 @@ class Encoder(dict):
 
     def coded(self, run: str) -> bytes:
         vocab, out = self.vocab, []
-        for piece in vocab.words.findall(self.folded(run) if vocab.lower else run):
+        pieces = [run] if vocab.lower and run.isascii() and run.isalpha() else vocab.words.findall(run)
+        if vocab.lower and len(pieces) > 1:  # a piece is a run too, and mostly one already seen
+            return b"".join(map(self.__getitem__, pieces))
+        for piece in pieces:
             word = piece.encode("utf-8", "surrogatepass")
             found = self.lexicon.find(word) if self.lexicon else None
             if found is None:
@@ -306,9 +309,13 @@ class Encoder(dict):
         return b"".join(out)
 
     @staticmethod
-    def folded(run: str) -> str:
+    def folded(text: str) -> str:
         """Lower case letter by letter: the final sigma has no form of its own."""
-        return run.lower() if run.isascii() or "Σ" not in run else "".join(c.lower() for c in run)
+        return text.replace("Σ", "σ").lower()
+
+    def split(self, text: str) -> list[str]:
+        """``lower_runs``; Python's own white space is the same but for four separators."""
+        return self.lower_runs(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def plain(self, text: str) -> bytes:
         if self.runs is None:
@@ -316,7 +323,7 @@ class Encoder(dict):
                 import unicodedata
 
                 text = unicodedata.normalize("NFC", text)
-            return b"".join(map(self.__getitem__, self.lower_runs(text)))
+            return b"".join(map(self.__getitem__, self.split(self.folded(text))))
         return b"".join(map(self.__getitem__, self.runs(text)))
 
     def encode(self, text: str) -> bytes:

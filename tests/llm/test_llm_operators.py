@@ -618,6 +618,24 @@ def test_lexicon_finds_what_it_holds():
         assert vocab._merge_long(ids) == vocab.merge(w)
 
 
+def test_a_lower_case_word_is_merged_once_whatever_stands_around_it():
+    coder, merged = bpe.Encoder(bpe.vocabulary(WORD_VOCAB)), Counter()
+    join = coder.merge
+    coder.merge = lambda word: merged.update([word]) or join(word)
+    text = "Vein vein, VEIN. (vein) vein's ÉTÉ été! étÉ ΣΑΣ, σας ΣΑσ \x1cx\x1dvein\x1e \x1f Vein9vein"
+    library = Tokenizer.from_file(WORD_VOCAB)
+    library.no_truncation()
+    assert list(memoryview(coder.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
+    assert merged[b"vein"] == merged["été".encode()] == merged["σας".encode()] == 1
+
+
+def test_white_space_of_runs_is_that_of_the_pattern():
+    coder = bpe.Encoder(bpe.vocabulary(WORD_VOCAB))
+    for i in (i for i in range(0x110000) if not 0xD800 <= i < 0xE000):
+        text = f"a{chr(i)}b {chr(i)}"
+        assert coder.split(text) == coder.lower_runs(text)
+
+
 @pytest.mark.parametrize("how", [{}, {"open_windows": 2, "min_gap": 2}, {"open_windows": 1, "min_gap": 10_000}])
 def test_packing(spark, how):
     rng = random.Random(7)
