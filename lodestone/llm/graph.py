@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from lodestone.graph import HOT, components  # noqa: F401
+from lodestone.graph import HOT, components, stars  # noqa: F401

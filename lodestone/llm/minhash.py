@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import NULL_ID, binary_values, ident, packed, staged
-from lodestone.llm.graph import HOT, components
+from lodestone.llm.graph import HOT, components, stars
 from lodestone.llm.words import WordHashes, mixed, rolling
 
 T, BANDS, ROWS, AGREE = 512, 32, 4, 374
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     classes = staged(classes.select("f1", "f2", F.xxhash64("f1", "f2").alias("node"), F.col("first.did").alias("did"), F.col("first.tkey").alias("tkey"), "n", "bands"), "classes")
 
     banded = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("band", "hub")
+    shared = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("most")).where("hub.node < most").select("band", "hub")
     # members of buckets with two classes or more
     members = staged(banded.join(shared, "band").select("band", "node", "n", "hub"), "buckets")
     sizes = classes.select("node", "n")
@@ -248,27 +248,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     texts = rows.dropDuplicates(["__did", "__tkey"]).join(wanted, (F.col("__did") == F.col("did")) & (F.col("__tkey") == F.col("tkey"))).select("node", "text")
     sets = staged(texts.mapInArrow(_sets(shingle_words), "node long, items binary"), "sets")
 
-    near = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
-
     def star(towards: DataFrame) -> DataFrame:
-        """Confirmed links of each node with its hub; ``towards`` has (node, hub)."""
-        pairs = towards.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b")
-        pairs = pairs.join(sizes.alias("p"), F.col("a") == F.col("p.node")).join(sizes.alias("q"), F.col("b") == F.col("q.node")).where(near)
-        return staged(_confirm(pairs.select("a", "b"), sets, percent), "links")
-
-    links = star(members.groupBy("node").agg(F.min("hub").alias("hub")))
-    linked = components(links)
+        """Confirmed links of each node with its hub; ``towards`` has (node, n, hub), hub being (node, n)."""
+        near = (F.col("n") * 100 >= F.col("hub.n") * percent) & (F.col("hub.n") * 100 >= F.col("n") * percent)
+        pairs = towards.where(near & (F.col("hub.node") != F.col("node"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        return staged(_confirm(pairs, sets, percent), "links")
+
+    def joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+        """The stars of ``linked`` and further links, which often are none."""
+        if not links.head(1):
+            return linked
+        return stars(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    linked = stars(star(members.groupBy("node").agg(F.any_value("n").alias("n"), F.min("hub").alias("hub"))))
     for turn in range(HUBS):
-        known_c = members.select("band", "node").join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
-        turned = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "c")
+        known_c = members.select("band", "node", "n").join(linked, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("c"))
+        turned = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "c", "n")
         large = known_c.groupBy("band").agg(F.min(turned).alias("hub"), F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(f"k > {BLOCK} and lo < hi").select("band", "hub")
         large = staged(large, "large-buckets")
         if not large.head(1):
             break
         # the buckets are large, so they are few against their members
-        towards = known_c.join(large, "band").where("c <> hub.c").groupBy("node").agg(F.min("hub").alias("hub")).select("node", F.col("hub.node").alias("hub"))
-        links = links.unionByName(star(towards))
-        linked = components(links)
+        towards = known_c.join(large, "band").where("c <> hub.c").groupBy("node").agg(F.any_value("n").alias("n"), F.min("hub").alias("hub"))
+        linked = joined(linked, star(towards))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order, shape = ["grp", "i", "j"], ["grp", "i", "j", "block", "node", "c", "n", "coords"]
     labelled = members.join(linked, "node", "left").select(F.col("band").alias("grp"), "node", "n", F.coalesce("component", "node").alias("c"))
@@ -276,12 +278,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     dealt = _blocks_meet(labelled).join(short, "node").repartition(n, *order).sortWithinPartitions(*order)
     worth = staged(dealt.select(*shape).mapInArrow(_forest(percent, False), "a long, b long"), "worth-checking")
 
-    groups = components(worth).select("node", F.col("component").alias("grp"))
-    inside = groups.join(sizes, "node").join(linked, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("c"))
-    dealt = _blocks_meet(inside).join(short, "node").join(sets, "node").repartition(n, *order).sortWithinPartitions(*order)
-    late = staged(dealt.select(*shape, "items").mapInArrow(_forest(percent, True), "a long, b long"), "late-links")
+    def late() -> DataFrame:
+        """Links between components that the pairs worth checking lead to."""
+        groups = components(worth).select("node", F.col("component").alias("grp"))
+        inside = groups.join(sizes, "node").join(linked, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("c"))
+        dealt = _blocks_meet(inside).join(short, "node").join(sets, "node").repartition(n, *order).sortWithinPartitions(*order)
+        return staged(dealt.select(*shape, "items").mapInArrow(_forest(percent, True), "a long, b long"), "late-links")
 
-    whole = components(links.unionByName(late))
+    whole = joined(linked, late()) if worth.head(1) else linked
     held = classes.join(whole, "node", "left").select("f1", "f2", "did", F.coalesce("component", "node").alias("grp"))
     node_of = held.join(held.groupBy("grp").agg(F.min("did").alias("component")), "grp").select("f1", "f2", "component")
     out = known.join(node_of, ["f1", "f2"], "left")

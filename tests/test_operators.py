@@ -94,6 +94,24 @@ def test_components_that_have_not_settled_are_an_error(spark):
     assert {r.component for r in graph.components(edges).collect()} == {0}
 
 
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    """The driver's memory follows the plans it runs, so settled edges are told by counts alone."""
+    written = []
+    monkeypatch.setattr(graph, "staged", lambda df, name, f=graph.staged: (written.append(name), f(df, name))[1])
+    edges = spark.createDataFrame([(5, i) for i in range(6, 40)] + [(50, 51), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    assert got == {i: 5 for i in range(5, 40)} | {50: 50, 51: 50}
+    assert written == ["edges", "least"]
+    assert graph.components(edges.where("a < 0")).count() == 0
+
+
+def test_components_of_a_hub(spark):
+    """Node 1000 has more than FEW edges and isn't the smallest of its component."""
+    edges = [(1000, i) for i in range(700, 1000)] + [(1000, i) for i in range(1001, 1300)] + [(3, 1200), (2000, 2001), (2001, 2002)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 3 for i in (3, *range(700, 1300))} | {i: 2000 for i in (2000, 2001, 2002)}
+
+
 def test_flow_accumulation_of_a_slope(spark):
     grid = spark.createDataFrame([(i, j, float(100 - i)) for i in range(5) for j in range(3)], "i int, j int, z double")
     flow = grids.flow_directions(grid)
