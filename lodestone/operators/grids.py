@@ -1,6 +1,6 @@
 """Value grids as long tables (i east, j south, z): terrain, flow, overlay, zones.
 
-Neighbourhoods are equi-joins on shifted cell numbers, so a grid of any size stays partitioned.
+Neighbourhoods are groupings by shifted cell numbers, so a grid of any size stays partitioned.
 """
 
 from __future__ import annotations
@@ -16,26 +16,30 @@ from lodestone.operators import stats
 DIRECTIONS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
 
-def _spread(grid: DataFrame, offsets, value: str) -> DataFrame:
-    """Each cell's value sent to the cells that look at it, with the direction they look in."""
-    looks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(di).alias("di"), F.lit(dj).alias("dj")) for k, (di, dj) in enumerate(offsets)))
+def _seen(grid: DataFrame, value: str) -> DataFrame:
+    """Each cell's value sent to itself (``k`` -1) and to the cells that look at it, with the direction they look in.
+
+    Cells meet by a grouping of this, never by a join: the planner takes exploded rows for as small as those they
+    came from and would broadcast them.
+    """
+    looks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(di).alias("di"), F.lit(dj).alias("dj")) for k, (di, dj) in enumerate(((0, 0), *DIRECTIONS), -1)))
     return grid.select("i", "j", F.col(value).alias("__nz"), F.explode(looks).alias("o")).select((F.col("i") - F.col("o.di")).alias("i"), (F.col("j") - F.col("o.dj")).alias("j"), F.col("o.k").alias("k"), "__nz")
 
 
 def flow_directions(grid: DataFrame, value: str = "z", size: float = 1.0) -> DataFrame:
     """D8: the strictly steepest way down; ``i, j, direction`` (-1 in a pit)."""
-    seen = grid.select("i", "j", F.col(value).alias("__z")).join(_spread(grid, DIRECTIONS, value), ["i", "j"], "left")
-    run = F.when(F.col("k").isin(1, 3, 5, 7), math.sqrt(2) * size).otherwise(size)
-    slope = (F.col("__z") - F.col("__nz")) / run
-    best = seen.withColumn("__s", F.when(slope > 0, slope)).groupBy("i", "j").agg(F.max_by("k", F.when(F.col("__s").isNotNull(), F.struct("__s", -F.col("k")))).alias("direction"))
-    return best.select("i", "j", F.coalesce("direction", F.lit(-1)).alias("direction"))
+    own = F.col("k") == -1
+    met = _seen(grid, value).groupBy("i", "j").agg(F.bool_or(own).alias("__in"), F.max(F.when(own, F.col("__nz"))).alias("__z"), *(F.min(F.when(F.col("k") == k, F.col("__nz"))).alias(f"n{k}") for k in range(8)))
+    slope = [(F.col("__z") - F.col(f"n{k}")) / F.lit(math.sqrt(2) * size if k % 2 else float(size)) for k in range(8)]
+    best = F.array_max(F.array(*(F.when(s > 0, F.struct(s.alias("s"), F.lit(-k).alias("k"))) for k, s in enumerate(slope))))
+    return met.where("__in").select("i", "j", F.coalesce(-best["k"], F.lit(-1)).alias("direction"))
 
 
 def slopes(grid: DataFrame, value: str = "z", size: float = 1.0) -> DataFrame:
     """Horn's 3 x 3 gradients; at an edge the missing neighbour is the cell itself. ``i, j, gx, gy``."""
-    seen = _spread(grid, DIRECTIONS, value)
-    base = grid.select("i", "j", F.col(value).alias("__z"))
-    wide = base.join(seen, ["i", "j"], "left").groupBy("i", "j", "__z").agg(*(F.max(F.when(F.col("k") == k, F.col("__nz"))).alias(f"n{k}") for k in range(8)))
+    own = F.when(F.col("k") == -1, F.struct(F.col("__nz").alias("z")))
+    met = _seen(grid, value).groupBy("i", "j").agg(F.collect_set(own).alias("__own"), *(F.max(F.when(F.col("k") == k, F.col("__nz"))).alias(f"n{k}") for k in range(8)))
+    wide = met.withColumn("__own", F.explode("__own")).withColumn("__z", F.col("__own.z"))
     n = [F.coalesce(f"n{k}", "__z") for k in range(8)]
     e, se, s, sw, w, nw, no, ne = n
     gx = ((ne + 2 * e + se) - (nw + 2 * w + sw)) / (8 * size)

@@ -198,3 +198,18 @@ def test_moving_median_brute_force(spark):
         near = sorted(x for g, e, x in rows if g == h and abs(e - d) <= 7.0)
         want.append((h, d, v, near[(len(near) + 1) // 2 - 1]))
     assert got == sorted(want)
+
+
+def test_neighbours_of_cells_are_not_broadcast(spark):
+    """Exploded rows look small to the planner: eight times the grid went to the driver."""
+    grid = spark.range(400).selectExpr("cast(id % 20 as int) as i", "cast(id div 20 as int) as j", "cast((id * 7919) % 10007 as double) as z")
+    for out in (grids.flow_directions(grid), grids.hillshade(grid)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 400
+
+
+def test_grids_with_odd_cells(spark):
+    """A missing height, a height that is no number, a cell given twice."""
+    grid = spark.createDataFrame([(0, 0, 5.0), (1, 0, None), (0, 1, 3.0), (0, 1, 1.0), (1, 1, 4.0), (9, 9, 2.0)], "i int, j int, z double")
+    assert sorted(tuple(r) for r in grids.flow_directions(grid).collect()) == [(0, 0, 2), (0, 1, -1), (1, 0, -1), (1, 1, 4), (9, 9, -1)]
+    assert sorted((r.i, r.j) for r in grids.slopes(grid).collect()) == [(0, 0), (0, 1), (0, 1), (1, 0), (1, 1), (9, 9)]
