@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.grids import DIRECTIONS
-from lodestone.staging import staged
+from lodestone.staging import dealt, staged
 
 
 def downstream(flow: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def downstream(flow: DataFrame) -> DataFrame:
     to = F.when(F.col("direction") >= 0, place(F.col("i") + F.get(di, F.col("direction")), F.col("j") + F.get(dj, F.col("direction"))))
     edges = flow.select(place(F.col("i"), F.col("j")).alias("node"), to.alias("__to"))
     inside = edges.select(F.col("node").alias("to"))
-    return edges.join(inside, F.col("__to") == F.col("to"), "left").select("node", "to")
+    return edges.join(dealt(inside), F.col("__to") == F.col("to"), "left").select("node", "to")
 
 
 def _rounds(now: DataFrame, name: str, step) -> DataFrame:
@@ -48,7 +48,7 @@ def accumulate(edges: DataFrame, weight: str | None = None) -> DataFrame:
     def step(now: DataFrame) -> DataFrame:
         gathered = now.where("to is not null").groupBy(F.col("to").alias("__at")).agg(F.sum("total").alias("__more"))
         jump = now.select(F.col("node").alias("__via"), F.col("to").alias("__next"))
-        met = now.join(gathered, F.col("node") == F.col("__at"), "left").join(jump, F.col("to") == F.col("__via"), "left")
+        met = now.join(dealt(gathered), F.col("node") == F.col("__at"), "left").join(dealt(jump), F.col("to") == F.col("__via"), "left")
         return met.select("node", F.col("__next").alias("to"), (F.col("total") + F.coalesce("__more", F.lit(0))).alias("total"))
 
     one = F.col(weight) if weight else F.lit(1).cast("long")
@@ -70,10 +70,10 @@ def first_site(edges: DataFrame, sites: DataFrame) -> DataFrame:
 
     def step(now: DataFrame) -> DataFrame:
         jump = now.select(F.col("node").alias("__via"), F.col("to").alias("__next"), F.col("site").alias("__site"))
-        met = now.join(jump, F.col("to") == F.col("__via"), "left")
+        met = now.join(dealt(jump), F.col("to") == F.col("__via"), "left")
         return met.select("node", F.when(F.col("__site").isNull(), F.col("__next")).alias("to"), F.coalesce("site", "__site").alias("site"))
 
-    start = edges.join(own, F.col("node") == F.col("__n"), "left").select("node", F.when(F.col("site").isNull(), F.col("to")).alias("to"), "site")
+    start = edges.join(dealt(own), F.col("node") == F.col("__n"), "left").select("node", F.when(F.col("site").isNull(), F.col("to")).alias("to"), "site")
     return _rounds(start, "sites", step).select("node", "site")
 
 
@@ -84,11 +84,11 @@ def site_tree(edges: DataFrame, sites: DataFrame, labels: DataFrame) -> DataFram
     """
     at = sites.groupBy("node").agg(F.min("site").alias("site"))
     below = labels.select(F.col("node").alias("__below"), F.col("site").alias("down"))
-    links = at.join(edges.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).join(below, F.col("to") == F.col("__below"), "left").select("site", "down")
+    links = at.join(dealt(edges.withColumnRenamed("node", "__n")), F.col("node") == F.col("__n")).join(dealt(below), F.col("to") == F.col("__below"), "left").select("site", "down")
     own = labels.where("site is not null").groupBy(F.col("site").alias("__s")).agg(F.count("*").alias("own"))
-    links = staged(links.join(own, F.col("site") == F.col("__s")).select("site", "down", "own"), "site-links")
+    links = staged(links.join(dealt(own), F.col("site") == F.col("__s")).select("site", "down", "own"), "site-links")
     total = accumulate(links.select(F.col("site").alias("node"), F.col("down").alias("to"), "own"), "own")
-    return links.join(total, F.col("site") == F.col("node")).select("site", "down", "own", "total")
+    return links.join(dealt(total), F.col("site") == F.col("node")).select("site", "down", "own", "total")
 
 
 def snap_sites(sites: DataFrame, accumulation: DataFrame, radius: float, size: float = 1.0) -> DataFrame:
@@ -105,9 +105,9 @@ def snap_sites(sites: DataFrame, accumulation: DataFrame, radius: float, size: f
     looks = sites.select("site", "x", "y", ci.alias("ci"), cj.alias("cj"), around.alias("o")).withColumns({"i": F.col("ci") + F.col("o.a"), "j": F.col("cj") + F.col("o.b")})
     own = F.when((F.col("o.a") == 0) & (F.col("o.b") == 0), 0).otherwise(1)
     order = Window.partitionBy("site").orderBy(F.desc("cells"), "__own", "j", "i")
-    met = looks.withColumn("__own", own).join(cells, ["i", "j"])
+    met = looks.withColumn("__own", own).join(dealt(cells), ["i", "j"])
     home = met.where("__own = 0").select("site")
-    best = met.join(home, "site", "left_semi").withColumn("__r", F.row_number().over(order)).where("__r = 1")
+    best = met.join(dealt(home), "site", "left_semi").withColumn("__r", F.row_number().over(order)).where("__r = 1")
     dx, dy = F.col("i") * size - F.col("x"), F.col("j") * size - F.col("y")
     return best.select("site", "i", "j", "cells", F.sqrt(dx * dx + dy * dy).alias("moved"))
 

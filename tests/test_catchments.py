@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import catchments, grids
 
@@ -83,3 +84,17 @@ def test_snapping(spark):
 def test_productivity(spark):
     v = spark.createDataFrame([(30.0, 2.0), (5.0, 2.0), (None, 2.0), (30.0, 0.0)], "v double, km2 double")
     assert [r.productivity for r in catchments.productivity(v, "v", 10.0, "km2").collect()] == [40.0, -10.0, None, None]
+
+
+def test_large_tables_are_not_broadcast(spark):
+    """Well packed tables look small to the planner; the driver had to hold the whole grid."""
+    flow = spark.range(400).selectExpr("cast(id % 20 as int) as i", "cast(id div 20 as int) as j", "cast(if(id % 20 = 19, -1, 0) as int) as direction")
+    edges = catchments.downstream(flow)
+    node = F.struct((F.col("id") % 20).alias("i"), F.expr("id div 20").alias("j"))
+    sites = spark.range(0, 400, 7).select(F.col("id").alias("site"), node.alias("node"))
+    labels = catchments.first_site(edges, sites)
+    acc = catchments.flow_accumulation(flow)
+    at = sites.select("site", F.col("node.i").cast("double").alias("x"), F.col("node.j").cast("double").alias("y"))
+    for out in (edges, labels, acc, catchments.site_tree(edges, sites, labels), catchments.snap_sites(at, acc, 2.0)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.cells for r in acc.collect()) == sorted(list(range(1, 21)) * 20)
