@@ -6,7 +6,7 @@ from statistics import median
 
 import pytest
 
-from lodestone.operators import plan, surveys
+from lodestone.operators import desurvey, plan, surveys
 
 
 def spikes(vals, window, k, least):
@@ -85,3 +85,11 @@ def test_carriers_against_a_sorted_pass(spark):
     r = plan.metal_carriers(spark.createDataFrame([(x,) for x in vals], "v double"), "v").first()
     assert (r.half_from, r.contributing, r.ten_share) == (half, len(v), round(sum(v[:10]) / sum(v), 3))
     assert plan.metal_carriers(spark.createDataFrame([(0.0,)], "v double"), "v").count() == 0
+
+
+def test_azimuth_a_hair_below_north(spark):
+    """63 - 98 * 4.5 / 7 is -1.4e-14 in doubles; the SQL makes it 360."""
+    stations = spark.createDataFrame([(1, 10.0, 63.0, -60.0), (1, 17.0, 325.0, -60.0)], "hole int, depth double, azimuth double, dip double")
+    points = spark.createDataFrame([(1, 14.5), (1, 5.0), (1, 99.0)], "hole int, depth double")
+    got = {r.depth: r.azimuth for r in desurvey.attitude_at(points, stations).collect()}
+    assert got == {14.5: 360.0, 5.0: 63.0, 99.0: 325.0}
