@@ -1,7 +1,8 @@
 """Searches in a turned ellipsoid: caps by octant, hole and number, support classes, estimates.
 
 Coordinates are turned into the ellipsoid's own, each axis in units of its range, where the search is a ball of
-radius one and goes through a grid join like any other. Caps are row numbers with an upper bound, which
+radius one and goes through a grid join like any other, in rounds of growing radius: samples that lie farther than all
+others change none of those already taken. Caps are row numbers with an upper bound, which
 Spark prunes before the shuffle, so a target takes along no more than its caps allow per task. A hole's or
 octant's cap goes before the overall one.
 """
@@ -13,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.spatial import within
+from lodestone.operators.spatial import nearest
+from lodestone.staging import dealt
 
 #: Closer than this share of the ranges a sample is the block's value.
 ON_SPOT = 1e-6
@@ -67,22 +69,26 @@ def neighbours(
         real = real & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     length = F.col("length").cast("double") if "length" in samples.columns else F.lit(None).cast("double")
     held = samples.where(real).select("x", "y", "z", F.col(sample_key).alias("key"), F.col(hole).cast("string").alias("hole"), F.col(value).cast("double").alias("value"), length.alias("length"), (F.col(domain) if domain else F.lit(0)).alias("domain"))
-    near = within(turned(targets.select(target_key, "x", "y", "z"), azimuth, dip, ranges), turned(held, azimuth, dip, ranges), 1.0, ("__u", "__v", "__w"))
+    axes = ("__u", "__v", "__w")
     d = {a: F.col(f"b.{a}") - F.col(f"a.{a}") for a in "xyz"}
     bit: Column = sum((F.when(c >= 0, 1 << i).otherwise(0) for i, c in enumerate(d.values())), F.lit(0))
-    near = near.select(F.col(f"a.{target_key}").alias(target_key), "d2", bit.cast("int").alias("octant"), *(c.alias(f"d{a}") for a, c in d.items()), *(F.col(f"b.{c}").alias(c) for c in ("key", "hole", "value", "length", "domain")))
 
     def capped(df: DataFrame, by: list[str], cap: int) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(target_key, *by).orderBy("d2", "key"))).where(F.col("rank") <= cap)
 
-    if domain:
-        nearest = near.groupBy(target_key).agg(F.min_by("domain", F.struct("d2", "key")).alias("own"))
-        near = near.join(nearest, target_key).where(F.col("domain") == F.col("own")).drop("own")
-    if most_per_octant:
-        near = capped(near, ["octant"], most_per_octant)
-    if (cap := hole_cap(most, least_holes, most_per_hole)) is not None:
-        near = capped(near, ["hole"], cap)
-    return capped(near, [], most).select(target_key, "rank", "d2", "octant", "dx", "dy", "dz", "hole", "value", "length")
+    def choose(pairs: DataFrame) -> DataFrame:
+        near = pairs.select(F.col(f"a.{target_key}").alias(target_key), "d2", bit.cast("int").alias("octant"), *(c.alias(f"d{a}") for a, c in d.items()), *(F.col(f"b.{c}").alias(c) for c in ("key", "hole", "value", "length", "domain")))
+        if domain:
+            own = near.groupBy(target_key).agg(F.min_by("domain", F.struct("d2", "key")).alias("own"))
+            near = near.join(dealt(own), target_key).where(F.col("domain") == F.col("own")).drop("own")
+        if most_per_octant:
+            near = capped(near, ["octant"], most_per_octant)
+        if (cap := hole_cap(most, least_holes, most_per_hole)) is not None:
+            near = capped(near, ["hole"], cap)
+        return capped(near, [], most).select(target_key, "rank", "d2", "octant", "dx", "dy", "dz", "hole", "value", "length")
+
+    found = turned(targets.select(target_key, "x", "y", "z"), azimuth, dip, ranges)
+    return nearest(found, turned(held, azimuth, dip, ranges), target_key, 1.0, most, choose, axes)
 
 
 def support(used: DataFrame, targets: DataFrame, target_key: str, least: int = 1, least_holes: int = 1, tolerance: float = 0.0, power: float = 2.0) -> DataFrame:
@@ -111,7 +117,7 @@ def support(used: DataFrame, targets: DataFrame, target_key: str, least: int = 1
     inside = F.col("around_x") & F.col("around_y") & F.col("around_z") & (F.col("holes") >= 2)
     kind = F.when(~F.coalesce(enough, F.lit(False)), "unsupported").when(inside, "interpolated").otherwise("extrapolated")
     index = F.cbrt(F.greatest(F.lit(0.0), 1 - F.col("nearest")) * F.least(F.col("holes"), F.lit(3)) / 3 * F.least(F.col("octants"), F.lit(6)) / 6)
-    whole = targets.select(target_key).join(got, target_key, "left")
+    whole = targets.select(target_key).join(dealt(got), target_key, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     estimate = F.when(enough, F.when(F.col("nearest") < ON_SPOT, F.col("__first")).otherwise(F.col("__mean")))
     return whole.select(target_key, *(zero(c) for c in ("n", "holes", "octants")), "nearest", *(F.coalesce(f"around_{a}", F.lit(False)).alias(f"around_{a}") for a in "xyz"), kind.alias("support"), F.when(enough, index).otherwise(0.0).alias("data_index"), estimate.alias("estimate"))

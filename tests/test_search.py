@@ -103,3 +103,23 @@ def test_no_samples(spark):
     _, blocks, samples, targets = tables(spark)
     used = search.neighbours(targets, samples.limit(0), "block", "id", "v", 0.0, 0.0, (20.0, 20.0, 20.0))
     assert {r.support for r in search.support(used, targets, "block").collect()} == {"unsupported"}
+
+
+def test_few_pairs_are_formed(spark, monkeypatch):
+    """All samples in the ellipsoid were ranked for each block."""
+    from lodestone.operators import spatial
+
+    _, _, samples, targets = tables(spark)
+    formed, within = [], spatial.within
+
+    def counted(left, right, radius, axes=("x", "y")):
+        out = within(left, right, radius, axes)
+        formed.append(out.count())
+        return out
+
+    for module in (spatial, search):
+        monkeypatch.setattr(module, "within", counted, raising=False)
+    used = search.neighbours(targets, samples, "block", "id", "v", 35.0, 50.0, (90.0, 80.0, 70.0), most=4)
+    assert used.groupBy("block").count().where("count = 4").count() == 36
+    assert "Broadcast" not in used._jdf.queryExecution().executedPlan().toString()
+    assert sum(formed) < 36 * 312 / 3
