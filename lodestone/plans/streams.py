@@ -23,8 +23,9 @@ def stream_composites(spark, d):
     rows = bind.intervals(spark, d).select(F.col("hole").cast("string").alias("hole"), "from_", "to_", F.when(v != 3, v).alias("value"), F.when(F.col("status") == "O", F.col("code")).alias("code"), v.alias("__file"))
     path = bind.shared_path(spark, "stream")
     rows.repartition(6, "__file").drop("__file").write.parquet(f"{path}/in")
+    keys = compositor.keys_for(bind.table(spark, d, "orders").count())
     source = logs.read_growing(spark, f"{path}/in", "hole string, from_ double, to_ double, value double, code string", files_per_trigger=2)
-    compositor.run_to_end(compositor.parts(source, 20.0, ["value"], ["code"], slack=10.0), f"{path}/parts", f"{path}/state")
+    compositor.run_to_end(compositor.parts(source, 20.0, ["value"], ["code"], slack=10.0, keys=keys), f"{path}/parts", f"{path}/state")
     parts = spark.read.schema(source.sparkSession.createDataFrame([], compositor.PART).schema).parquet(f"{path}/parts")
     out = compositor.composites(parts.unionByName(compositor.open_parts(spark, f"{path}/state")), ["value"], ["code"])
     return out.withColumn("value", rounded(F.col("value")))

@@ -93,3 +93,19 @@ def test_typed_readings(spark):
     got = [tuple(r) for r in logs.typed_readings(raw, "id", ["gr", "n"], depth="top").collect()]
     assert got == [("a", 1.5, 3.5, 7.0, True), ("a", None, 2.0, None, False), (None, 1.0, 1.0, 1.0, False), (None, 1.0, 3.0, 2.0, False), ("b", None, 2.0, 3.0, False), ("b", None, None, 4.0, False)]
     assert [r.depth for r in logs.typed_readings(raw, "id", [], interval=("top", "gr")).collect()] == [2.5, None, 1.0, 2.0, None, None]
+
+
+def test_state_lies_on_disk_under_enough_keys(spark, tmp_path):
+    """All open bins lay in the executors' memory, a 256th of all holes at a time in a worker's."""
+    import os
+
+    assert compositor.keys_for(10) == 256
+    assert compositor.keys_for(54_000_000) * 4096 > 53_000_000
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.range(1, 9).selectExpr("cast(id as string) as hole", "0D as from_", "30D as to_", "1D as v").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("hole string, from_ double, to_ double, v double").parquet(str(tmp_path / "in"))
+    compositor.run_to_end(compositor.parts(source, 20.0, ["v"]), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.conf.get(name) == before
+    assert any(f.endswith(".zip") for _, _, names in os.walk(tmp_path / "state") for f in names) or any(f.endswith(".changelog") for _, _, names in os.walk(tmp_path / "state") for f in names)
+    assert compositor.open_parts(spark, str(tmp_path / "state")).count() == 16
